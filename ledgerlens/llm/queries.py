@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import table
+from ledgerlens.llm.decontamination import find_leaks
 from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.license_scan import scan_licenses
 from ledgerlens.llm.packing import pack_documents
+from ledgerlens.llm.preferences import format_preferences
 from ledgerlens.llm.secret_scan import scan_secrets
 from ledgerlens.llm.simhash import simhash_groups
 from ledgerlens.llm.url_filter import filter_urls
@@ -21,6 +23,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -45,8 +51,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_preferences(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secret_scan, op5_url_filter, op6_exact_dedup, op7_packing, op8_license_scan, op9_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op4_secret_scan, op5_url_filter, op6_exact_dedup, op7_packing, op8_license_scan, op9_simhash, op10_preferences)}
 
 
 OP5_SQL = r"""
