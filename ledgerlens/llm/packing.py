@@ -8,10 +8,12 @@ only complete windows exist and none is padded.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,31 +25,63 @@ from ledgerlens.llm.common import pick
 TIERS = (512, 1024, 2048, 4096)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier int, step_group long"
 _ODD_BLANKS = re.compile("[\x1c-\x1f]")
+#: Characters whose case, composition and class are the same for Python and the tokenizer, and its pieces of them.
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
-def word_encoder(path: str, end_id: int, cache_words: int = 250_000) -> Callable[[list[str]], list[bytes]]:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, `end_id` last. The tokenizer drops white space and
-    never joins what it separates, so ids are looked up by blank-separated word; words not met before are encoded in
-    one batch. Texts with separators that only one of Python and the tokenizer takes as blanks are encoded whole."""
-    from array import array
+class WordEncoder:
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, the end id last.
 
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
-    end = array("I", [end_id]).tobytes()
+    The tokenizer drops white space and never joins what it separates, so ids are looked up by blank-separated word. A
+    new word of plain Latin letters, digits and ASCII signs is cut into the tokenizer's own pieces, looked up in lower
+    case; other words, and pieces not met before, are encoded by the tokenizer. Texts with separators that only one
+    of Python and the tokenizer takes as blanks are encoded whole. Both tables are emptied when full.
+    """
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def __init__(self, path: str, end_id: int, most: int = 600_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.end, self.most = array("I", [end_id]).tobytes(), most
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        simple = [w for w in new if _SIMPLE.fullmatch(w) and "<|" not in w]
+        cut = [_PIECE.findall(w.lower()) for w in simple]
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        unknown = list({p for pieces in cut for p in pieces if p not in self.pieces})
+        self.pieces.update(zip(unknown, self._encode(unknown), strict=True))
+        self.words.update((w, b"".join([self.pieces[p] for p in pieces])) for w, pieces in zip(simple, cut, strict=True))
+        rest = [w for w in new if w not in self.words]
+        self.words.update(zip(rest, self._encode(rest), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         split = [None if _ODD_BLANKS.search(t) else t.split() for t in texts]
-        if len(known) > cache_words:
-            known.clear()
-        new = list({w for words in split if words for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update(zip(part, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        return [(array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if w is None else b"".join(map(known.__getitem__, w))) + end for t, w in zip(texts, split, strict=True)]
+        if len(self.words) > self.most:
+            self.words.clear()
+        new = set()
+        for words in split:
+            if words:
+                new.update(words)
+        new.difference_update(self.words)
+        if new:
+            self._learn(list(new))
+        return [(self._encode([t])[0] if words is None else b"".join(map(self.words.__getitem__, words))) + self.end for t, words in zip(texts, split, strict=True)]
+
+
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+
 
-    return encode
+def encoder(path: str, end_id: int) -> WordEncoder:
+    """One per Python worker, which Spark reuses from task to task."""
+    return _ENCODERS.get((path, end_id)) or _ENCODERS.setdefault((path, end_id), WordEncoder(path, end_id))
 
 
 class Packer:
@@ -144,7 +178,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer_path, end_id)
+        encode = encoder(tokenizer_path, end_id)
         packer = Packer(TaskContext.get().partitionId() << 36, window, tiers, group_windows)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
