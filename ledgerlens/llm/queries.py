@@ -13,6 +13,7 @@ from ledgerlens.llm.license_scan import scan_licenses
 from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.preferences import format_preferences
 from ledgerlens.llm.quality import fit_on_sample, score_quality
+from ledgerlens.llm.repeats import remove_repeats
 from ledgerlens.llm.secret_scan import scan_secrets
 from ledgerlens.llm.simhash import simhash_groups
 from ledgerlens.llm.url_filter import filter_urls
@@ -28,6 +29,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_on_sample(docs, table(spark, sf_dir, "labels")))
@@ -62,7 +67,7 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_quality, op4_secret_scan, op5_url_filter, op6_exact_dedup, op7_packing, op8_license_scan, op9_simhash, op10_preferences)}
+    return {f.__name__: f for f in (op1_decontamination, op2_repeated_strings, op3_quality, op4_secret_scan, op5_url_filter, op6_exact_dedup, op7_packing, op8_license_scan, op9_simhash, op10_preferences)}
 
 
 OP5_SQL = r"""
