@@ -190,6 +190,30 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return fit([bytes(r["data"]) for r in rows], [r["label"] for r in rows])
 
 
+def _scores(model: LineModel, texts: pa.Array, step_bytes: int) -> np.ndarray:
+    scores, held, size = [np.zeros(0)], [], 0
+    for text in texts:
+        held.append((text.as_py() or "").encode("utf-8", "replace"))
+        size += len(held[-1])
+        if size >= step_bytes:
+            scores.append(model.score(held))
+            held, size = [], 0
+    if held:
+        scores.append(model.score(held))
+    return np.concatenate(scores)
+
+
+def keep_good(docs: DataFrame, model: LineModel, text_col: str = "text", threshold: float = 0.3, step_bytes: int = 1 << 20) -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores `threshold` or more; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch.column(at), step_bytes) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_quality(docs: DataFrame, model: LineModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, step_bytes: int = 1 << 20) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
@@ -200,16 +224,7 @@ def score_quality(docs: DataFrame, model: LineModel, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, held, size = [], [], 0
-            for text in batch.column(1):
-                held.append((text.as_py() or "").encode("utf-8", "replace"))
-                size += len(held[-1])
-                if size >= step_bytes:
-                    scores.append(model.score(held))
-                    held, size = [], 0
-            if held:
-                scores.append(model.score(held))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch.column(1), step_bytes), pa.float64())], ["doc_id", "score"])
 
     scored = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

@@ -66,8 +66,14 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(table(spark, sf_dir, "conversations"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_repeated_strings, op3_quality, op4_secret_scan, op5_url_filter, op6_exact_dedup, op7_packing, op8_license_scan, op9_simhash, op10_preferences)}
+    return {f.__name__: f for f in (op1_decontamination, op2_repeated_strings, op3_quality, op4_secret_scan, op5_url_filter, op6_exact_dedup, op7_packing, op8_license_scan, op9_simhash, op10_preferences, pipeline)}
 
 
 OP5_SQL = r"""
