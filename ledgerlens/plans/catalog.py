@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from ledgerlens.plans import rule_queries
+
+MODULES = (rule_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, query in module.queries().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.oracle_sql().items()}
