@@ -47,11 +47,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_pairs(a: np.ndarray, b: np.ndarray, depth: int, budget: int, spent: int, step: int = 1 << 18, leaf: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(a: np.ndarray, b: np.ndarray, depth: int, budget: int, spent: int, starts: np.ndarray | None = None, step: int = 1 << 18, leaf: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of two sorted uint64 arrays that differ in at most `budget` bits; all elements of each array share
-    their first `depth` bits, in which the two differ by `spent`. With `a is b`, each unordered pair comes once."""
+    their first `depth` bits, in which the two differ by `spent`. With `a is b`, each unordered pair comes once; then
+    `starts` may give where the subtrees at that depth begin, each of which is joined with itself."""
     same = a is b
-    stack = [(np.array([0]), np.array([len(a)]), np.array([0]), np.array([len(b)]), np.array([spent]), depth)]
+    begin = np.array([0]) if starts is None else starts
+    end, far = np.append(begin[1:], len(a)), np.append(begin[1:], len(b))
+    stack = [(begin, end, begin, far, np.full(len(begin), spent), depth)]
     while stack:
         al, ar, bl, br, err, d = stack.pop()
         small = ((ar - al) * (br - bl) <= leaf) | (d == 64)
@@ -107,18 +110,16 @@ class _Forest:
 
 def _split_depth(points: DataFrame, leaf_rows: int) -> int:
     """The least depth at which no subtree holds more than `leaf_rows` fingerprints (20 at most)."""
-    total = points.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    total = points.count()
     depth = 0 if total <= leaf_rows else min(20, max(1, (total // leaf_rows).bit_length()))
-    while 0 < depth < 20 and points.groupBy("part", F.shiftrightunsigned("fp", 64 - depth)).count().agg(F.max("count")).first()[0] > leaf_rows:
+    while 0 < depth < 20 and points.groupBy(F.shiftrightunsigned("fp", 64 - depth)).count().agg(F.max("count")).first()[0] > leaf_rows:
         depth = min(20, depth + 2)
     return depth
 
 
-def links(points: DataFrame, budget: int = 2, leaf_rows: int = 30_000, limits: tuple[int, int] | None = None) -> DataFrame:
-    """points(part, fp, rep, sig), fp distinct in each part. Edges (u, v, sure) between reps of one part whose
-    fingerprints differ in at most `budget` bits: enough of them to connect what is connected, no more than rows in a
-    pair of subtrees. With `limits`, whole signatures must differ in at most the second of them, and `sure` tells
-    whether they do in at most the first; unsure edges come only between what sure ones leave apart."""
+def links(points: DataFrame, budget: int = 2, leaf_rows: int = 30_000) -> DataFrame:
+    """points(fp, rep), fp distinct. Edges (u, v) between reps whose fingerprints differ in at most `budget` bits:
+    enough of them to connect what is connected, no more than rows in a pair of subtrees."""
     depth = _split_depth(points, leaf_rows)
     masks = [sum(1 << bit for bit in bits) for k in range(min(budget, depth) + 1) for bits in combinations(range(depth), k)]
     prefix = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
@@ -126,35 +127,28 @@ def links(points: DataFrame, budget: int = 2, leaf_rows: int = 30_000, limits: t
         points.withColumn("own", prefix)
         .withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
         .withColumn("far", F.col("own").bitwiseXOR(F.col("mask")))
-        .select("part", F.least("own", "far").alias("lo"), F.greatest("own", "far").alias("hi"), "own", "fp", "rep", "sig")
+        .select(F.least("own", "far").alias("lo"), F.greatest("own", "far").alias("hi"), "own", "fp", "rep")
     )
 
     def walk(group: pa.Table) -> pa.Table:
         own, fp, rep = group.column("own").to_numpy(), group.column("fp").to_numpy().view(np.uint64), group.column("rep").to_numpy()
         order = np.argsort(fp)
         own, fp, rep = own[order], fp[order], rep[order]
-        sig = None if limits is None else np.frombuffer(b"".join(x.as_py() for x in group.column("sig")), np.uint64).reshape(len(order), -1)[order]
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         at_a = np.flatnonzero(own == lo)
         at_b = at_a if lo == hi else np.flatnonzero(own == hi)
         a = fp[at_a]
         b = a if lo == hi else fp[at_b]
-        forest, edges, unsure = _Forest(len(fp)), [], []
+        forest, us, vs = _Forest(len(fp)), [], []
         if len(a) and len(b):
             for i, j in trie_pairs(a, b, depth, budget, (lo ^ hi).bit_count()):
-                x, y = at_a[i], at_b[j]
-                if limits is not None:
-                    apart = np.bitwise_count(sig[x] ^ sig[y]).sum(1)
-                    far = (apart > limits[0]) & (apart <= limits[1])
-                    unsure.append((x[far], y[far]))
-                    x, y = x[apart <= limits[0]], y[apart <= limits[0]]
-                edges += [(one, other, True) for one, other in zip(x.tolist(), y.tolist(), strict=True) if forest.join(one, other)]
-        for x, y in unsure:
-            edges += [(one, other, False) for one, other in zip(x.tolist(), y.tolist(), strict=True) if forest.join(one, other)]
-        ends = np.array([e[:2] for e in edges], np.int64).reshape(-1, 2)
-        return pa.table({"u": pa.array(rep[ends[:, 0]]), "v": pa.array(rep[ends[:, 1]]), "sure": pa.array([e[2] for e in edges], pa.bool_())})
+                for x, y in zip(at_a[i].tolist(), at_b[j].tolist(), strict=True):
+                    if forest.join(x, y):
+                        us.append(int(rep[x]))
+                        vs.append(int(rep[y]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return sides.groupBy("part", "lo", "hi").applyInArrow(walk, "u long, v long, sure boolean")
+    return sides.groupBy("lo", "hi").applyInArrow(walk, "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2, leaf_rows: int = 30_000) -> DataFrame:
@@ -167,15 +161,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
     points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    known = points.filter("rep is not null").select(F.lit(0).alias("part"), "fp", "rep", F.lit(None).cast("binary").alias("sig"))
+    known = points.filter("rep is not null")
     roots = components(links(known, budget, leaf_rows))
     classes = points.join(roots, points["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-SLICES, SLICE_BITS = 20, 32
+SLICES, SLICE_BITS = 16, 28
 _WORDS = SLICES * SLICE_BITS // 64
 _STRIDE = np.arange(1, _WORDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+#: Places and sizes of three blocks of a slice's code: codes that differ in two bits share one of them.
+_BLOCKS = ((0, 10), (10, 9), (19, 9))
 
 
 def _shingles(text: str, shingle: int) -> set[bytes]:
@@ -199,16 +195,62 @@ def signature(text: str | None, shingle: int = 5) -> bytes:
     return np.packbits(ones * 2 > len(codes)).tobytes()
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 2, leaf_rows: int = 30_000) -> DataFrame:
+def _slice_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, sig to rep, part, code: the slices of each signature as numbers."""
+    for batch in batches:
+        bits = np.unpackbits(np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint8)).reshape(-1, SLICES, SLICE_BITS)
+        codes = bits @ (1 << np.arange(SLICE_BITS - 1, -1, -1, dtype=np.int64))
+        rep = np.repeat(batch.column(0).to_numpy(), SLICES)
+        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.tile(np.arange(SLICES, dtype=np.int32), len(bits))), pa.array(codes.ravel())], ["rep", "part", "code"])
+
+
+def _apart(u: bytes, v: bytes) -> int:
+    return (int.from_bytes(u) ^ int.from_bytes(v)).bit_count()
+
+
+def _slice_links(firsts: DataFrame, budget: int, limits: tuple[int, int], bucket_rows: int) -> DataFrame:
+    """firsts(part, code, rep, sig), codes distinct in each part. Edges (u, v, sure) between reps of one part whose codes
+    differ in at most `budget` bits and whole signatures in at most limits[1]; sure ones in at most limits[0], and
+    unsure ones only between what sure ones of the same bucket leave apart. Two such codes share a block, so each code
+    goes to one bucket for each block, where the subtrees below equal blocks are joined with themselves."""
+    buckets = max(1, firsts.count() // SLICES // bucket_rows)
+    turn = lambda at: F.shiftright("code", SLICE_BITS - at).bitwiseOR(F.shiftleft("code", at)).bitwiseAND(F.lit((1 << SLICE_BITS) - 1))
+    ways = F.array(*[F.struct(F.lit(k).alias("block"), F.pmod(F.shiftright(turn(at), SLICE_BITS - size), F.lit(buckets)).cast("int").alias("bucket"), turn(at).alias("turned")) for k, (at, size) in enumerate(_BLOCKS)])
+    sides = firsts.select("part", "rep", "sig", F.inline(ways))
+
+    def walk(group: pa.Table) -> pa.Table:
+        _, size = _BLOCKS[group.column("block")[0].as_py()]
+        codes = group.column("turned").to_numpy().astype(np.uint64) << np.uint64(64 - SLICE_BITS)
+        order = np.argsort(codes)
+        codes, rep = codes[order], group.column("rep").to_numpy()[order]
+        sig = np.frombuffer(b"".join(x.as_py() for x in group.column("sig")), np.uint64).reshape(len(order), -1)[order]
+        blocks = codes >> np.uint64(64 - size)
+        starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+        forest, edges, unsure = _Forest(len(rep)), [], []
+        for x, y in trie_pairs(codes, codes, size, budget, 0, starts):
+            apart = np.bitwise_count(sig[x] ^ sig[y]).sum(1)
+            far = (apart > limits[0]) & (apart <= limits[1])
+            unsure.append((x[far], y[far]))
+            near = apart <= limits[0]
+            edges += [(one, other, True) for one, other in zip(x[near].tolist(), y[near].tolist(), strict=True) if forest.join(one, other)]
+        for x, y in unsure:
+            edges += [(one, other, False) for one, other in zip(x.tolist(), y.tolist(), strict=True) if forest.join(one, other)]
+        ends = np.array([e[:2] for e in edges], np.int64).reshape(-1, 2)
+        return pa.table({"u": pa.array(rep[ends[:, 0]]), "v": pa.array(rep[ends[:, 1]]), "sure": pa.array([e[2] for e in edges], pa.bool_())})
+
+    return sides.groupBy("part", "block", "bucket").applyInArrow(walk, "u long, v long, sure boolean")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 2, bucket_rows: int = 16_384) -> DataFrame:
     """One row per input row: doc_id, component_id (smallest doc_id reachable).
 
     Documents are near duplicates if the Jaccard similarity of their sets of word shingles is `similarity` or more.
-    Pairs are found as in `simhash_groups`, by a trie self-join of each 32-bit slice of a 640-bit SimHash: a pair at the
-    threshold itself shares one of the 20 slices but for `budget` bits with a probability of 0.92, one at 0.85 with
-    0.99. The differing bits of the whole SimHash settle pairs that are clearly alike or not; those in between, where
-    they are not linked already, are compared shingle by shingle. Documents of one slice code are compared with the
-    first of them, so no group of copies is ever gathered or paired up. Nulls, empty texts, repeated rows, empty tables
-    and further columns are treated as in `simhash_groups`.
+    Pairs are found by a trie self-join of each 28-bit slice of a 448-bit SimHash: a pair at the threshold itself shares
+    one of the 16 slices but for `budget` bits with a probability of 0.96, one at 0.85 with 0.99. The differing bits of
+    the whole SimHash settle pairs that are clearly alike or not; those in between, where they are not linked already,
+    are compared shingle by shingle. Documents of one slice code are compared with the first of them, so no group of
+    copies is ever gathered or paired up. Nulls, empty texts, repeated rows, empty tables and further columns are
+    treated as in `simhash_groups`.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits, error = SLICES * SLICE_BITS, np.sqrt(share * (1 - share) * SLICES * SLICE_BITS)
@@ -218,21 +260,30 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(t.as_py(), shingle) for t in batch.column(1)], pa.binary())], ["doc_id", "sig"])
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.array([_apart(u.as_py(), v.as_py()) for u, v in zip(batch.column(2), batch.column(3), strict=True)])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart <= limits[0])], ["u", "v", "sure"])
+            yield out.filter(pa.array(apart <= limits[1]))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for one, other in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = _shingles(one.as_py(), shingle), _shingles(other.as_py(), shingle)
+                alike.append(len(x & y) >= similarity * len(x | y))
+            yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
+
     rows = cut(pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sig binary"))
     points = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    code = F.conv(F.hex(F.substring("sig", F.col("part") * (SLICE_BITS // 8) + 1, F.lit(SLICE_BITS // 8))), 16, 10).cast("long")
-    sliced = points.filter("rep is not null").select(F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("part"), "rep", "sig").withColumn("fp", F.shiftleft(code, 64 - SLICE_BITS))
-    firsts = cut(sliced.groupBy("part", "fp").agg(F.min(F.struct("rep", "sig")).alias("first")).select("part", "fp", "first.rep", "first.sig"))
-    # distances to the first of a code, four bytes at a time
-    apart = sum((F.bit_count(F.conv(F.hex(F.substring("sig", k + 1, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("first_sig", k + 1, 4)), 16, 10).cast("long"))) for k in range(0, 8 * _WORDS, 4)), F.lit(0))
-    stars = (
-        sliced.join(firsts.select("part", "fp", F.col("rep").alias("first"), F.col("sig").alias("first_sig")), ["part", "fp"])
-        .filter(F.col("rep") != F.col("first"))
-        .select(F.col("rep").alias("u"), F.col("first").alias("v"), apart.alias("apart"))
-        .filter(F.col("apart") <= limits[1])
-        .select("u", "v", (F.col("apart") <= limits[0]).alias("sure"))
-    )
-    edges = cut(links(firsts, budget, leaf_rows, limits).union(stars))
+    signed = points.filter("rep is not null").select("rep", "sig")
+    sliced = signed.mapInArrow(_slice_codes, "rep long, part int, code long")
+    firsts = cut(sliced.groupBy("part", "code").agg(F.min("rep").alias("rep")))
+    tries = _slice_links(firsts.join(signed.groupBy("rep").agg(F.min("sig").alias("sig")), "rep"), budget, limits, bucket_rows)
+    stars = sliced.join(firsts.withColumnRenamed("rep", "first"), ["part", "code"]).filter("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v")).distinct()
+    ends = lambda end: signed.groupBy("rep").agg(F.min("sig").alias(f"sig_{end}")).withColumnRenamed("rep", end)
+    stars = stars.join(ends("u"), "u").join(ends("v"), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(judge, "u long, v long, sure boolean")
+    edges = cut(tries.union(stars))
     sure = edges.filter("sure").select("u", "v")
     settled = cut(components(sure))
 
@@ -242,15 +293,6 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     asked = root(root(edges.filter("not sure").select("u", "v").distinct(), "u"), "v").filter("root_u <> root_v").select("u", "v")
     texts = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     both = asked.join(texts.withColumnsRenamed({"doc_id": "u", "text": "a"}), "u").join(texts.withColumnsRenamed({"doc_id": "v", "text": "b"}), "v").select("u", "v", "a", "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = []
-            for one, other in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = _shingles(one.as_py(), shingle), _shingles(other.as_py(), shingle)
-                alike.append(len(x & y) >= similarity * len(x | y))
-            yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
-
     roots = components(sure.union(both.mapInArrow(compare, "u long, v long")))
     classes = points.join(roots, points["rep"] == roots["node"], "left").select("sig", F.coalesce("root", "rep").alias("component_id"))
     return rows.join(classes, "sig").select("doc_id", "component_id")
