@@ -46,6 +46,10 @@ def _object(value: Column, kind: str) -> Column:
     return F.when(F.schema_of_variant(value).startswith("OBJECT"), made)
 
 
+def _as(kind: str):
+    return lambda value: _object(value, kind)
+
+
 def _fields_of(kind: str) -> list[str]:
     body, depth, parts, start = kind[len("struct<") : -1], 0, [], 0
     for at, sign in enumerate(body):
@@ -66,7 +70,7 @@ def from_json_text(df: DataFrame, json_col: str = "value", id_col: str = "doc_id
         if name == "doc_id":
             columns.append(F.col("doc_id"))
         elif kind.startswith("array<"):
-            columns.append(F.transform(F.try_variant_get(v, f"$.{name}", "array<variant>"), lambda x, k=kind[6:-1]: _object(x, k)).alias(name))
+            columns.append(F.transform(F.try_variant_get(v, f"$.{name}", "array<variant>"), _as(kind[6:-1])).alias(name))
         elif kind.startswith("struct<"):
             columns.append(_object(F.try_variant_get(v, f"$.{name}", "variant"), kind).alias(name))
         elif kind == "boolean":
