@@ -25,7 +25,13 @@ def route_files(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    return route_files(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path))
+    """All files below a path with their route. Spark's scan skips files without bytes, so those that only its listing has
+    are added as rows of length 0."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "name string")
+    bare = F.regexp_replace(F.url_decode(F.regexp_replace("name", r"\+", "%2B")), "^file:/+", "file:/")
+    empty = listed.select(bare.alias("path")).join(files.select("path"), "path", "left_anti").withColumn("length", F.lit(0).cast("long"))
+    return route_files(files.unionByName(empty, allowMissingColumns=True))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
