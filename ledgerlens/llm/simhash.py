@@ -8,7 +8,7 @@ a pair is pruned as soon as they exceed the budget. Only a spanning forest of th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -196,27 +196,78 @@ def signature(text: str | None, shingle: int = 5) -> bytes:
 
 
 def _slice_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rep, sig to rep, part, code: the slices of each signature as numbers."""
+    """rep, sig to rep, sig, part, code: the slices of each signature as numbers."""
     for batch in batches:
         bits = np.unpackbits(np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint8)).reshape(-1, SLICES, SLICE_BITS)
         codes = bits @ (1 << np.arange(SLICE_BITS - 1, -1, -1, dtype=np.int64))
-        rep = np.repeat(batch.column(0).to_numpy(), SLICES)
-        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.tile(np.arange(SLICES, dtype=np.int32), len(bits))), pa.array(codes.ravel())], ["rep", "part", "code"])
-
-
-def _apart(u: bytes, v: bytes) -> int:
-    return (int.from_bytes(u) ^ int.from_bytes(v)).bit_count()
-
-
-def _slice_links(firsts: DataFrame, budget: int, limits: tuple[int, int], bucket_rows: int) -> DataFrame:
-    """firsts(part, code, rep, sig), codes distinct in each part. Edges (u, v, sure) between reps of one part whose codes
-    differ in at most `budget` bits and whole signatures in at most limits[1]; sure ones in at most limits[0], and
-    unsure ones only between what sure ones of the same bucket leave apart. Two such codes share a block, so each code
-    goes to one bucket for each block, where the subtrees below equal blocks are joined with themselves."""
-    buckets = max(1, firsts.count() // SLICES // bucket_rows)
+        each = pa.array(np.repeat(np.arange(len(bits)), SLICES))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(each), batch.column(1).take(each), pa.array(np.tile(np.arange(SLICES, dtype=np.int32), len(bits))), pa.array(codes.ravel())], ["rep", "sig", "part", "code"])
+
+
+def _bits_apart(sig: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(sig[x] ^ sig[y]).sum(1, dtype=np.int64)
+
+
+def _spread(owners: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of `owners` the places start to start + count: (index into owners, place)."""
+    n = count[owners]
+    at = np.repeat(np.arange(len(owners)), n)
+    return at, start[owners][at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _leaders(sig: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Within each run of rows: the leader of each row, at most `limit` bits from it, and each leader's farthest row."""
+    lead, reach = np.arange(len(sig)), np.zeros(len(sig), np.int64)
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        left = np.arange(a, b)
+        while len(left) > 1:
+            apart = _bits_apart(sig, left, left[:1])
+            near = apart <= limit
+            lead[left[near]], reach[left[0]] = left[0], apart[near].max()
+            left = left[~near]
+    return lead, reach
+
+
+def _leader_pairs(codes: np.ndarray, size: int, budget: int, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of sorted codes, repeats included, that share their first `size` bits and differ in at most `budget`."""
+    plain, start, count = np.unique(codes, return_index=True, return_counts=True)
+    blocks = plain >> np.uint64(64 - size)
+    begin = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+    twins = np.flatnonzero(count > 1)
+    for i, j in chain([(twins, twins)], trie_pairs(plain, plain, size, budget, 0, begin)):
+        at, x = _spread(i, start, count)
+        far = j[at]
+        total = np.cumsum(count[far])
+        edges = np.searchsorted(total, np.arange(step, total[-1] + step, step), "right") if len(total) else []
+        for a, b in zip([0, *edges], [*edges, len(far)]):
+            for k in range(a, b, step):
+                own, y = _spread(far[k : min(b, k + step)], start, count)
+                own = x[k : min(b, k + step)][own]
+                once = own < y
+                yield own[once], y[once]
+
+
+def _slice_links(signed: DataFrame, budget: int, limits: tuple[int, int], bucket_rows: int) -> DataFrame:
+    """signed(rep, sig). Edges (u, v, sure) between reps of which one slice differs in at most `budget` bits and the whole
+    signatures in at most limits[1]; sure ones in at most limits[0], and unsure ones only between what sure ones of the
+    same bucket leave apart. Two such slices share a block, so each goes to one bucket for each block, where equal
+    blocks are joined with themselves. A bucket of too many rows is dealt into salts, and each pair of salts is a group.
+
+    Rows of one slice code are put behind leaders at most limits[0] bits away, which joins them; leaders are paired,
+    and the rows behind two leaders that stay apart are compared with each other unless they are too far by the
+    distances to their leaders.
+    """
+    buckets = max(1, signed.count() // bucket_rows)
     turn = lambda at: F.shiftright("code", SLICE_BITS - at).bitwiseOR(F.shiftleft("code", at)).bitwiseAND(F.lit((1 << SLICE_BITS) - 1))
     ways = F.array(*[F.struct(F.lit(k).alias("block"), F.pmod(F.shiftright(turn(at), SLICE_BITS - size), F.lit(buckets)).cast("int").alias("bucket"), turn(at).alias("turned")) for k, (at, size) in enumerate(_BLOCKS)])
-    sides = firsts.select("part", "rep", "sig", F.inline(ways))
+    sides = signed.mapInArrow(_slice_codes, "rep long, sig binary, part int, code long").select("part", "rep", "sig", F.inline(ways))
+    bucket = ["part", "block", "bucket"]
+    full = cut(sides.groupBy(*bucket).count().filter(F.col("count") > 2 * bucket_rows).select(*bucket, F.ceil(F.col("count") / bucket_rows).cast("int").alias("salts")))
+    if not full.isEmpty():
+        dealt = sides.join(F.broadcast(full), bucket, "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int"))
+        sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*bucket, F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "rep", "sig", "turned")
+    else:
+        sides = sides.select(*bucket, F.lit(0).alias("lo"), F.lit(0).alias("hi"), "rep", "sig", "turned")
 
     def walk(group: pa.Table) -> pa.Table:
         _, size = _BLOCKS[group.column("block")[0].as_py()]
@@ -224,21 +275,44 @@ def _slice_links(firsts: DataFrame, budget: int, limits: tuple[int, int], bucket
         order = np.argsort(codes)
         codes, rep = codes[order], group.column("rep").to_numpy()[order]
         sig = np.frombuffer(b"".join(x.as_py() for x in group.column("sig")), np.uint64).reshape(len(order), -1)[order]
-        blocks = codes >> np.uint64(64 - size)
-        starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
-        forest, edges, unsure = _Forest(len(rep)), [], []
-        for x, y in trie_pairs(codes, codes, size, budget, 0, starts):
-            apart = np.bitwise_count(sig[x] ^ sig[y]).sum(1)
-            far = (apart > limits[0]) & (apart <= limits[1])
-            unsure.append((x[far], y[far]))
+        forest, edges, unsure, wide = _Forest(len(rep)), [], [], []
+
+        def join(x: np.ndarray, y: np.ndarray) -> None:
+            edges.extend((one, other, True) for one, other in zip(x.tolist(), y.tolist(), strict=True) if forest.join(one, other))
+
+        _, start, count = np.unique(codes, return_index=True, return_counts=True)
+        lead, reach = _leaders(sig, start[count > 1], (start + count)[count > 1], limits[0])
+        behind = np.flatnonzero(lead != np.arange(len(lead)))
+        join(behind, lead[behind])
+        leaders, rows = np.flatnonzero(lead == np.arange(len(lead))), np.argsort(lead, kind="stable")
+        first = np.searchsorted(lead[rows], np.arange(len(lead) + 1))
+        for i, j in _leader_pairs(codes[leaders], size, budget):
+            x, y = leaders[i], leaders[j]
+            apart = _bits_apart(sig, x, y)
             near = apart <= limits[0]
-            edges += [(one, other, True) for one, other in zip(x[near].tolist(), y[near].tolist(), strict=True) if forest.join(one, other)]
+            join(x[near], y[near])
+            open_ = ~near & (apart - reach[x] - reach[y] <= limits[1])
+            alone = (first[x + 1] - first[x]) * (first[y + 1] - first[y]) == 1
+            unsure.append((x[open_ & alone], y[open_ & alone]))
+            wide.append((x[open_ & ~alone], y[open_ & ~alone]))
+        for one, other in ((a, b) for x, y in wide for a, b in zip(x.tolist(), y.tolist(), strict=True)):
+            mine, theirs = rows[first[one] : first[one + 1]], rows[first[other] : first[other + 1]]
+            part = max(1, (1 << 20) // len(theirs))
+            for at in range(0, len(mine), part):
+                if forest.root(one) == forest.root(other):
+                    break
+                x, y = np.repeat(mine[at : at + part], len(theirs)), np.tile(theirs, len(mine[at : at + part]))
+                apart = _bits_apart(sig, x, y)
+                near = np.flatnonzero(apart <= limits[0])[:1]
+                join(x[near], y[near])
+                far = (apart > limits[0]) & (apart <= limits[1])
+                unsure.append((x[far], y[far]))
         for x, y in unsure:
             edges += [(one, other, False) for one, other in zip(x.tolist(), y.tolist(), strict=True) if forest.join(one, other)]
         ends = np.array([e[:2] for e in edges], np.int64).reshape(-1, 2)
         return pa.table({"u": pa.array(rep[ends[:, 0]]), "v": pa.array(rep[ends[:, 1]]), "sure": pa.array([e[2] for e in edges], pa.bool_())})
 
-    return sides.groupBy("part", "block", "bucket").applyInArrow(walk, "u long, v long, sure boolean")
+    return sides.groupBy(*bucket, "lo", "hi").applyInArrow(walk, "u long, v long, sure boolean")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 2, bucket_rows: int = 16_384) -> DataFrame:
@@ -248,8 +322,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Pairs are found by a trie self-join of each 28-bit slice of a 448-bit SimHash: a pair at the threshold itself shares
     one of the 16 slices but for `budget` bits with a probability of 0.96, one at 0.85 with 0.99. The differing bits of
     the whole SimHash settle pairs that are clearly alike or not; those in between, where they are not linked already,
-    are compared shingle by shingle. Documents of one slice code are compared with the first of them, so no group of
-    copies is ever gathered or paired up. Nulls, empty texts, repeated rows, empty tables and further columns are
+    are compared shingle by shingle. Every pair that shares a slice so is a candidate, those of one slice code too, save
+    those that sure pairs join already; rows of equal SimHash are one. Nulls, empty texts, repeated rows, empty tables and further columns are
     treated as in `simhash_groups`.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
@@ -260,30 +334,31 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(t.as_py(), shingle) for t in batch.column(1)], pa.binary())], ["doc_id", "sig"])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            apart = np.array([_apart(u.as_py(), v.as_py()) for u, v in zip(batch.column(2), batch.column(3), strict=True)])
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart <= limits[0])], ["u", "v", "sure"])
-            yield out.filter(pa.array(apart <= limits[1]))
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = {}, 0
+
+        def held(text: str) -> set[bytes]:
+            nonlocal size
+            if text not in kept:
+                grams = _shingles(text, shingle)
+                if size + len(grams) > 500_000:
+                    kept.clear()
+                    size = 0
+                kept[text], size = grams, size + len(grams)
+            return kept[text]
+
         for batch in batches:
             alike = []
             for one, other in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = _shingles(one.as_py(), shingle), _shingles(other.as_py(), shingle)
-                alike.append(len(x & y) >= similarity * len(x | y))
+                x, y = held(one.as_py()), held(other.as_py())
+                both = len(x & y)
+                alike.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
     rows = cut(pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sig binary"))
     points = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("rep")))
     signed = points.filter("rep is not null").select("rep", "sig")
-    sliced = signed.mapInArrow(_slice_codes, "rep long, part int, code long")
-    firsts = cut(sliced.groupBy("part", "code").agg(F.min("rep").alias("rep")))
-    tries = _slice_links(firsts.join(signed.groupBy("rep").agg(F.min("sig").alias("sig")), "rep"), budget, limits, bucket_rows)
-    stars = sliced.join(firsts.withColumnRenamed("rep", "first"), ["part", "code"]).filter("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v")).distinct()
-    ends = lambda end: signed.groupBy("rep").agg(F.min("sig").alias(f"sig_{end}")).withColumnRenamed("rep", end)
-    stars = stars.join(ends("u"), "u").join(ends("v"), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(judge, "u long, v long, sure boolean")
-    edges = cut(tries.union(stars))
+    edges = cut(_slice_links(signed, budget, limits, bucket_rows))
     sure = edges.filter("sure").select("u", "v")
     settled = cut(components(sure))
 

@@ -149,3 +149,18 @@ def test_near_duplicates(frame, odd, empty):
         assert got[k] == k and (got[k + 40] == k) == (alike >= 0.8), alike
     rows = near_duplicate_groups(odd).collect()
     assert len(rows) == 10 and {r["component_id"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1} and near_duplicate_groups(empty).count() == 0
+
+
+def test_near_copies_inside_a_family(frame):
+    rng = random.Random(12)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage = own(200)
+    texts = [f"{passage} {own(45)}" for _ in range(1200)]
+    for k in range(1000, 1200):
+        edited = texts[k].split(" ")
+        for at in rng.sample(range(len(edited)), 3):
+            edited[at] = "zz"
+        texts.append(" ".join(edited))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(frame(list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(1200)] == list(range(1200))
+    assert len([k for k in range(1200, 1400) if got[k] != k - 200]) <= 2
