@@ -249,8 +249,8 @@ def _leader_pairs(codes: np.ndarray, size: int, budget: int, step: int = 1 << 20
 
 def _slice_links(signed: DataFrame, budget: int, limits: tuple[int, int], bucket_rows: int) -> DataFrame:
     """signed(rep, sig). Edges (u, v, sure) between reps of which one slice differs in at most `budget` bits and the whole
-    signatures in at most limits[1]; sure ones in at most limits[0], and unsure ones only between what sure ones of the
-    same bucket leave apart. Two such slices share a block, so each goes to one bucket for each block, where equal
+    signatures in at most limits[1]; of sure ones, in at most limits[0], a spanning forest of each bucket, and of unsure
+    ones every pair that the sure ones of its bucket leave apart, from the first slice and block it shares. Two such slices share a block, so each goes to one bucket for each block, where equal
     blocks are joined with themselves. A bucket of too many rows is dealt into salts, and each pair of salts is a group.
 
     Rows of one slice code are put behind leaders at most limits[0] bits away, which joins them; leaders are paired,
@@ -265,9 +265,9 @@ def _slice_links(signed: DataFrame, budget: int, limits: tuple[int, int], bucket
     full = cut(sides.groupBy(*bucket).count().filter(F.col("count") > 2 * bucket_rows).select(*bucket, F.ceil(F.col("count") / bucket_rows).cast("int").alias("salts")))
     if not full.isEmpty():
         dealt = sides.join(F.broadcast(full), bucket, "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int"))
-        sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*bucket, F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "rep", "sig", "turned")
+        sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*bucket, F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "rep", "sig", "turned")
     else:
-        sides = sides.select(*bucket, F.lit(0).alias("lo"), F.lit(0).alias("hi"), "rep", "sig", "turned")
+        sides = sides.select(*bucket, F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("salt"), "rep", "sig", "turned")
 
     def walk(group: pa.Table) -> pa.Table:
         _, size = _BLOCKS[group.column("block")[0].as_py()]
@@ -277,8 +277,22 @@ def _slice_links(signed: DataFrame, budget: int, limits: tuple[int, int], bucket
         sig = np.frombuffer(b"".join(x.as_py() for x in group.column("sig")), np.uint64).reshape(len(order), -1)[order]
         forest, edges, unsure, wide = _Forest(len(rep)), [], [], []
 
+        part, block, side = group.column("part")[0].as_py(), group.column("block")[0].as_py(), group.column("salt").to_numpy()[order]
+        two = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
+
+        def ask(x: np.ndarray, y: np.ndarray) -> None:
+            for at in range(0, len(x), 1 << 16):
+                one, other = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+                bits = np.unpackbits((sig[one] ^ sig[other]).view(np.uint8), axis=1).reshape(-1, SLICES, SLICE_BITS)
+                here = ~(bits[:, :part].sum(2) <= budget).any(1)
+                for first_bit, width in _BLOCKS[:block]:
+                    here &= bits[:, part, first_bit : first_bit + width].any(1)
+                if two:
+                    here &= side[one] != side[other]
+                unsure.append((one[here], other[here]))
+
         def join(x: np.ndarray, y: np.ndarray) -> None:
-            edges.extend((one, other, True) for one, other in zip(x.tolist(), y.tolist(), strict=True) if forest.join(one, other))
+            edges.extend((one, other) for one, other in zip(x.tolist(), y.tolist(), strict=True) if forest.join(one, other))
 
         _, start, count = np.unique(codes, return_index=True, return_counts=True)
         lead, reach = _leaders(sig, start[count > 1], (start + count)[count > 1], limits[0])
@@ -293,24 +307,26 @@ def _slice_links(signed: DataFrame, budget: int, limits: tuple[int, int], bucket
             join(x[near], y[near])
             open_ = ~near & (apart - reach[x] - reach[y] <= limits[1])
             alone = (first[x + 1] - first[x]) * (first[y + 1] - first[y]) == 1
-            unsure.append((x[open_ & alone], y[open_ & alone]))
+            ask(x[open_ & alone], y[open_ & alone])
             wide.append((x[open_ & ~alone], y[open_ & ~alone]))
         for one, other in ((a, b) for x, y in wide for a, b in zip(x.tolist(), y.tolist(), strict=True)):
             mine, theirs = rows[first[one] : first[one + 1]], rows[first[other] : first[other + 1]]
-            part = max(1, (1 << 20) // len(theirs))
-            for at in range(0, len(mine), part):
+            step = max(1, (1 << 20) // len(theirs))
+            for at in range(0, len(mine), step):
                 if forest.root(one) == forest.root(other):
                     break
-                x, y = np.repeat(mine[at : at + part], len(theirs)), np.tile(theirs, len(mine[at : at + part]))
+                x, y = np.repeat(mine[at : at + step], len(theirs)), np.tile(theirs, len(mine[at : at + step]))
                 apart = _bits_apart(sig, x, y)
                 near = np.flatnonzero(apart <= limits[0])[:1]
                 join(x[near], y[near])
                 far = (apart > limits[0]) & (apart <= limits[1])
-                unsure.append((x[far], y[far]))
-        for x, y in unsure:
-            edges += [(one, other, False) for one, other in zip(x.tolist(), y.tolist(), strict=True) if forest.join(one, other)]
-        ends = np.array([e[:2] for e in edges], np.int64).reshape(-1, 2)
-        return pa.table({"u": pa.array(rep[ends[:, 0]]), "v": pa.array(rep[ends[:, 1]]), "sure": pa.array([e[2] for e in edges], pa.bool_())})
+                ask(x[far], y[far])
+        root = np.array([forest.root(x) for x in range(len(rep))])
+        ends = np.array(edges, np.int64).reshape(-1, 2)
+        x, y = (np.concatenate([np.zeros(0, np.int64), *side]) for side in zip(*unsure, strict=True)) if unsure else (ends[:0, 0], ends[:0, 1])
+        apart = root[x] != root[y]
+        u, v = rep[np.concatenate([ends[:, 0], x[apart]])], rep[np.concatenate([ends[:, 1], y[apart]])]
+        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v)), "sure": pa.array(np.arange(len(u)) < len(ends))})
 
     return sides.groupBy(*bucket, "lo", "hi").applyInArrow(walk, "u long, v long, sure boolean")
 
