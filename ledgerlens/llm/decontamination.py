@@ -19,6 +19,7 @@ UNITS = ("km", "kg", "cm", "mm", "mg", "ml", "m", "g", "l", "s", "h", "min", "ho
 _TOKEN = r"\p{L}[\p{L}\p{M}'’]*|\p{N}+(?:[.,]\p{N}+)*|[%€$£°]|[.!?:;\n]+"
 _SLOTTED = ("\u0001n", "\u0001w", "\u0001u")
 _GAP = "\u0002"
+_CELLS = "array<struct<code:bigint,at:int,slots:string,exact:boolean>>"
 
 
 def _tokens(text: Column) -> Column:
@@ -43,27 +44,28 @@ def _tokens(text: Column) -> Column:
     return F.transform(F.array(raw), canonical)[0]
 
 
-def _windows(tokens: str, sizes: list[int]) -> Column:
-    """Structs (code, at, slots) of all windows of the given sizes; a window's slots are null where it has none."""
+def _windows(tokens: str, sizes: list[int], min_words: int, exact: list[int]) -> Column:
+    """Structs (code, at, slots, exact) of all windows of the given sizes; a window's slots are null where it has none.
+    A window of a size in `exact` with too few plain words is coded by its words instead of its template."""
     has_slots = F.exists(tokens, lambda x: x["s"] != "")
 
     def of(size: int) -> Column:
         template, slots = F.transform(tokens, lambda x: x["t"]), F.transform(tokens, lambda x: x["s"])
-        cells = F.transform(
-            F.array(F.struct(template.alias("t"), slots.alias("s"), has_slots.alias("h"), F.size(tokens).alias("n"))),
-            lambda d: F.when(
-                d["n"] >= size,
-                F.transform(
-                    F.sequence(F.lit(1), d["n"] - size + 1),
-                    lambda i: F.struct(
-                        F.xxhash64(F.slice(d["t"], i, size)).alias("code"),
-                        i.alias("at"),
-                        F.when(d["h"], F.array_join(F.slice(d["s"], i, size), _GAP)).alias("slots"),
-                    ),
-                ),
-            ),
-        )[0]
-        return F.coalesce(cells, F.array().cast("array<struct<code:bigint,at:int,slots:string>>"))
+        words = F.transform(tokens, lambda x: F.when(x["s"] != "", x["s"]).otherwise(x["t"]))
+
+        def cell(d: Column, i: Column) -> Column:
+            plain = F.xxhash64(F.slice(d["t"], i, size))
+            few = d["h"] & (F.size(F.filter(F.slice(d["s"], i, size), lambda x: x == "")) < min(min_words, size))
+            return F.struct(
+                (F.when(few, F.xxhash64(F.lit(_GAP), F.slice(d["w"], i, size))).otherwise(plain) if size in exact else plain).alias("code"),
+                i.alias("at"),
+                F.when(d["h"], F.array_join(F.slice(d["s"], i, size), _GAP)).alias("slots"),
+                (few if size in exact else F.lit(False)).alias("exact"),
+            )
+
+        whole = F.struct(template.alias("t"), slots.alias("s"), (words if size in exact else F.lit(None).cast("array<string>")).alias("w"), has_slots.alias("h"), F.size(tokens).alias("n"))
+        cells = F.transform(F.array(whole), lambda d: F.when(d["n"] >= size, F.transform(F.sequence(F.lit(1), d["n"] - size + 1), lambda i: cell(d, i))))[0]
+        return F.coalesce(cells, F.array().cast(_CELLS))
 
     return reduce(lambda a, b: F.concat(a, b), [of(s) for s in sizes])
 
@@ -74,34 +76,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     A document leaks an item if it holds at least `min_coverage` of the item's distinct windows and every slot of the
     item goes with one value of the document and the other way round. Windows with fewer than `min_words` plain words
-    do not count; items of fewer tokens than a window are one window of their own length. Null and empty texts and
-    items, and null ids, match nothing. Rows that repeat an id are judged together. The benchmark is broadcast only
-    while it has at most `broadcast_windows` windows. Other columns of either input are ignored.
+    match only with the same words, other windows also with other values; items of fewer tokens than a window are one
+    window of their own length. Null and empty texts and items, and
+    null ids, match nothing. Rows that repeat an id are judged together. The benchmark is broadcast only while it has
+    at most `broadcast_windows` windows. Other columns of either input are ignored.
     """
     items = cut(pick(benchmark, item_id=item_col, text=item_text_col).filter("item_id is not null").select("item_id", _tokens(text_or_empty()).alias("tokens")).withColumn("size", F.least(F.size("tokens"), F.lit(window))).filter("size > 0"))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [window]  # at most `window` values
-    least = F.least(F.lit(min_words), F.col("size"))
-    known = F.concat(*[F.when(F.col("size") == s, _windows("tokens", [s])).otherwise(F.array().cast("array<struct<code:bigint,at:int,slots:string>>")) for s in sizes])
-    plain = F.size(F.filter(F.slice("tokens", F.col("w.at"), F.col("size")), lambda x: x["s"] == ""))
-    wanted = cut(items.select("item_id", "tokens", "size", F.explode(known).alias("w")).filter(plain >= least).groupBy("item_id", "w.code").agg(F.min("w.slots").alias("item_slots")).withColumn("item_slots", F.coalesce("item_slots", F.lit(""))))
-    totals = wanted.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    known = F.concat(*[F.when(F.col("size") == s, _windows("tokens", [s], min_words, [s])).otherwise(F.array().cast(_CELLS)) for s in sizes])
+    # of an item's equal windows the first place stands for all
+    wanted = cut(items.select("item_id", "size", F.explode(known).alias("w")).groupBy("item_id", "size", "w.code", "w.exact", F.coalesce("w.slots", F.lit("")).alias("item_slots")).agg(F.min("w.at").alias("item_at")))
+    exact = sorted(r["size"] for r in wanted.filter("exact").select("size").distinct().collect())
+    totals = wanted.groupBy("item_id").agg(F.count_distinct("code").alias("n_windows"))
 
     texts = pick(docs, doc_id=id_col, text=text_col).filter("doc_id is not null and text is not null")
-    side = F.broadcast(wanted) if wanted.count() <= broadcast_windows else wanted
-    matched = cut(texts.select("doc_id", _tokens(F.col("text")).alias("tokens")).select("doc_id", F.inline(_windows("tokens", sizes))).join(side, "code").groupBy("doc_id", "item_id", "code", "item_slots", F.coalesce("slots", F.lit("")).alias("slots")).count())
+    side = wanted.drop("exact")
+    side = F.broadcast(side) if wanted.count() <= broadcast_windows else side
+    found = texts.select("doc_id", _tokens(F.col("text")).alias("tokens")).select("doc_id", F.inline(_windows("tokens", sizes, min_words, exact))).join(side, "code")
+    same = F.col("exact") | (F.coalesce("slots", F.lit("")) == F.col("item_slots"))
+    matched = cut(found.select("doc_id", "item_id", "size", "code", "item_slots", F.when(same, F.col("item_slots")).otherwise(F.coalesce("slots", F.lit(""))).alias("slots"), (F.col("at") - F.col("item_at")).alias("offset")).distinct())
 
-    # per item window the document's windows whose slots agree, where there are any, else those with other values
     pair = ["doc_id", "item_id"]
-    same = matched.groupBy(*pair, "code", "item_slots").agg(F.max(F.col("slots").eqNullSafe(F.col("item_slots"))).alias("same"), F.min("slots").alias("slots"))
-    names = same.select(*pair, F.when(F.col("same"), F.col("item_slots")).otherwise(F.col("slots")).alias("theirs"), "item_slots").filter("replace(item_slots, '\u0002', '') <> ''")
-    cells = names.select(*pair, F.explode(F.arrays_zip(F.split("item_slots", _GAP).alias("a"), F.split("theirs", _GAP).alias("b"))).alias("x")).select(*pair, "x.a", "x.b").filter("a <> ''").distinct()
-    clash = cells.groupBy(*pair).agg(F.count("*").alias("n_slots"), F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"), F.count_if(F.col("a") != F.col("b")).alias("other"))
-    counted = same.groupBy(*pair).agg(F.count("*").alias("n_matched"))
-    return (
+    placed = matched.select(*pair, "code", "item_slots", "slots", F.lit(0).alias("level"), F.lit(0).alias("scope")).distinct()
+    scope = [*pair, "level", "scope"]
+
+    # per item window the scope's windows whose slots agree, where there are any, else those with other values
+    agreed = placed.groupBy(*scope, "code", "item_slots").agg(F.max(F.col("slots") == F.col("item_slots")).alias("same"), F.min("slots").alias("slots"))
+    counted = agreed.groupBy(*scope).agg(F.count_distinct("code").alias("n_matched"))
+    enough = cut(
         counted.join(F.broadcast(totals) if totals.count() <= broadcast_windows else totals, "item_id")
         .withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
         .filter(F.col("coverage") >= min_coverage)
-        .join(clash, pair, "left")
-        .filter("n_slots is null or (n_slots = na and n_slots = nb)")
-        .select("doc_id", "item_id", "n_windows", "n_matched", "coverage", F.when(F.coalesce("other", F.lit(0)) > 0, "reparameterised").otherwise("exact").alias("kind"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
     )
+    names = agreed.filter("replace(item_slots, '\u0002', '') <> ''").join(enough.select(*scope), scope, "left_semi").select(*scope, F.when(F.col("same"), F.col("item_slots")).otherwise(F.col("slots")).alias("theirs"), "item_slots")
+    cells = names.select(*scope, F.explode(F.arrays_zip(F.split("item_slots", _GAP).alias("a"), F.split("theirs", _GAP).alias("b"))).alias("x")).select(*scope, "x.a", "x.b").filter("a <> ''").distinct()
+    clash = cells.groupBy(*scope).agg(F.count("*").alias("n_slots"), F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"), F.count_if(F.col("a") != F.col("b")).alias("other"))
+    passed = enough.join(clash, scope, "left").filter("n_slots is null or (n_slots = na and n_slots = nb)").withColumn("other", F.coalesce("other", F.lit(0)) > 0)
+    best = passed.groupBy(*pair).agg(F.min_by(F.struct("n_windows", "n_matched", "coverage", "other", F.coalesce("n_slots", F.lit(0)).alias("n_slots")), F.struct("other", -F.col("n_matched"), "level", "scope")).alias("best"))
+    return best.select(*pair, "best.n_windows", "best.n_matched", "best.coverage", F.when(F.col("best.other"), "reparameterised").otherwise("exact").alias("kind"), "best.n_slots")

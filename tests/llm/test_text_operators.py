@@ -171,3 +171,10 @@ def test_stages_keep_columns_and_take_effect(spark, frame):
     kept = {r["doc_id"] for r in docs.collect()}
     assert {r["doc_id"] for r in pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()} == kept
     assert {r["doc_id"] for r in pipeline.run(spark, "/root/testdata/sf0.001").collect()} == kept
+
+
+def test_leaks_of_few_plain_words(spark):
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "What is 12 + 30?"), (3, "3 5 7 11 13 17 19 23 29 31")], "item_id long, text string")
+    docs = [(1, "A quiz. Who wrote Hamlet? Nobody knows."), (2, "Sums: What is 12 + 30? And so on."), (3, "Who wrote Macbeth? What is 13 + 30?"), (4, "He counted 3 5 7 11 13 17 19 23 29 31 and slept."), (5, "He counted 4 6 8 12 14 18 20 24 30 32 and slept.")]
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1, "exact"), (2, 2, "exact"), (4, 3, "exact")}
