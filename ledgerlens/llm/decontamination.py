@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlens.llm.common import cut, pick, text_or_empty
 
@@ -77,7 +78,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     A document leaks an item if it holds at least `min_coverage` of the item's distinct windows and every slot of the
     item goes with one value of the document and the other way round. Windows with fewer than `min_words` plain words
     match only with the same words, other windows also with other values; items of fewer tokens than a window are one
-    window of their own length. Null and empty texts and items, and
+    window of their own length. Both conditions are judged for each single offset between document and item, for each
+    run of offsets less than a window apart, and for the document as a whole; it leaks the item if any of these passes,
+    and the exact one of the largest coverage is reported, or else the largest. Null and empty texts and items, and
     null ids, match nothing. Rows that repeat an id are judged together. The benchmark is broadcast only while it has
     at most `broadcast_windows` windows. Other columns of either input are ignored.
     """
@@ -97,7 +100,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     matched = cut(found.select("doc_id", "item_id", "size", "code", "item_slots", F.when(same, F.col("item_slots")).otherwise(F.coalesce("slots", F.lit(""))).alias("slots"), (F.col("at") - F.col("item_at")).alias("offset")).distinct())
 
     pair = ["doc_id", "item_id"]
-    placed = matched.select(*pair, "code", "item_slots", "slots", F.lit(0).alias("level"), F.lit(0).alias("scope")).distinct()
+    order = Window.partitionBy(*pair).orderBy("offset")
+    offsets = matched.select(*pair, "size", "offset").distinct().withColumn("before", F.lag("offset").over(order))
+    runs = offsets.withColumn("run", F.sum(F.when(F.col("offset") - F.col("before") < F.col("size"), 0).otherwise(1)).over(order)).select(*pair, "offset", "run")
+    scopes = F.array(*[F.struct(F.lit(level).alias("level"), at.cast("long").alias("scope")) for level, at in enumerate((F.col("offset"), F.col("run"), F.lit(0)))])
+    placed = matched.join(runs, [*pair, "offset"]).select(*pair, "code", "item_slots", "slots", F.inline(scopes))
     scope = [*pair, "level", "scope"]
 
     # per item window the scope's windows whose slots agree, where there are any, else those with other values

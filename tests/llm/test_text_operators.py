@@ -178,3 +178,11 @@ def test_leaks_of_few_plain_words(spark):
     docs = [(1, "A quiz. Who wrote Hamlet? Nobody knows."), (2, "Sums: What is 12 + 30? And so on."), (3, "Who wrote Macbeth? What is 13 + 30?"), (4, "He counted 3 5 7 11 13 17 19 23 29 31 and slept."), (5, "He counted 4 6 8 12 14 18 20 24 30 32 and slept.")]
     got = {(r["doc_id"], r["item_id"], r["kind"]) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert got == {(1, 1, "exact"), (2, 2, "exact"), (4, 3, "exact")}
+
+
+def test_leaks_of_two_variants(spark):
+    told = "It is told that {0} had {1} apples and sold some of them to a friend before the market closed."
+    items = spark.createDataFrame([(1, told.format("Bob", 12)), (2, " ".join([told.format("Tom", 7), told.format("Kim", 8)]))], "item_id long, text string")
+    docs = [(1, " ".join([told.format("Ann", 31), told.format("Zoe", 14)])), (2, told.format("Ann", 31)), (3, "Nothing like it is told in this text at all.")]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got[1, 1] == got[2, 1] == got[1, 2] == "reparameterised" and not [k for k in got if k[0] == 3]
