@@ -53,14 +53,36 @@ def pair_by_opening(turns: DataFrame, deals: int = 256) -> DataFrame:
     return both.select(F.col("conv_id").alias("pair_id"), F.when(first, F.col("conv_id")).otherwise(F.col("next.conv_id")).alias("chosen"), F.when(first, F.col("next.conv_id")).otherwise(F.col("conv_id")).alias("rejected"))
 
 
-def format_preferences(conversations: DataFrame, pairs: DataFrame | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def other_answers(singles: DataFrame, deal_rows: int = 4096) -> DataFrame:
+    """singles(pair_id, conv_id, turn, role, text, fork): for each pair with an answer (an assistant turn), a different one
+    to reject: pair_id, conv_id, turn, role, text, fork.
+
+    That is its own latest earlier answer of another text, from before the fork. Without one it is the last answer of
+    another conversation: pairs are dealt by the hash of pair_id into groups of about `deal_rows`, the different last
+    answers of a deal stand in order of their digest, and each pair gets the next one, the last the first.
+    """
+    answers = singles.filter("role = 'assistant'").withColumn("digest", F.sha2("text", 256))
+    last = cut(answers.groupBy("pair_id").agg(F.max_by(F.struct("conv_id", "turn", "text", "digest", "fork"), "turn").alias("x")).select("pair_id", "x.*"))
+    own = answers.join(last.select("pair_id", F.col("digest").alias("taken")), "pair_id").filter("turn < fork and digest <> taken")
+    own = cut(own.groupBy("pair_id").agg(F.max_by(F.struct("conv_id", "turn", "text", "fork"), "turn").alias("x")).select("pair_id", "x.*"))
+    dealt = last.withColumn("deal", F.pmod(F.xxhash64("pair_id"), F.lit(max(1, last.count() // deal_rows))))
+    firsts = dealt.groupBy("deal", "digest").agg(F.min_by(F.struct("conv_id", "turn", "text"), "pair_id").alias("said"))
+    order = Window.partitionBy("deal").orderBy("digest")
+    following = firsts.select("deal", "digest", F.coalesce(F.lead("said").over(order), F.first("said").over(order)).alias("next"), F.count("*").over(Window.partitionBy("deal")).alias("n")).filter("n > 1")
+    lent = dealt.join(own.select("pair_id"), "pair_id", "left_anti").select("pair_id", "deal", "digest", "fork").join(following, ["deal", "digest"]).select("pair_id", "next.conv_id", "next.turn", "next.text", "fork")
+    return own.unionByName(lent).withColumn("role", F.lit("assistant"))
+
+
+def format_preferences(conversations: DataFrame, pairs: DataFrame | None = None, reject_others: bool = False, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per rendered turn: pair_id, side (prompt, chosen, rejected), conv_id, turn, segment, n_chars, loss_mask,
     prefix_turns.
 
     `pairs` gives pair_id, chosen and rejected; without it conversations are paired by their opening turn. The prompt is
     the longest common turn prefix, taken from the chosen side; where the whole of both is common there is nothing to
     prefer and only the prompt comes out. A conversation without a partner has its last run of turns from the last
-    user turn on as the chosen completion and all before it as prompt. The mask is 1 on assistant turns of completions.
+    user turn on as the chosen completion and all before it as prompt; with `reject_others` one that ends without an
+    answer has its last answer and what follows as completion, and each gets the rejected answer of `other_answers`
+    after the same prompt, its conv_id and turn telling where that answer stands. The mask is 1 on assistant turns of completions.
     Null texts and roles are empty; an empty table gives an empty result; other columns of the input are ignored.
     """
     turns = cut(clean_turns(conversations, conv_col, turn_col, role_col, text_col))
@@ -79,7 +101,16 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame | None = None,
         .agg(F.min(F.when((F.col("sides") < 2) | (F.col("a") != F.col("b")), F.col("turn"))).alias("fork"))
     )
     last_user = placed.filter("single").groupBy("pair_id").agg(F.max(F.when(F.col("role") != "assistant", F.col("turn"))).alias("asked"), F.min("turn").alias("opening")).select("pair_id", F.coalesce(F.col("asked") + 1, F.col("opening")).alias("fork"))
-    split = placed.join(forks.union(last_user), "pair_id").withColumn("common", F.col("fork").isNull() | (F.col("turn") < F.col("fork")))
+    if reject_others:
+        answered = placed.filter("single and role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("answered"))
+        last_user = last_user.join(answered, "pair_id", "left").select("pair_id", F.least("fork", "answered").alias("fork"))
+    split = placed.join(forks.union(last_user), "pair_id")
+    if reject_others:
+        split = cut(split)
+        rejected = other_answers(split.filter("single").select("pair_id", "conv_id", "turn", "role", "text", "fork"))
+        split = split.unionByName(rejected.withColumns({"side": F.lit("rejected"), "single": F.lit(True)}))
+    lent = F.col("single") & (F.col("side") == "rejected")
+    split = split.withColumn("common", ~lent & (F.col("fork").isNull() | (F.col("turn") < F.col("fork"))))
     lengths = split.filter("common and side = 'chosen'").groupBy("pair_id").agg(F.count("*").alias("prefix_turns"))
     segment = F.concat(F.lit(OPEN), "role", F.lit("|>\n"), "text", F.lit("\n" + CLOSE + "\n"))
     return (

@@ -63,7 +63,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(table(spark, sf_dir, "conversations"))
+    """Conversations of one opening as pairs; one without a partner has its last answer as chosen and an earlier or a
+    neighbour's one as rejected."""
+    return format_preferences(table(spark, sf_dir, "conversations"), reject_others=True)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,3 +186,21 @@ def test_leaks_of_two_variants(spark):
     docs = [(1, " ".join([told.format("Ann", 31), told.format("Zoe", 14)])), (2, told.format("Ann", 31)), (3, "Nothing like it is told in this text at all.")]
     got = {(r["doc_id"], r["item_id"]): r["kind"] for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert got[1, 1] == got[2, 1] == got[1, 2] == "reparameterised" and not [k for k in got if k[0] == 3]
+
+
+def test_preferences_query_has_pairs(spark, tmp_path):
+    from ledgerlens.llm.queries import op10_preferences
+
+    rows = op10_preferences(spark, "/root/testdata/sf0.001").collect()
+    sides = {}
+    for r in rows:
+        sides.setdefault(r["pair_id"], {}).setdefault(r["side"], []).append(r)
+    both = [s for s in sides.values() if "chosen" in s and "rejected" in s]
+    assert len(both) == 16 and len(sides) == 20  # four hold no answer
+    assert all({r["segment"] for r in s["chosen"] if r["loss_mask"]} != {r["segment"] for r in s["rejected"] if r["loss_mask"]} and any(r["loss_mask"] for r in s["rejected"]) for s in both)
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "old"), (1, 2, "user", "b"), (1, 3, "assistant", "new"), (2, 0, "user", "c"), (2, 1, "assistant", "only"), (2, 2, "user", "thanks"), (3, 0, "user", "unanswered")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r["pair_id"], r["side"], r["conv_id"], r["turn"], r["loss_mask"]) for r in op10_preferences(spark, str(tmp_path)).collect())
+    assert [g[1:] for g in got if g[0] == 1] == [("chosen", 1, 3, 1), ("prompt", 1, 0, 0), ("prompt", 1, 1, 0), ("prompt", 1, 2, 0), ("rejected", 1, 1, 1)]
+    assert [g[1:] for g in got if g[0] == 2] == [("chosen", 2, 1, 1), ("chosen", 2, 2, 0), ("prompt", 2, 0, 0), ("rejected", 1, 3, 1)]
+    assert [g[1] for g in got if g[0] == 3] == ["prompt"]
