@@ -1,8 +1,8 @@
 """The corpus pipeline: quality, exact copies, near copies, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the stage before kept, and returns those it keeps
-with the columns of documents; the last returns the packed pieces. Rows that repeat one doc_id are one document: they
-stay or go together.
+with the columns of documents; the last returns the packed pieces. Decisions are made row by row: within a stage each
+row has a key of its own, so that rows of a null or repeated doc_id stay or go by their own text.
 """
 
 from __future__ import annotations
@@ -19,10 +19,16 @@ from ledgerlens.llm.queries import tokenizer_path
 from ledgerlens.llm.simhash import near_duplicate_groups
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of each row in order of doc_id (nulls last) and text digest, also among equal rows;
+    written before it is used. Rows are sorted in ranges, equal ones spread by chance, so no task holds them all."""
+    keys = [F.col("doc_id").isNull(), F.col("doc_id"), F.sha2("text", 256)]
+    return cut(docs.repartitionByRange(*keys, F.rand(42)).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id()))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in `gone`, null ids compared as values."""
-    gone = gone.select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The keyed docs without the rows whose key is the doc_id of `gone`, and without the key."""
+    return docs.join(gone.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").drop("_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,18 +37,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest doc_id."""
-    return _without(docs, exact_dedup(docs).filter("not kept"))
+    """Of equal texts, the row with the smallest doc_id."""
+    docs = _keyed(docs)
+    return _without(docs, exact_dedup(docs, id_col="_row").filter("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8 or more, and what these link), the one with the smallest doc_id."""
-    return _without(docs, near_duplicate_groups(docs).filter("doc_id is distinct from component_id"))
+    """Of near copies (five-word shingles, similarity 0.8 or more, and what these link), the row with the smallest doc_id."""
+    docs = _keyed(docs)
+    return _without(docs, near_duplicate_groups(docs, id_col="_row").filter("doc_id <> component_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    """Rows that leak no benchmark item."""
+    docs = _keyed(docs)
+    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col="_row"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

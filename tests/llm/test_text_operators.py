@@ -204,3 +204,16 @@ def test_preferences_query_has_pairs(spark, tmp_path):
     assert [g[1:] for g in got if g[0] == 1] == [("chosen", 1, 3, 1), ("prompt", 1, 0, 0), ("prompt", 1, 1, 0), ("prompt", 1, 2, 0), ("rejected", 1, 1, 1)]
     assert [g[1:] for g in got if g[0] == 2] == [("chosen", 2, 1, 1), ("chosen", 2, 2, 0), ("prompt", 2, 0, 0), ("rejected", 1, 3, 1)]
     assert [g[1] for g in got if g[0] == 3] == ["prompt"]
+
+
+def test_stages_decide_by_row(spark, frame):
+    import corpus_pipeline as pipeline
+
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").filter("text is not null").first()["text"]
+    long = [" ".join(f"{c}{i}" for i in range(100)) for c in "abcde"]
+    docs = frame([(1, long[0]), (None, long[0]), (None, long[1]), (5, long[2]), (5, long[3]), (2, long[3]), (7, long[4]), (7, long[4])])
+    kept = sorted([(1, long[0]), (2, long[3]), (5, long[2]), (7, long[4])]) + [(None, long[1])]
+    for stage in (pipeline.exact, pipeline.near):
+        assert sorted((tuple(r) for r in stage(spark, docs, "/root/testdata/sf0.001").collect()), key=lambda r: (r[0] is None, r)) == kept
+    clean = pipeline.decontaminate(spark, frame([(None, item), (None, long[0]), (3, long[1])]), "/root/testdata/sf0.001").collect()
+    assert {tuple(r) for r in clean} == {(None, long[0]), (3, long[1])}
