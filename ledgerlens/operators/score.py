@@ -61,10 +61,15 @@ def bank_metrics(results: DataFrame) -> DataFrame:
         F.count_if(~trap).alias("normal"),
         F.count_if(trap & (F.col("n_findings") > 0)).alias("caught"),
         F.count_if(trap).alias("traps"),
-        F.array_sort(F.collect_list(F.when(trap & (F.col("n_findings") == 0), F.col("doc_id")))).alias("escaped"),
+        F.count_if(trap & (F.col("n_findings") == 0)).alias("n_escaped"),
     ).withColumn("perfect", (F.col("precision") == 1.0) & (F.col("conforming") == F.col("normal")) & (F.col("caught") == F.col("traps")))
 
 
+def escaped_traps(results: DataFrame) -> DataFrame:
+    """doc_id of each trap without a finding, one row per document."""
+    return results.filter("precision is null and n_findings = 0").select("doc_id")
+
+
 def regressions(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """(metric, value) each: the metrics that fell, or a time of over 2.5 times the baseline. Better is never reported."""
     joined = baseline.withColumnRenamed("value", "before").join(current.withColumnRenamed("value", "now"), "metric")

@@ -138,7 +138,7 @@ def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bench_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bank(spark, sf_dir).select("precision", "conforming", "normal", "caught", "traps", F.size("escaped").cast("long").alias("n_escaped"), "perfect")
+    return _bank(spark, sf_dir).select("precision", "conforming", "normal", "caught", "traps", "n_escaped", "perfect")
 
 
 BENCH_SQL = f"""

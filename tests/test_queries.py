@@ -70,3 +70,12 @@ def test_entry(spark):
 
     rows = __spark_entry__.entry(spark).collect()
     assert 0 < len(rows) <= 10 and rows[0]["times"] >= rows[-1]["times"]
+
+
+def test_escaped_traps_are_rows(spark):
+    from ledgerlens.operators import score
+
+    results = spark.createDataFrame([("a", None, True, 0), ("b", None, True, 2), ("c", 1.0, True, 0), ("d", None, False, 0)], "doc_id string, precision double, valid boolean, n_findings int")
+    metrics = score.bank_metrics(results)
+    assert "collect_list" not in metrics._jdf.queryExecution().optimizedPlan().toString() and metrics.first()["n_escaped"] == 2
+    assert {r["doc_id"] for r in score.escaped_traps(results).collect()} == {"a", "d"}
