@@ -8,13 +8,14 @@ only complete windows exist and none is padded.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,56 +25,130 @@ from ledgerlens.llm.common import pick
 
 TIERS = (512, 1024, 2048, 4096)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier int, step_group long"
-_ODD_BLANKS = re.compile("[\x1c-\x1f]")
-#: Characters whose case, composition and class are the same for Python and the tokenizer, and its pieces of them.
-_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Separators that only one of Python and the tokenizer takes as blanks.
+_ODD_BLANKS = "\x1c\x1d\x1e\x1f"
+#: Lower-case characters whose composition and class are the same for Python and the tokenizer, and its pieces of them.
+_SIMPLE = re.compile("[!-@\\[-~ß-öø-ÿ]+")
+_PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: The tokenizer's pattern that `_PIECE` follows; tokenizers with another one encode whole texts.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BLANK, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_CLASS = np.array([_BLANK if c in b"\t\n\v\f\r \x85\xa0" else _DIGIT if c in b"0123456789" else _OTHER if c < 33 or 126 < c < 192 else _LETTER if chr(c).isalpha() else _SIGN for c in range(256)], np.uint8)
+_PLAIN = bytes(np.flatnonzero((_CLASS == _BLANK) | (_CLASS == _LETTER)).astype(np.uint8))
+_BLOCK = 256  # pieces given to the tokenizer as one text
+_WHOLE = "\0"  # marks a word that the tokenizer has to encode itself
+
+
+class _Numbers(dict):
+    """Numbers its keys as they are first looked up."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
 
 
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, the end id last.
 
-    The tokenizer drops white space and never joins what it separates, so ids are looked up by blank-separated word. A
-    new word of plain Latin letters, digits and ASCII signs is cut into the tokenizer's own pieces, looked up in lower
-    case; other words, and pieces not met before, are encoded by the tokenizer. Texts with separators that only one
-    of Python and the tokenizer takes as blanks are encoded whole. Both tables are emptied when full.
+    The tokenizer drops white space and cuts the rest into pieces that it never joins, so ids are looked up by piece. Texts
+    of plain Latin letters, digits and ASCII signs are cut here; where no two signs stand together and there is no
+    apostrophe, blanks around each sign and digit do that. New pieces go through the tokenizer's merges alone, many at a
+    time: they are lower case and need neither normalising nor splitting, and a piece ends where an id does that stands
+    for the end of a word. In other texts each word of other characters is encoded by the tokenizer; texts with
+    separators that only one of Python and the tokenizer takes as blanks are encoded whole. The table is emptied when full.
     """
 
     def __init__(self, path: str, end_id: int, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.end, self.most = array("I", [end_id]).tobytes(), most
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        simple = [w for w in new if _SIMPLE.fullmatch(w) and "<|" not in w]
-        cut = [_PIECE.findall(w.lower()) for w in simple]
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        unknown = list({p for pieces in cut for p in pieces if p not in self.pieces})
-        self.pieces.update(zip(unknown, self._encode(unknown), strict=True))
-        self.words.update((w, b"".join([self.pieces[p] for p in pieces])) for w, pieces in zip(simple, cut, strict=True))
-        rest = [w for w in new if w not in self.words]
-        self.words.update(zip(rest, self._encode(rest), strict=True))
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = [p.get("pattern", {}).get("Regex") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_piece = splits[:1] == [_PATTERN] and "Lowercase" in steps and spec["model"].get("end_of_word_suffix") == "</w>"
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {c: "".join(part for part, _ in signs.pre_tokenize_str(chr(c))) for c in range(0x80, 0x100)}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.end, self.most = np.array([end_id], "<u4").tobytes(), most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers = _Numbers()
+        self.numbers.fresh = []
+        self.ids, self.n_ids = np.zeros(1 << 16, "<u4"), 0  # of all pieces, one after another
+        self.stops, self.n_pieces = np.zeros(1 << 14, np.int64), 0  # where each piece's ids end; that of piece k at k + 1
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, ids: np.ndarray, stops: np.ndarray) -> None:
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n_pieces + len(stops) + 1 > len(self.stops):
+            self.stops = np.concatenate([self.stops, np.zeros_like(self.stops)])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.stops[self.n_pieces + 1 : self.n_pieces + 1 + len(stops)] = self.n_ids + stops
+        self.n_ids, self.n_pieces = self.n_ids + len(ids), self.n_pieces + len(stops)
+
+    def _learn(self) -> None:
+        """The ids of the fresh pieces, in the order of their numbers."""
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        blocks = [fresh[at : at + _BLOCK] for at in range(0, len(fresh), _BLOCK)]
+        texts = ["\n".join(b).translate(self.signs) for b in blocks]
+        for block, text, encoded in zip(blocks, texts, self.merges.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, "<u4")
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if _WHOLE in text or len(stops) != len(block):
+                each = self._encode([p.removeprefix(_WHOLE) for p in block])
+                ids, stops = np.concatenate(each), np.cumsum([len(e) for e in each])
+            self._keep(ids, stops)
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """Numbers' keys; null for a text that has to be encoded whole."""
+        if not self.by_piece or any(c in text for c in _ODD_BLANKS):
+            return None
+        try:
+            raw = b"" if "<|" in text else text.encode("latin-1")
+        except UnicodeEncodeError:
+            raw = b""
+        kinds = _CLASS[np.frombuffer(raw, np.uint8)]
+        if not raw or (kinds == _OTHER).any():
+            out = []
+            for word in text.split():
+                low = word.lower()
+                out.extend(_PIECE.findall(low) if _SIMPLE.fullmatch(low) and "<|" not in low else (_WHOLE + word,))
+            return out
+        low, signs = text.lower(), kinds == _SIGN
+        if "'" in text or (signs[1:] & signs[:-1]).any():
+            return _PIECE.findall(low)
+        for c in set(raw.translate(None, _PLAIN)):
+            low = low.replace(chr(c), f" {chr(c)} ")
+        return low.split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD_BLANKS.search(t) else t.split() for t in texts]
-        if len(self.words) > self.most:
-            self.words.clear()
-        new = set()
-        for words in split:
-            if words:
-                new.update(words)
-        new.difference_update(self.words)
-        if new:
-            self._learn(list(new))
-        return [(self._encode([t])[0] if words is None else b"".join(map(self.words.__getitem__, words))) + self.end for t, words in zip(texts, split, strict=True)]
+        if len(self.numbers) > self.most:
+            self._clear()
+        number = self.numbers.__getitem__
+        coded = []
+        for pieces in map(self._pieces, texts):
+            coded.append(None if pieces is None else np.fromiter(map(number, pieces), np.int64, len(pieces)))
+        self._learn()
+        out = []
+        for text, code in zip(texts, coded, strict=True):
+            if code is None:
+                ids = self._encode([text])[0]
+            else:
+                count = self.stops[code + 1] - self.stops[code]
+                shift = self.stops[code] - np.cumsum(count) + count
+                ids = self.ids[np.arange(int(count.sum())) + np.repeat(shift, count)]
+            out.append(ids.tobytes() + self.end)
+        return out
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
