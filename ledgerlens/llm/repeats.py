@@ -7,10 +7,14 @@ interleave refinement; the common prefixes that fall out give the repeated inter
 24 blocks of such an interval may or may not repeat at its two ragged ends; these, and the few contexts in which the
 gram occurs twice, are settled by comparing windows among the contexts of their key. A key with very many contexts is
 split by longer grams, down to the window itself, so that no group grows with the corpus.
+
+The polynomial hashes only route and order: what counts as equal is told by a BLAKE2b digest of the bytes (contexts) or
+by the bytes themselves (windows).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,14 +75,16 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(texts: list[bytes], length: int, gram: int, longest: int = 512) -> tuple[np.ndarray, ...]:
-    """Of all windows of the texts: (text, first start, number of windows, key, hash of the context's bytes, whether the
-    key's gram stands in it more than once), a row per run of windows with one key. No run crosses texts or has over
-    `longest` windows."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    """Of all windows of the texts: (text, first start, number of windows, key, digest of the context's bytes as two
+    numbers, whether the key's gram stands in it more than once), a row per run of windows with one key. No run crosses
+    texts or has over `longest` windows; where the gram is the window, each is a context of its own."""
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, np.uint8)
+    longest = longest if gram else 1
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     if len(data) < length:
-        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
+        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), np.zeros(0, bool))
     hashes = Hashes(data)
     grams = hashes.grams(gram or length)
     slack = length - (gram or length)
@@ -100,7 +106,7 @@ def contexts(texts: list[bytes], length: int, gram: int, longest: int = 512) ->
     # how often each run's gram stands in its context: few grams are as small as the keys are
     key = keys[first]
     if not len(key):
-        return text, first, count, key, key, np.zeros(0, bool)
+        return text, first, count, key, np.zeros((0, 2), np.int64), np.zeros(0, bool)
     values, rank = np.unique(key, return_inverse=True)
     near = np.flatnonzero(grams <= values[-1])
     slot = np.minimum(np.searchsorted(values, grams[near]), len(values) - 1)
@@ -108,7 +114,9 @@ def contexts(texts: list[bytes], length: int, gram: int, longest: int = 512) ->
     placed = np.sort(slot[same] * (len(data) + 1) + near[same])
     low = rank * (len(data) + 1) + first
     times = np.searchsorted(placed, low + count - 1 + slack, side="right") - np.searchsorted(placed, low)
-    return text, first - (ends - sizes)[text], count, key, hashes.of(first, first + count - 1 + length), times > 1
+    digest, view = hashlib.blake2b, memoryview(joined)
+    codes = b"".join(digest(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (first + count - 1 + length).tolist(), strict=True))
+    return text, first - (ends - sizes)[text], count, key, np.frombuffer(codes, np.int64).reshape(-1, 2), times > 1
 
 
 def _pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
@@ -139,8 +147,27 @@ def _routed(held: list[tuple[int, int, bytes]], batch: pa.RecordBatch, length: i
     rows, at = np.array([h[0] for h in held]), np.array([h[1] for h in held])
     other = [batch.column(k).take(pa.array(rows[text])) for k in range(1, batch.num_columns)]
     names = batch.schema.names[1:]
-    columns = [pa.array(first + at[text]), pa.array(count), pa.array(key.view(np.int64)), pa.array(code.view(np.int64)), pa.array(tied)]
-    return pa.RecordBatch.from_arrays([*other, *columns], [*names, "first", "n", "key", "code", "tied"])
+    columns = [pa.array(first + at[text]), pa.array(count), pa.array(key.view(np.int64)), pa.array(code[:, 0]), pa.array(code[:, 1]), pa.array(tied)]
+    return pa.RecordBatch.from_arrays([*other, *columns], [*names, "first", "n", "key", "code", "code2", "tied"])
+
+
+def _alike(data: np.ndarray, where: np.ndarray, code: np.ndarray, weight: np.ndarray, length: int, step: int = 1 << 15) -> np.ndarray:
+    """For windows starting at `where`, of which equal ones have one code: the weight of all windows with the same bytes."""
+    _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+    same = np.ones(len(where), bool)
+    for at in range(0, len(where), step):
+        part = slice(at, at + step)
+        same[part] = (windows[where[part]] == windows[where[first[inverse[part]]]]).all(1)
+    out = np.bincount(inverse, weight * same)[inverse]
+    if not same.all():  # classes of one code and several windows: by their bytes
+        mixed = np.isin(inverse, inverse[~same])
+        sums: dict[bytes, float] = {}
+        for k in np.flatnonzero(mixed).tolist():
+            window = windows[where[k]].tobytes()
+            sums[window] = sums.get(window, 0) + weight[k]
+        out[mixed] = [sums[windows[where[k]].tobytes()] for k in np.flatnonzero(mixed).tolist()]
+    return out
 
 
 def repeated_windows(datas: list[bytes], keys: np.ndarray, counts: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
@@ -197,10 +224,7 @@ def repeated_windows(datas: list[bytes], keys: np.ndarray, counts: np.ndarray, l
     where = np.flatnonzero(ask & open_group[of_byte])
     found = sure
     if len(where):
-        code = _mix(hashes.of(where, where + length) + keys[np.searchsorted(ends, where, side="right")])
-        _, inverse, times = np.unique(code, return_inverse=True, return_counts=True)
-        weight = np.bincount(inverse, np.repeat(counts, sizes)[where])
-        found[where[weight[inverse] > 1]] = True
+        found[where[_alike(data, where, hashes.of(where, where + length), np.repeat(counts, sizes)[where], length) > 1]] = True
     out = []
     for k in range(len(datas)):
         out.append(np.arange(n_windows[k]) if counts[k] > 1 else np.flatnonzero(found[starts[k] : starts[k] + n_windows[k]]))
@@ -215,7 +239,8 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, breaks + 1)].tolist(), (starts[np.append(breaks, len(starts) - 1)] + length).tolist(), strict=True))
 
 
-_MARK = "pkey long, pcode long, spans array<struct<a:int,b:int>>"
+_CODE = ["pcode", "pcode2"]
+_MARK = "pkey long, pcode long, pcode2 long, spans array<struct<a:int,b:int>>"
 
 
 def _solve(length: int, gram: int):
@@ -224,10 +249,11 @@ def _solve(length: int, gram: int):
         keys = group.column("key").to_numpy().view(np.uint64)
         counts = group.column("times").to_numpy()
         found = repeated_windows([d.as_py() for d in group.column("data")], keys, counts, length, gram)
-        pkey, pcode, base = group.column("pkey").to_pylist(), group.column("pcode").to_pylist(), group.column("base").to_pylist()
-        rows = [(pkey[k], pcode[k], [{"a": a + base[k], "b": b + base[k]} for a, b in _runs(starts, length)]) for k, starts in enumerate(found) if counts[k] == 1 and len(starts)]
+        base = group.column("base").to_pylist()
+        hit = [k for k, starts in enumerate(found) if counts[k] == 1 and len(starts)]
         spans = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        return pa.table({"pkey": pa.array([r[0] for r in rows], pa.int64()), "pcode": pa.array([r[1] for r in rows], pa.int64()), "spans": pa.array([r[2] for r in rows], spans)})
+        marked = pa.array([[{"a": a + base[k], "b": b + base[k]} for a, b in _runs(found[k], length)] for k in hit], spans)
+        return group.select(["pkey", *_CODE]).take(pa.array(hit, pa.int64())).append_column("spans", marked)
 
     return run
 
@@ -238,14 +264,12 @@ def _slices(length: int):
             for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 data, rows = text.as_py(), wanted.as_py()
                 parts = [data[r["first"] : r["first"] + r["n"] - 1 + length] for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), *(pa.array([r[c] for r in rows], pa.int64()) for c in ("key", "code", "times"))], ["data", "key", "code", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), *(pa.array([r[c] for r in rows], pa.int64()) for c in ("key", "code", "code2", "times"))], ["data", "key", "code", "code2", "times"])
 
     return run
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
     for batch in batches:
         sizes, removed, n_spans, digests = [], [], [], []
         for data, spans in zip(batch.column(1), batch.column(2), strict=True):
@@ -268,26 +292,28 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(rows: DataFrame, length: int = 400, bucket_bytes: int = 4 << 20, hot_contexts: int = 4096, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 400, bucket_bytes: int = 4 << 20, hot_contexts: int = 4096, levels: tuple[int, ...] = LEVELS, hot_share: int = 10_000) -> DataFrame:
     """rows(id, mark, data): id and mark tell texts apart. One row per text that has any: id, mark, spans."""
-    routed = cut(rows.select("data", "id", "mark").mapInArrow(_route(length, levels[0]), "id long, mark long, first long, n long, key long, code long, tied boolean"))
-    distinct = routed.groupBy("key", "code").agg(F.count("*").alias("times"), F.max("tied").alias("tied"), F.min(F.struct("id", "mark", "first", "n")).alias("one"))
+    same = ["key", "code", "code2"]
+    routed = cut(rows.select("data", "id", "mark").mapInArrow(_route(length, levels[0]), "id long, mark long, first long, n long, key long, code long, code2 long, tied boolean"))
+    distinct = routed.groupBy(*same).agg(F.count("*").alias("times"), F.max("tied").alias("tied"), F.min(F.struct("id", "mark", "first", "n")).alias("one"))
     per_key = distinct.groupBy("key").agg(F.count("*").alias("n_codes"), F.sum("times").alias("n_times"), F.max("tied").alias("any_tied")).filter("n_times > 1 or any_tied")
     live = cut(distinct.join(per_key.select("key", "n_codes"), "key").filter("n_codes > 1 or times > 1 or tied"))
 
     # bytes of one member of every context that may share windows with another or with itself
-    wanted = live.filter("n_codes > 1 or (tied and times = 1)").groupBy("one.id", "one.mark").agg(F.collect_list(F.struct("key", "code", "times", F.col("one.first").alias("first"), F.col("one.n").alias("n"))).alias("wanted"))
-    sliced = rows.join(wanted, ["id", "mark"]).select("data", "wanted").mapInArrow(_slices(length), "data binary, key long, code long, times long")
-    work = cut(sliced.dropDuplicates(["key", "code"]).select(F.col("key").alias("pkey"), F.col("code").alias("pcode"), F.lit(0).cast("long").alias("base"), "key", "code", "times", "data"))
+    wanted = live.filter("n_codes > 1 or (tied and times = 1)").groupBy("one.id", "one.mark").agg(F.collect_list(F.struct(*same, "times", F.col("one.first").alias("first"), F.col("one.n").alias("n"))).alias("wanted"))
+    sliced = rows.join(wanted, ["id", "mark"]).select("data", "wanted").mapInArrow(_slices(length), "data binary, key long, code long, code2 long, times long")
+    own = [F.col(c).alias(f"p{c}") for c in same]
+    work = cut(sliced.dropDuplicates(same).select(*own, F.lit(0).cast("long").alias("base"), *same, "times", "data"))
     marks = []
     for level, gram in enumerate(levels):
-        per_key = work.groupBy("key").agg(F.count_distinct("code").alias("n_codes"), F.sum(F.length("data")).alias("mass"))
+        per_key = work.groupBy("key").agg(F.count_distinct("code", "code2").alias("n_codes"), F.sum(F.length("data")).alias("mass"))
         counted = work.join(per_key, "key")
         calm = counted.filter(F.col("n_codes") <= hot_contexts) if level + 1 < len(levels) else None
         if calm is not None:
             total = per_key.filter(F.col("n_codes") <= hot_contexts).agg(F.coalesce(F.sum("mass"), F.lit(0))).first()[0]
             buckets = max(1, int(total // bucket_bytes))
-            once = calm.dropDuplicates(["key", "code"]) if level else calm
+            once = calm.dropDuplicates(same) if level else calm
             marks.append(once.groupBy(F.pmod(F.hash("key"), F.lit(buckets)).alias("bucket")).applyInArrow(_solve(length, gram), _MARK))
         if level + 1 == len(levels):
             break
@@ -295,24 +321,30 @@ def repeated_spans(rows: DataFrame, length: int = 400, bucket_bytes: int = 4 <<
         if hot.isEmpty():
             break
         # windows of hot keys under longer grams; the parent's place goes along
-        finer = hot.select("data", "pkey", "pcode", "base", F.col("times").alias("ptimes")).mapInArrow(_split(length, levels[level + 1]), "pkey long, pcode long, base long, ptimes long, key long, code long, data binary")
+        finer = hot.select("data", "pkey", *_CODE, "base", F.col("times").alias("ptimes")).mapInArrow(_split(length, levels[level + 1]), "pkey long, pcode long, pcode2 long, base long, ptimes long, key long, code long, code2 long, data binary")
         finer = cut(finer)
-        times = finer.groupBy("key", "code").agg(F.sum("ptimes").alias("times"))
-        work = cut(finer.join(times, ["key", "code"]).drop("ptimes"))
+        times = finer.groupBy(*same).agg(F.sum("ptimes").alias("times"))
+        work = cut(finer.join(times, same).drop("ptimes"))
         spans = F.array(F.struct(F.col("base").cast("int").alias("a"), (F.col("base") + F.length("data")).cast("int").alias("b")))
-        repeats = F.col("times") > 1
-        if not levels[level + 1]:  # here a context is a run of one and the same window
-            repeats = repeats | (F.length("data") > length)
-        marks.append(work.filter(repeats).select("pkey", "pcode", spans.alias("spans")))
+        marks.append(work.filter("times > 1").select("pkey", *_CODE, spans.alias("spans")))
 
     found = marks[0]
     for more in marks[1:]:
         found = found.unionByName(more)
-    whole = live.filter("times > 1").select(F.col("key").alias("pkey"), F.col("code").alias("pcode"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
-    found = found.unionByName(whole)
-    placed = routed.join(found, (routed["key"] == found["pkey"]) & (routed["code"] == found["pcode"]))
-    own = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + (length - 1)).cast("int").alias("b")))
-    shifted = F.transform(F.coalesce("spans", own), lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))
+    # the spans of a context, and of one that occurs more than once the whole; a context has few windows
+    found = found.groupBy("pkey", *_CODE).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    whole = live.filter("times > 1").select(*own, F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
+    found = found.join(whole.select("pkey", *_CODE), ["pkey", *_CODE], "left_anti").unionByName(whole)
+    found = found.select(*[F.col(f"p{c}").alias(c) for c in same], "spans")
+    # contexts with more than a 10,000th of all places, of which there are fewer than 10,000, never meet in one task
+    most = routed.count() // hot_share + 1
+    hot = cut(live.filter(F.col("times") > most).select(*same))
+    placed = routed.join(found, same)
+    if not hot.isEmpty():
+        spans_of_hot = F.broadcast(hot.withColumn("spans", F.lit(None).cast("array<struct<a:int,b:int>>")))
+        placed = routed.join(F.broadcast(hot), same, "left_anti").join(found, same).unionByName(routed.join(spans_of_hot, same))
+    everything = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + (length - 1)).cast("int").alias("b")))
+    shifted = F.transform(F.coalesce("spans", everything), lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))
     return placed.select("id", "mark", shifted.alias("spans")).groupBy("id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
@@ -322,17 +354,17 @@ def _split(length: int, gram: int):
             datas = [d.as_py() for d in batch.column(0)]
             text, first, count, key, code, _ = contexts(datas, length, gram)
             take = pa.array(text)
-            base = batch.column(3).to_numpy()[text] + first
+            base = batch.column(4).to_numpy()[text] + first
             parts = [datas[t][f : f + c - 1 + length] for t, f, c in zip(text.tolist(), first.tolist(), count.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).take(take), batch.column(2).take(take), pa.array(base), batch.column(4).take(take), pa.array(key.view(np.int64)), pa.array(code.view(np.int64)), pa.array(parts, pa.binary())],
-                ["pkey", "pcode", "base", "ptimes", "key", "code", "data"],
+                [*(batch.column(k).take(take) for k in (1, 2, 3)), pa.array(base), batch.column(5).take(take), pa.array(key.view(np.int64)), pa.array(code[:, 0]), pa.array(code[:, 1]), pa.array(parts, pa.binary())],
+                ["pkey", "pcode", "pcode2", "base", "ptimes", "key", "code", "code2", "data"],
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, bucket_bytes: int = 4 << 20, hot_contexts: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, bucket_bytes: int = 4 << 20, hot_contexts: int = 4096, hot_share: int = 10_000) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte covered by a string of `length` bytes that also starts anywhere else, in the same text or
@@ -343,5 +375,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("data").alias("mark"), "data")
-    spans = repeated_spans(rows.drop("doc_id"), length, bucket_bytes, hot_contexts)
+    spans = repeated_spans(rows.drop("doc_id"), length, bucket_bytes, hot_contexts, hot_share=hot_share)
     return rows.join(spans, ["id", "mark"], "left").select("doc_id", "data", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -64,7 +64,7 @@ def covered(texts, length):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"hot_contexts": 2}, {"bucket_bytes": 10_000}])
+@pytest.mark.parametrize("settings", [{}, {"hot_contexts": 2}, {"bucket_bytes": 10_000}, {"hot_share": 1 << 40}])
 def test_repeated_strings(frame, odd, empty, settings):
     rng = random.Random(5)
     base = [words(rng, rng.randint(5, 250)) for _ in range(12)]
@@ -86,6 +86,26 @@ def test_repeated_strings(frame, odd, empty, settings):
         assert len(rows) == 10 and {r["doc_id"] for r in rows if r["n_removed"]} == {6, 7} and remove_repeats(empty).count() == 0
 
 
+def test_repeats_are_told_by_bytes(frame):
+    """Two texts whose blocks follow the Thue-Morse order and its opposite have one polynomial hash modulo 2**64."""
+    from ledgerlens.llm.repeats import _BASE, _BYTES, Hashes
+
+    letters = np.frombuffer("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,;:-_+!?".encode(), np.uint8)
+    first, second = (x.ravel() for x in np.meshgrid(letters, letters, indexing="ij"))
+    low = (_BYTES[first] + _BYTES[second] * _BASE) & np.uint64((1 << 22) - 1)
+    order = np.argsort(low, kind="stable")
+    at = int(np.flatnonzero(low[order][1:] == low[order][:-1])[0])
+    blocks = [bytes([first[k], second[k]]) for k in order[at : at + 2]]
+    morse = [k.bit_count() % 2 for k in range(128)]
+    rng = random.Random(17)
+    lead = "".join(rng.choice("abcdefgh ") for _ in range(144)).encode()
+    texts = [lead + b"".join(blocks[b ^ flip] for b in morse) for flip in (0, 1)]
+    whole = [int(Hashes(np.frombuffer(t, np.uint8)).of(np.array([0]), np.array([400]))[0]) for t in texts]
+    assert len(texts[0]) == 400 and texts[0] != texts[1] and whole[0] == whole[1]
+    got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(frame([(i, t.decode()) for i, t in enumerate([*texts, texts[0] + b"x"])])).collect()}
+    assert got == {0: 400, 1: 0, 2: 400}
+
+
 def fingerprint(text):
     tokens = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
     codes = [xxhash.xxh64_intdigest(b" ".join(tokens[i : i + 3]), 42) for i in range(max(1, len(tokens) - 2))] if tokens else []
