@@ -105,6 +105,7 @@ def foreign_prefix(value: Column, country: Column) -> Column:
     return F.when((prefix != "") & (prefix != own), prefix)
 
 
+#: Forms of the identifiers: fixed values.
 _ID_ES = r"(?:ES)?(?:[XYZ]\d{7}[A-Z]|\d{8}[A-Z]|[ABCDEFGHJNPQRSUVW]\d{7}[0-9A-J])"
 _ID_EU = "(?:" + "|".join(R.EU_PREFIXES) + r")[0-9][0-9A-Z]{7,11}"
 _OWN = {"ES": _ID_ES, "UK": r"(?:GB)?[0-9]{9}", "US": r"[0-9]{2}-?[0-9]{7}", "DE": r"DE[0-9]{9}"}

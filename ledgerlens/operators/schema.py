@@ -24,10 +24,10 @@ FIELDS = {
 }
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """All fields of the record in order; those the input lacks are null, and what it has besides is dropped."""
+def conform(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All fields of the record in order; those the input lacks are null, and what it has besides is dropped but for `keep`."""
     have = set(df.columns)
-    return df.select(*[(F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)).alias(name) for name, kind in FIELDS.items()])
+    return df.select(*[(F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)).alias(name) for name, kind in FIELDS.items()], *keep)
 
 
 def _scalar(value: Column, path: str, kind: str) -> Column:

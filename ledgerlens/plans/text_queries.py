@@ -10,6 +10,8 @@ from ledgerlens.functions.money import cents, parse_amount
 from ledgerlens.functions.taxid import complete_tax_id, foreign_prefix, ids_in, is_valid_tax_id
 from ledgerlens.functions.text import compact, format_amount, norm
 from ledgerlens.operators import classify, extract, layout
+from ledgerlens.operators.lines import text_lines
+from ledgerlens.plans.extract_queries import spread
 from ledgerlens.plans.views import table
 from ledgerlens.plans.views import sql_tax_id
 
@@ -237,7 +239,7 @@ def label_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     beside = F.concat(F.lit("Acme SL\nFactura nº:  F-"), key, F.lit("\nFecha de vencimiento   31/12/2030\nFecha   "), day)
     below = F.concat(F.lit("Acme SL\nNúmero de factura      Fecha de emisión\nF-"), key, F.lit("                   "), day)
     docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 2 == 0, beside).otherwise(below).alias("text"))
-    return extract.label_values(layout.plain_text_words(docs), extract.labels_frame(spark))
+    return extract.label_values(spread(docs).select("doc_id", text_lines(F.col("text")).alias("lines")))
 
 
 LABEL_SQL = """

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.refdata import TABLE_HEADERS
 from ledgerlens.operators import classify, extract, layout, score
+from ledgerlens.operators.lines import join_digits, text_lines
 
 WORDS = "doc_id long, page int, ord int, text string, x0 double, y0 double, x1 double, y1 double, conf double, rotated boolean"
 
@@ -49,9 +50,92 @@ def test_read_number(spark):
 
 
 def test_detail_row(spark):
-    frame = spark.createDataFrame([(0, "Servicio de montaje  2  450,00  900,00"), (1, "Tornillos (10x24,00€)  240,00")], "i int, t string")
-    rows = [r["d"] for r in frame.select("i", extract.detail_row(F.col("t")).alias("d")).orderBy("i").collect()]
-    assert [(r["descripcion"], float(r["cantidad"]), float(r["precio"]), float(r["importe"])) for r in rows] == [("Servicio de montaje", 2, 450, 900), ("Tornillos", 10, 24, 240)]
+    frame = spark.createDataFrame([(0, "Servicio de montaje  2  450,00  900,00"), (1, "Tornillos   (10x24,00€)   240,00"), (2, "sin importe")], "i int, t string")
+    rows = [r["d"] for r in frame.select("i", extract.detail_row(F.get(text_lines(F.col("t")), F.lit(0)), F.lit(100.0)).alias("d")).orderBy("i").collect()]
+    assert [r and (r["descripcion"], float(r["cantidad"]), float(r["precio"]), float(r["importe"])) for r in rows] == [("Servicio de montaje", 2, 450, 900), ("Tornillos (10x24,00€", 10, 24, 240), None]
+
+
+ID1, ID2, ID3 = "B99123408", "A58818501", "B83719260"
+
+
+def read_invoice(spark, text, country=None):
+    return extract.extract_text(spark.createDataFrame([(1, text)], "doc_id long, text string"), country=country).first()
+
+
+def test_invoice_with_parties_by_tax_id(spark):
+    text = f"""FACTURA   RC-26-0152
+Fecha de factura: 03/02/2026
+Vence en 30 días: Fecha de vencimiento 05/03/2026
+Para: Hostal Ribera SL
+      Avda. del Puerto 12
+      NIF {ID2}
+Concepto          Cantidad   Precio   Importe
+Diseño de carta     2          450,00   900,00
+Imprenta (10x24,00€)       240,00
+Subtotal   1.140,00 €
+Descuento 10 %   114,00 €
+Base imponible neta   1.026,00 €
+IVA 21%   215,46 €
+Retención IRPF 15%   153,90 €
+TOTAL FACTURA   1.087,56 €
+Estudio Lumbre Gráfica SL | NIF {ID1} | tel. 910 000 000"""
+    r = read_invoice(spark, text)
+    assert (r["pais"], r["numero"], r["fecha_emision"], r["fecha_vencimiento"]) == ("ES", "RC-26-0152", "2026-02-03", "2026-03-05")
+    assert (r["emisor"]["nombre"], r["emisor"]["nif"], r["receptor"]["nombre"], r["receptor"]["nif"]) == ("Estudio Lumbre Gráfica SL", ID1, "Hostal Ribera SL", ID2)
+    assert [(float(x["cantidad"]), float(x["precio_unitario"]), float(x["importe"])) for x in r["lineas"]] == [(2, 450, 900), (10, 24, 240)]
+    assert [float(r[c]) for c in ("base_bruta", "base_imponible", "total")] == [1140, 1026, 1087.56] and float(r["descuento"]["importe"]) == -114 and float(r["retencion"]["cuota"]) == 153.9
+    assert r["campos"] == {"numero": 0.75, "fecha_emision": 0.95, "fecha_vencimiento": 0.95, "base_imponible": 0.95, "total": 0.95}
+
+
+def test_invoice_with_parties_by_columns(spark):
+    text = f"""Factura nº: 77/2026
+FROM                          BILL TO
+Aceros del Sur SA             Papelería Sol SL
+Polígono Norte 4              Calle Sol 1
+{ID3}
+Descripción      Importe
+Chapa            100,00
+IVA 10%          10,00
+Gracias. NIF cliente {ID2}"""
+    r = read_invoice(spark, text, "ES")
+    assert (r["emisor"]["nombre"], r["emisor"]["nif"], r["receptor"]["nombre"], r["receptor"]["nif"]) == ("Aceros del Sur SA", ID3, "Papelería Sol SL", ID2)
+    assert (r["numero"], float(r["base_imponible"]), float(r["total"]), r["campos"]["base_imponible"], r["campos"]["total"]) == ("77/2026", 100, 110, 0.6, 0.5)
+
+
+def test_issuer_above_its_identifier_and_block_end(spark):
+    text = f"""Talleres Norte SL
+Calle Mayor 3, 28001 Madrid
+CIF: {ID1}
+Facturar a:
+Muebles Encina SL
+
+
+                         Nota aparte
+NIF {ID2}"""
+    r = read_invoice(spark, text)
+    # a line beside the column, 36 points below its last cell, ends the block, so the recipient has no identifier
+    assert (r["emisor"]["nombre"], r["emisor"]["nif"], r["receptor"]["nombre"], r["receptor"]["nif"]) == ("Talleres Norte SL", ID1, "Muebles Encina SL", None)
+    assert r["lineas"] == [] and r["total"] is None
+
+
+def test_extraction_of_odd_texts(spark):
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "una nota"), (5, "x " * 3000)]
+    got = {r["doc_id"]: r for r in extract.extract_text(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(got) == ["1", "2", "3", "4", "5"] and all(r["numero"] is None and r["total"] is None and r["lineas"] == [] and r["confianza"] == 0 for r in got.values())
+    assert extract.extract_text(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_give_the_same_invoice(spark):
+    text = f"Factura nº: F-7\nFecha: 01/02/2026\nTalleres Norte SL\nNIF {ID1}\nBase imponible   100,00\nIVA 21%   21,00\nTotal   121,00"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    from_words = extract.extract_words(layout.plain_text_words(docs)).first()
+    assert from_words == read_invoice(spark, text) and float(from_words["total"]) == 121
+
+
+def test_join_digits(spark):
+    cases = [("31/07/2 026", "31/07/2026"), ("IVA2 1%", "IVA21%"), ("640 ,80", "640,80"), ("1 60,00", "1 60,00"), (f"{ID1[:7]} {ID1[7:]}", ID1), ("B1234567 9", "B1234567 9"), (None, None)]
+    rows = spark.createDataFrame(cases, "t string, e string").withColumn("got", join_digits(F.col("t"))).collect()
+    assert [r["got"] for r in rows] == [r["e"] for r in rows]
 
 
 def read_totals(spark, text):
