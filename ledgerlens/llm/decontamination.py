@@ -17,32 +17,54 @@ from ledgerlens.llm.common import cut, pick, text_or_empty
 
 #: Words and signs of measure that count as a unit right after a number.
 UNITS = ("km", "kg", "cm", "mm", "mg", "ml", "m", "g", "l", "s", "h", "min", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "years", "year", "miles", "feet", "inches", "pounds", "dollars", "euros", "cents", "percent")
-_TOKEN = r"\p{L}[\p{L}\p{M}'’]*|\p{N}+(?:[.,]\p{N}+)*|[%€$£°]|[.!?:;\n]+"
+_TOKEN = r"\p{L}[\p{L}\p{M}'’]*|\p{N}+(?:[.,]\p{N}+)*|[%€$£°]"
 _SLOTTED = ("\u0001n", "\u0001w", "\u0001u")
 _GAP = "\u0002"
 _CELLS = "array<struct<code:bigint,at:int,slots:string,exact:boolean>>"
+_BITS = 17  # of a word's hash that tell whether the benchmark may hold it
+
+
+def _raw(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
 
 def _tokens(text: Column) -> Column:
-    """Structs (t, s): the template token, and what the placeholder stands for ("" for a plain word)."""
-    raw = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    """Structs (t, s): the template token, and what the placeholder stands for ("" for a plain word). A word with a capital is
+    a name wherever it stands, also at the start of a sentence."""
 
     def canonical(array: Column) -> Column:
         def one(w: Column, i: Column) -> Column:
-            before = F.when(i > 0, F.get(array, i - 1)).otherwise(F.lit("."))
-            low = F.lower(w)
-            plain = F.struct(low.alias("t"), F.lit("").alias("s"))
+            low, first = F.lower(w), F.substring(w, 1, 1)
             slot = lambda kind: F.struct(F.lit(kind).alias("t"), low.alias("s"))
-            first = F.substring(w, 1, 1)
-            return (
-                F.when(F.substring(low, 1, 1) == first, F.when(first.between("0", "9"), slot(_SLOTTED[0])).when(F.substring(before, 1, 1).between("0", "9") & low.isin(*UNITS, "%", "€", "$", "£", "°"), slot(_SLOTTED[2])).otherwise(plain))
-                .when(F.substring(before, 1, 1).isin(".", "!", "?", ":", ";", "\n"), plain)
-                .otherwise(slot(_SLOTTED[1]))
-            )
+            unit = low.isin(*UNITS, "%", "€", "$", "£", "°") & (i > 0) & F.substring(F.get(array, i - 1), 1, 1).between("0", "9")
+            return F.when(first.between("0", "9"), slot(_SLOTTED[0])).when(F.lower(first) != first, slot(_SLOTTED[1])).when(unit, slot(_SLOTTED[2])).otherwise(F.struct(low.alias("t"), F.lit("").alias("s")))
+
+        return F.transform(array, one)
+
+    return F.transform(F.array(_raw(text)), canonical)[0]
+
 
-        return F.filter(F.transform(array, one), lambda x: ~F.substring(x["t"], 1, 1).isin(".", "!", "?", ":", ";", "\n"))
+def _bit(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - _BITS).cast("int")
 
-    return F.transform(F.array(raw), canonical)[0]
+
+def _flag(table: Column):
+    def of(w: Column) -> Column:
+        first = F.substring(w, 1, 1)
+        return F.when(F.get(table, _bit(F.lower(w))) == 1, "1").when(first.between("0", "9") | (F.lower(first) != first), "1").otherwise("0")
+
+    return of
+
+
+def _may_hold(text: Column, known: dict[int, list[int]]) -> Column:
+    """Whether a text has, for some size, that many tokens in a row of which each is a number, a name or a word whose bit is
+    among the benchmark's: a necessary condition for a window of that size."""
+    out = F.lit(False)
+    for size, bits in known.items():
+        on = set(bits)
+        table = F.from_json(F.lit("[" + ",".join("1" if k in on else "0" for k in range(1 << _BITS)) + "]"), "array<tinyint>")
+        out = out | F.array_join(F.transform(_raw(text), _flag(table)), "").rlike(f"1{{{size}}}")
+    return out
 
 
 def _windows(tokens: str, sizes: list[int], min_words: int, exact: list[int]) -> Column:
@@ -92,7 +114,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     exact = sorted(r["size"] for r in wanted.filter("exact").select("size").distinct().collect())
     totals = wanted.groupBy("item_id").agg(F.count_distinct("code").alias("n_windows"))
 
-    texts = pick(docs, doc_id=id_col, text=text_col).filter("doc_id is not null and text is not null")
+    # at most 2**17 bits for each of at most `window` sizes, whatever the benchmark's size
+    held = items.select("size", F.explode("tokens").alias("x")).filter(F.col("x.t") != _SLOTTED[0]).select("size", _bit(F.when(F.col("x.s") != "", F.col("x.s")).otherwise(F.col("x.t"))).alias("bit"))
+    units = items.select("size").distinct().select("size", F.explode(F.array(*[_bit(F.lit(u)) for u in (*UNITS, "%", "€", "$", "£", "°")])).alias("bit"))
+    bits: dict[int, list[int]] = {}
+    for r in held.union(units).distinct().collect():
+        bits.setdefault(r["size"], []).append(r["bit"])
+    known_bits = {size: bits.get(size, []) for size in sizes}
+
+    texts = pick(docs, doc_id=id_col, text=text_col).filter("doc_id is not null and text is not null").filter(_may_hold(F.col("text"), known_bits))
     side = wanted.drop("exact")
     side = F.broadcast(side) if wanted.count() <= broadcast_windows else side
     found = texts.select("doc_id", _tokens(F.col("text")).alias("tokens")).select("doc_id", F.inline(_windows("tokens", sizes, min_words, exact))).join(side, "code")

@@ -217,3 +217,94 @@ def test_stages_decide_by_row(spark, frame):
         assert sorted((tuple(r) for r in stage(spark, docs, "/root/testdata/sf0.001").collect()), key=lambda r: (r[0] is None, r)) == kept
     clean = pipeline.decontaminate(spark, frame([(None, item), (None, long[0]), (3, long[1])]), "/root/testdata/sf0.001").collect()
     assert {tuple(r) for r in clean} == {(None, long[0]), (3, long[1])}
+
+
+def leaks_plainly(docs, items, window=8, min_words=4):
+    """find_leaks pair by pair, without hashes: {(doc, item): kind}."""
+    import regex
+
+    from ledgerlens.llm.decontamination import UNITS
+
+    def tokens(text):
+        raw, out = regex.findall(r"\p{L}[\p{L}\p{M}'’]*|\p{N}+(?:[.,]\p{N}+)*|[%€$£°]", text), []
+        for i, w in enumerate(raw):
+            if w[0] in "0123456789":
+                out.append(("#", w))
+            elif w[0].lower() != w[0]:
+                out.append(("Name", w.lower()))
+            elif w.lower() in (*UNITS, "%", "€", "$", "£", "°") and i and raw[i - 1][0] in "0123456789":
+                out.append(("Unit", w.lower()))
+            else:
+                out.append((w.lower(), ""))
+        return out
+
+    def windows(held, size):
+        for at in range(len(held) - size + 1):
+            part = held[at : at + size]
+            few = sum(s == "" for _, s in part) < min(min_words, size)
+            yield (few, tuple(s or t for t, s in part) if few else tuple(t for t, _ in part)), at, tuple(s for _, s in part)
+
+    found = {}
+    for item_id, item in items:
+        held = tokens(item)
+        size = min(window, len(held))
+        if not size:
+            continue
+        wanted = {}
+        for code, at, slots in windows(held, size):
+            wanted.setdefault((code, slots), at)
+        total = len({code for code, _ in wanted})
+        for doc_id, doc in docs:
+            hits = set()
+            for code, at, slots in windows(tokens(doc), size):
+                hits |= {(at - first, code, theirs, theirs if code[0] else slots) for (other, theirs), first in wanted.items() if other == code}
+            offsets, runs = sorted({h[0] for h in hits}), []
+            for o in offsets:
+                if runs and o - runs[-1][-1] < size:
+                    runs[-1].append(o)
+                else:
+                    runs.append([o])
+            best = []
+            for level, scopes in enumerate(([[o] for o in offsets], runs, [offsets])):
+                for scope in scopes:
+                    inside = {}
+                    for o, code, theirs, slots in hits:
+                        if o in scope:
+                            inside.setdefault((code, theirs), []).append(slots)
+                    matched = len({code for code, _ in inside})
+                    pairs = {(a, b) for (_, theirs), slots in inside.items() for a, b in zip(theirs, theirs if theirs in slots else min(slots, key="\x02".join)) if a}
+                    if inside and matched >= total / 2 and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
+                        best.append((any(a != b for a, b in pairs), -matched, level))
+            if best:
+                found[doc_id, item_id] = "reparameterised" if min(best)[0] else "exact"
+    return found
+
+
+def test_leaks_against_a_plain_version(spark):
+    rng = random.Random(31)
+    names, plain = ["Tom", "Zoe", "Ann", "Bob", "Mary"], "has red apples in his bag and sells them to before the market opens while eats more of it at home".split()
+
+    def story(n):
+        out = []
+        for _ in range(n):
+            out.append(rng.choice([rng.choice(names), str(rng.randint(2, 40)), f"{rng.randint(2, 9)} {rng.choice(['kg', 'km', 'g'])}", *[rng.choice(plain) for _ in range(5)]]) + rng.choice(["", "", "", ".", ","]))
+        return " ".join(out)
+
+    def varied(text):
+        swap = dict(zip(names, rng.sample(names, len(names))))
+        return re.sub(r"[A-Z][a-z]+|\d+", lambda m: swap.get(m[0]) or (str(int(m[0]) + 41) if m[0].isdigit() else m[0]), text)
+
+    told = "Tom has 5 apples and buys 7 more apples from the market before he eats 2 of them at home"
+    items = [(k, story(rng.randint(2, 25))) for k in range(12)] + [(90, told), (91, "Tom has 5 red apples in his bag"), (92, told + ". " + told.replace("5", "6"))]
+    docs = []
+    for k in range(60):
+        parts = [story(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 2)):
+            item = rng.choice(items)[1]
+            parts += [rng.choice([item, varied(item), " ".join(item.split()[rng.randint(0, 4) :])]), story(rng.randint(0, 6))]
+        docs.append((k, rng.choice([" ", ". ", "\n"]).join(parts)))
+    variant = lambda who, a, b, c: told.replace("Tom", who).replace("5", a).replace("7", b).replace("2", c)
+    docs += [(100, variant("Zoe", "3", "9", "4")), (101, variant("Zoe", "3", "9", "4") + ". " + variant("Bob", "8", "6", "1")), (102, "Zoe has 3 red apples in his bag"), (103, "Well. " + variant("Ann", "11", "6", "3") + " Then. " + variant("Mary", "4", "12", "9"))]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == leaks_plainly(docs, items)
+    assert all(got[k, 90] == "reparameterised" for k in (100, 101, 103)) and got[102, 91] == "reparameterised"
