@@ -32,3 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def join_by_class(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, share: int = 10_000) -> DataFrame:
+    """rows joined with classes, which has one row per key and in `size` how many of `rows` it has. A class of more than a
+    10,000th of all rows, of which there are fewer than 10,000, is broadcast, so its rows never meet in one task."""
+    total = classes.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = classes.filter(F.col(size) > total // share + 1)
+    if hot.isEmpty():
+        return rows.join(classes, keys)
+    calm = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(classes.filter(F.col(size) <= total // share + 1), keys)
+    return calm.unionByName(rows.join(F.broadcast(hot), keys))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import pick
+from ledgerlens.llm.common import cut, join_by_class, pick
 
 _BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 _RUNS = re.compile(rb" {2,}")
@@ -189,4 +189,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     classes = content_classes(docs, id_col, text_col, table_bytes, fan_out)
     members = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests, "doc_id long, text_sha256 string")
-    return members.join(classes, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return join_by_class(members, cut(classes), ["text_sha256"], "group_size").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -1,19 +1,20 @@
 """Preference formatting of chat transcripts, in DataFrame operations only.
 
 A pair of conversations is compared turn by turn; their longest common prefix is rendered once as the prompt, and what
-follows on either side is emitted as chosen and rejected completion with a loss mask. Rows stay turns throughout, so a
-conversation of any length is never gathered in one place.
+follows on either side is emitted beside it as chosen and rejected completion with its loss mask. A pair is one row; one
+of more than PART_TURNS turns goes on in further rows, so a conversation of any length is never gathered in one place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlens.llm.common import cut, pick
 
 OPEN, CLOSE = "<|", "<|end|>"
+PART_TURNS = 64
 
 
 def clean_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -74,15 +75,19 @@ def other_answers(singles: DataFrame, deal_rows: int = 4096) -> DataFrame:
 
 
 def format_preferences(conversations: DataFrame, pairs: DataFrame | None = None, reject_others: bool = False, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per rendered turn: pair_id, side (prompt, chosen, rejected), conv_id, turn, segment, n_chars, loss_mask,
-    prefix_turns.
+    """One row per pair and part: pair_id, part, prompt, chosen, rejected, chosen_mask, rejected_mask, n_prompt, n_chosen,
+    n_rejected (turns), prefix_turns, chosen_conv, rejected_conv.
+
+    Part k has the turns numbered from 64 k on; a pair of usual length is one row. Prompt and completions are rendered turns
+    joined (null where the part has none); a mask lists the spans [start, stop) of the completion, in characters of that
+    row, that carry loss: its assistant turns. Turns are matched by their numbers.
 
     `pairs` gives pair_id, chosen and rejected; without it conversations are paired by their opening turn. The prompt is
     the longest common turn prefix, taken from the chosen side; where the whole of both is common there is nothing to
     prefer and only the prompt comes out. A conversation without a partner has its last run of turns from the last
     user turn on as the chosen completion and all before it as prompt; with `reject_others` one that ends without an
     answer has its last answer and what follows as completion, and each gets the rejected answer of `other_answers`
-    after the same prompt, its conv_id and turn telling where that answer stands. The mask is 1 on assistant turns of completions.
+    after the same prompt, in the part in which the completion begins; rejected_conv tells whose answer that is.
     Null texts and roles are empty; an empty table gives an empty result; other columns of the input are ignored.
     """
     turns = cut(clean_turns(conversations, conv_col, turn_col, role_col, text_col))
@@ -113,17 +118,36 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame | None = None,
     split = split.withColumn("common", ~lent & (F.col("fork").isNull() | (F.col("turn") < F.col("fork"))))
     lengths = split.filter("common and side = 'chosen'").groupBy("pair_id").agg(F.count("*").alias("prefix_turns"))
     segment = F.concat(F.lit(OPEN), "role", F.lit("|>\n"), "text", F.lit("\n" + CLOSE + "\n"))
-    return (
-        split.filter("not common or side = 'chosen'")
-        .join(lengths, "pair_id", "left")
-        .select(
-            "pair_id",
-            F.when(F.col("common"), F.lit("prompt")).otherwise(F.col("side")).alias("side"),
-            "conv_id",
-            "turn",
-            segment.alias("segment"),
-            F.length(segment).cast("long").alias("n_chars"),
-            F.when(~F.col("common") & (F.col("role") == "assistant"), 1).otherwise(0).alias("loss_mask"),
-            F.coalesce("prefix_turns", F.lit(0)).cast("long").alias("prefix_turns"),
-        )
+    place = F.when(lent, F.greatest("fork", F.lit(0))).otherwise(F.col("turn"))
+    rendered = split.filter("not common or side = 'chosen'").select(
+        "pair_id",
+        F.floor(place / PART_TURNS).cast("long").alias("part"),
+        F.when(F.col("common"), F.lit("prompt")).otherwise(F.col("side")).alias("side"),
+        "turn",
+        "conv_id",
+        segment.alias("segment"),
+        (~F.col("common") & (F.col("role") == "assistant")).alias("loss"),
+    )
+    parts = rendered.groupBy("pair_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "side", "segment", "loss", "conv_id"))).alias("turns"))
+    of = lambda side: F.filter("turns", lambda t: t["side"] == side)
+    held = parts.select("pair_id", "part", *[of(side).alias(f"_{side}") for side in ("prompt", "chosen", "rejected")])
+    text = lambda side: F.when(F.size(f"_{side}") > 0, F.array_join(F.transform(f"_{side}", lambda t: t["segment"]), "")).alias(side)
+
+    def mask(side: str) -> Column:
+        # at most 64 turns: where each begins is the sum of those before it
+        starts = F.transform(f"_{side}", lambda t, i: F.struct(F.aggregate(F.slice(f"_{side}", 1, i), F.lit(0), lambda acc, x: acc + F.length(x["segment"])).alias("start"), F.length(t["segment"]).alias("size"), t["loss"].alias("loss")))
+        return F.transform(F.filter(starts, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["size"]).alias("stop"))).alias(f"{side}_mask")
+
+    return held.join(lengths, "pair_id", "left").select(
+        "pair_id",
+        "part",
+        text("prompt"),
+        text("chosen"),
+        text("rejected"),
+        mask("chosen"),
+        mask("rejected"),
+        *[F.size(f"_{side}").cast("long").alias(f"n_{side}") for side in ("prompt", "chosen", "rejected")],
+        F.coalesce("prefix_turns", F.lit(0)).cast("long").alias("prefix_turns"),
+        F.coalesce(F.get("_chosen", F.lit(0))["conv_id"], F.get("_prompt", F.lit(0))["conv_id"]).alias("chosen_conv"),
+        F.get("_rejected", F.lit(0))["conv_id"].alias("rejected_conv"),
     )

@@ -1,9 +1,12 @@
 """Secret scan: fixed patterns and a randomness test battery, in DataFrame operations only.
 
-Long tokens that mix letters and digits are candidates. The encoding is inferred from their characters; against
-"uniformly random in that alphabet" three tests are run: chi-squared over eight equal bins, runs above and below the
-middle, and lag-one serial correlation. The least p-value is corrected for the three tests, and within each class of
-lengths the Benjamini-Hochberg step-up over all candidates of the corpus decides which are too regular to be keys.
+Long tokens that mix letters and digits are candidates. The encoding is inferred from their characters. What is tested
+is that a token is *not* random in that alphabet: that its characters are as uneven as UNEVEN or more (chi-squared over
+eight equal bins), that its runs above and below the middle are off by RUNS_OFF of their number or more, or that its
+lag-one serial correlation is SERIAL or more. Only a token that refutes all three is a secret, so its p-value is the
+largest of the three; within each class of lengths the Benjamini-Hochberg step-up over all candidates of the corpus
+bounds the expected share of such non-random tokens among those reported. Short tokens can refute little, and are not
+reported unless many candidates of their class do.
 """
 
 from __future__ import annotations
@@ -32,9 +35,41 @@ ALPHABETS = (
     ("base64", r"^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", r"^[A-Za-z0-9_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-LENGTH_CLASSES = (28, 40, 64)
+LENGTH_CLASSES = (28, 40, 64, 96, 160, 320)
 _BINS = 8
-_STEPS = 1000
+#: How far from random a token is that is none: the sum of (share - 1/8)**2 / (1/8) over the bins, the share of runs too
+#: many or too few, and the serial correlation.
+UNEVEN, RUNS_OFF, SERIAL = 0.5, 0.5, 0.5
+_STEPS = 16  # p-values are rounded up to a power of two to the 1/16, by 4.5 % at most, which bounds the histogram
+_LEAST_BIN = -1000 * _STEPS
+
+
+def _running(lengths: Column, kind: int, empty: Column, block: int = 256) -> Column:
+    """Spans from (gap, size, match): running sums within blocks, and then over the blocks, as appending to one array is
+    quadratic in its length."""
+
+    def of_block(held: Column) -> Column:
+        return F.aggregate(
+            held,
+            F.struct(F.lit(0).alias("at"), empty.alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + x["size"]).alias("at"),
+                F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["size"]).alias("end"), x["match"].alias("match"))).alias("out"),
+            ),
+        )
+
+    def shifted(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["match"].alias("match")))
+
+    def over(blocks: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,kind:int,end:int,match:string>>>").alias("out"))
+        return F.flatten(F.aggregate(blocks, begin, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.array_append(acc["out"], shifted(b["out"], acc["at"])).alias("out")))["out"])
+
+    def cut_up(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda k: of_block(F.slice(x, k * block + 1, block)))
+        return F.when(F.size(x) > 0, over(blocks)).otherwise(empty)
+
+    return F.transform(F.array(lengths), cut_up)[0]
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
@@ -43,24 +78,16 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
     parts, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     lengths = F.zip_with(F.slice(parts, 1, F.size(matches)), matches, lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("size"), match.alias("match")))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
-    walked = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["size"]).alias("end"), x["match"].alias("match"))).alias("out"),
-        ),
-    )["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    return F.when(text.rlike(pattern), _running(lengths, kind, empty)).otherwise(empty)
 
 
-def _normal_tail(z: Column) -> Column:
-    """P(Z > z) by a logistic approximation (error below 0.0002)."""
-    return 1.0 / (1.0 + F.exp(F.least(F.greatest(1.5976 * z + 0.070565992 * z * z * z, F.lit(-700.0)), F.lit(700.0))))
+def _tail(z: Column) -> Column:
+    """An upper bound of P(Z > z) for z > 0, less than 1 % too large beyond 1; 1 for other z."""
+    return F.when(z > 0, F.least(F.lit(1.0), F.exp(F.greatest(-z * z / 2, F.lit(-690.0))) * (4 / math.sqrt(2 * math.pi)) / (3 * z + F.sqrt(z * z + 8)))).otherwise(1.0)
 
 
 def p_value(token: Column) -> Column:
-    """The corrected p-value of the battery under "uniformly random in the inferred alphabet"."""
+    """The p-value of the battery under "not random in the inferred alphabet"."""
     alphabet = F.coalesce(*[F.when(token.rlike(pattern), F.lit(letters)) for _, pattern, letters in ALPHABETS], F.lit(ALPHABETS[-2][2]))
     stripped = F.regexp_replace(token, "[=]+", "")
     return F.transform(
@@ -70,18 +97,21 @@ def p_value(token: Column) -> Column:
 
 
 def _battery(values: Column, size: Column) -> Column:
-    return F.transform(F.array(F.struct(values.alias("v"), size.alias("m"), F.size(values).cast("double").alias("n"))), lambda s: _least(s["v"], s["m"], s["n"]))[0]
+    return F.transform(F.array(F.struct(values.alias("v"), size.alias("m"), F.size(values).cast("double").alias("n"))), lambda s: _largest(s["v"], s["m"], s["n"]))[0]
 
 
-def _least(v: Column, m: Column, n: Column) -> Column:
+def _largest(v: Column, m: Column, n: Column) -> Column:
     def total(array: Column, of) -> Column:
         return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + of(x))
 
     expected = n / _BINS
     observed = F.transform(F.sequence(F.lit(0), F.lit(_BINS - 1)), lambda b: F.size(F.filter(v, lambda x: F.floor(x * _BINS / m) == b)).cast("double"))
     chi = total(observed, lambda o: (o - expected) * (o - expected) / expected)
-    degrees = _BINS - 1.0
-    p_chi = _normal_tail((F.pow(chi / degrees, F.lit(1 / 3)) - (1 - 2 / (9 * degrees))) / math.sqrt(2 / (9 * degrees)))
+    # noncentral chi-squared with n * UNEVEN, by the cube-root transform (Abdel-Aty)
+    degrees, away = _BINS - 1.0, n * UNEVEN
+    centre, spread_by = degrees + away, 1 + away / (degrees + away)
+    variance_of_root = 2 * spread_by / (9 * centre)
+    p_chi = _tail((1 - variance_of_root - F.pow(chi / centre, F.lit(1 / 3))) / F.sqrt(variance_of_root))
 
     upper = total(v, lambda x: F.when(x * 2 >= m, 1.0).otherwise(0.0))
     lower = n - upper
@@ -89,13 +119,13 @@ def _least(v: Column, m: Column, n: Column) -> Column:
     turns = total(places, lambda i: F.when((F.get(v, i - 1) * 2 >= m) != (F.get(v, i - 2) * 2 >= m), 1.0).otherwise(0.0)) + 1.0
     mean_runs = 2 * upper * lower / n + 1
     spread = (mean_runs - 1) * (mean_runs - 2) / F.greatest(n - 1, F.lit(1.0))
-    p_runs = F.when(spread > 0, 2 * _normal_tail(F.abs(turns - mean_runs) / F.sqrt(spread))).otherwise(0.0)
+    p_runs = F.when(spread > 0, _tail((RUNS_OFF * mean_runs - F.abs(turns - mean_runs)) / F.sqrt(spread))).otherwise(1.0)
 
     middle = (m - 1) / 2.0
     variance = total(v, lambda x: (x - middle) * (x - middle)) / n
     lagged = total(places, lambda i: F.coalesce((F.get(v, i - 1) - middle) * (F.get(v, i - 2) - middle), F.lit(0.0))) / n
-    p_serial = F.when(variance > 0, 2 * _normal_tail(F.abs(lagged / variance) * F.sqrt(n))).otherwise(0.0)
-    return F.when(n < 8, 0.0).otherwise(F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)))
+    p_serial = F.when(variance > 0, _tail((SERIAL - F.abs(lagged / variance)) * F.sqrt(n))).otherwise(1.0)
+    return F.when(n < 8, 1.0).otherwise(F.greatest(p_chi, p_runs, p_serial))
 
 
 def _named(spans: Column) -> Column:
@@ -107,7 +137,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind; base kinds are found by pattern,
-    `random` ones are the candidates that the test battery does not reject. Null and empty texts have no spans (the
+    `random` ones are the candidates for which the test battery refutes that they are not random, with an expected share of
+    false ones of `false_discovery` at most. Null and empty texts have no spans (the
     digest is that of the empty string). Rows are judged one by one, so ids may repeat or be null; an empty table
     gives an empty result; other columns of the input are ignored.
     """
@@ -129,13 +160,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stratum = F.lit(0)
     for at in LENGTH_CLASSES:
         stratum = stratum + (F.col("end") - F.col("start") >= at).cast("int")
-    tested = cut(rows.select("row", F.inline("candidates")).select("row", "start", "kind", "end", stratum.alias("stratum"), F.ceil(p_value(F.col("match")) * _STEPS).alias("bin")))
+    p = F.greatest(F.ceil(F.log2(F.greatest(p_value(F.col("match")), F.lit(1e-300))) * _STEPS), F.lit(_LEAST_BIN))
+    tested = cut(rows.select("row", F.inline("candidates")).select("row", "start", "kind", "end", stratum.alias("stratum"), p.cast("int").alias("bin")))
 
-    # Benjamini-Hochberg from a histogram: a row for each length class and thousandth of p at most
+    # Benjamini-Hochberg from a histogram, of a row for each length class and step of p at most
     below = Window.partitionBy("stratum").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     histogram = tested.groupBy("stratum", "bin").agg(F.count("*").alias("n")).withColumn("rank", F.sum("n").over(below)).withColumn("all", F.sum("n").over(Window.partitionBy("stratum")))
-    rejected = histogram.filter(F.col("bin") / _STEPS * F.col("all") <= false_discovery * F.col("rank")).groupBy("stratum").agg(F.max("bin").alias("cut"))
-    random = tested.join(F.broadcast(rejected), "stratum", "left").filter(F.col("bin") > F.coalesce("cut", F.lit(0))).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("random"))
+    refuted = histogram.filter(F.pow(F.lit(2.0), F.col("bin") / _STEPS) * F.col("all") <= false_discovery * F.col("rank")).groupBy("stratum").agg(F.max("bin").alias("cut"))
+    random = tested.join(F.broadcast(refuted), "stratum").filter("bin <= cut").groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("random"))
 
     base = F.concat("assign", "access", "hex")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")

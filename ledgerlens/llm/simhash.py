@@ -1,22 +1,22 @@
 """SimHash near-duplicates by a self-join of the binary trie of all fingerprints.
 
-The trie is split at a depth at which each subtree is small; every pair of subtrees whose prefixes differ by no more
-than the budget is one group, and inside a group pairs of nodes are walked down together: differing bits add up, and
-a pair is pruned as soon as they exceed the budget. Only a spanning forest of the links of a group leaves it.
+The trie is entered by blocks of bits, one of which two fingerprints within the budget share; below a shared block pairs
+of nodes are walked down together: differing bits add up, and a pair is pruned as soon as they exceed the budget. Only
+a spanning forest of the links of a group leaves it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import cut, pick
+from ledgerlens.llm.common import cut, join_by_class, pick
 from ledgerlens.llm.components import components
 
 _FULL = (1 << 64) - 1
@@ -108,50 +108,75 @@ class _Forest:
         return x != y
 
 
-def _split_depth(points: DataFrame, leaf_rows: int) -> int:
-    """The least depth at which no subtree holds more than `leaf_rows` fingerprints (20 at most)."""
-    total = points.count()
-    depth = 0 if total <= leaf_rows else min(20, max(1, (total // leaf_rows).bit_length()))
-    while 0 < depth < 20 and points.groupBy(F.shiftrightunsigned("fp", 64 - depth)).count().agg(F.max("count")).first()[0] > leaf_rows:
-        depth = min(20, depth + 2)
-    return depth
+def _blocks(depth: int, budget: int) -> int:
+    """Bits of each of budget + 1 blocks into which what is below `depth` is cut: of two fingerprints that differ in no
+    more bits than the budget, one block is equal."""
+    return (64 - depth) // (budget + 1)
 
 
-def links(points: DataFrame, budget: int = 2, leaf_rows: int = 30_000) -> DataFrame:
-    """points(fp, rep), fp distinct. Edges (u, v) between reps whose fingerprints differ in at most `budget` bits:
-    enough of them to connect what is connected, no more than rows in a pair of subtrees."""
-    depth = _split_depth(points, leaf_rows)
-    masks = [sum(1 << bit for bit in bits) for k in range(min(budget, depth) + 1) for bits in combinations(range(depth), k)]
-    prefix = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
-    sides = (
-        points.withColumn("own", prefix)
-        .withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
-        .withColumn("far", F.col("own").bitwiseXOR(F.col("mask")))
-        .select(F.least("own", "far").alias("lo"), F.greatest("own", "far").alias("hi"), "own", "fp", "rep")
-    )
+def _turned(depth: int, by: int) -> Column:
+    """The fingerprint `turned` with the bits below `depth` rotated by `by` places, so that another block comes first."""
+    if not by:
+        return F.col("turned")
+    width = 64 - depth
+    low = F.col("turned").bitwiseAND(F.lit((1 << width) - 1)) if depth else F.col("turned")
+    high = F.shiftleft(F.shiftrightunsigned("turned", width), width) if depth else F.lit(0).cast("long")
+    moved = F.shiftleft(low, by).bitwiseOR(F.shiftrightunsigned(low, width - by))
+    return high.bitwiseOR(moved.bitwiseAND(F.lit((1 << width) - 1)) if depth else moved)
 
-    def walk(group: pa.Table) -> pa.Table:
-        own, fp, rep = group.column("own").to_numpy(), group.column("fp").to_numpy().view(np.uint64), group.column("rep").to_numpy()
-        order = np.argsort(fp)
-        own, fp, rep = own[order], fp[order], rep[order]
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        at_a = np.flatnonzero(own == lo)
-        at_b = at_a if lo == hi else np.flatnonzero(own == hi)
-        a = fp[at_a]
-        b = a if lo == hi else fp[at_b]
-        forest, us, vs = _Forest(len(fp)), [], []
-        if len(a) and len(b):
-            for i, j in trie_pairs(a, b, depth, budget, (lo ^ hi).bit_count()):
-                for x, y in zip(at_a[i].tolist(), at_b[j].tolist(), strict=True):
-                    if forest.join(x, y):
-                        us.append(int(rep[x]))
-                        vs.append(int(rep[y]))
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
-
-    return sides.groupBy("lo", "hi").applyInArrow(walk, "u long, v long")
-
-
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2, leaf_rows: int = 30_000) -> DataFrame:
+
+def links(points: DataFrame, budget: int = 2, leaf_rows: int = 16_384) -> DataFrame:
+    """points(fp, rep), fp distinct. Edges (u, v) between reps whose fingerprints differ in at most `budget` bits:
+    enough of them to connect what is connected.
+
+    The trie is entered once for each of budget + 1 blocks of bits, turned so that the block comes first: fingerprints
+    within the budget share a subtree under one of them. A subtree of more than `leaf_rows` fingerprints is entered
+    again by the blocks of its further bits, down to so few bits that no more can follow; so nothing is dropped, and
+    only crowded subtrees are dealt again."""
+    ways, depth, out = budget + 1, 0, None
+    rows = points.select(F.col("fp").alias("turned"), "rep", F.lit(0).alias("path"))
+
+    def walk(depth: int):
+        def run(group: pa.Table) -> pa.Table:
+            fp, rep = group.column("turned").to_numpy().view(np.uint64), group.column("rep").to_numpy()
+            order = np.argsort(fp)
+            heads = fp[order] >> np.uint64(64 - depth)
+            crowd = np.flatnonzero((np.append(False, heads[1:] == heads[:-1])) | np.append(heads[1:] == heads[:-1], False))
+            order, heads = order[crowd], heads[crowd]
+            fp, rep = fp[order], rep[order]
+            forest, us, vs = _Forest(len(fp)), [], []
+            if len(fp):
+                starts = np.flatnonzero(np.append(True, heads[1:] != heads[:-1]))
+                for i, j in trie_pairs(fp, fp, depth, budget, 0, starts):
+                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                        if forest.join(x, y):
+                            us.append(int(rep[x]))
+                            vs.append(int(rep[y]))
+            return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+        return run
+
+    while (size := _blocks(depth, budget)) > 0:
+        turns = [F.struct(_turned(depth, k * size).alias("turned"), (F.col("path") * ways + k).alias("path")) for k in range(ways)]
+        dealt = rows.select("rep", F.inline(F.array(*turns)))
+        depth += size
+        dealt = dealt.withColumn("head", F.shiftrightunsigned("turned", 64 - depth))
+        counted = dealt.groupBy("path", "head").count()
+        last = _blocks(depth, budget) == 0 or 1 << (64 - depth) <= leaf_rows
+        crowded = None if last else cut(counted.filter(F.col("count") > leaf_rows).select("path", "head"))
+        if crowded is not None and crowded.isEmpty():
+            crowded = None
+        calm = dealt if crowded is None else dealt.join(crowded, ["path", "head"], "left_anti")
+        buckets = max(1, ways * points.count() // leaf_rows)
+        found = calm.withColumn("bucket", F.pmod(F.xxhash64("head"), F.lit(buckets)).cast("int")).groupBy("path", "bucket").applyInArrow(walk(depth), "u long, v long")
+        out = found if out is None else out.unionByName(found)
+        if crowded is None:
+            break
+        rows = cut(dealt.join(crowded, ["path", "head"], "left_semi").select("turned", "rep", "path"))
+    return out.distinct()
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2, leaf_rows: int = 16_384) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Null, empty and blank texts have fingerprint zero and are linked like any other; equal fingerprints are one point
@@ -160,11 +185,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives an empty result; other columns of the input are ignored.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    known = points.filter("rep is not null")
+    points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")))
+    known = points.filter("rep is not null").select("fp", "rep")
     roots = components(links(known, budget, leaf_rows))
-    classes = points.join(roots, points["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = points.join(roots, points["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"), "n_rows")
+    placed = join_by_class(rows, classes, ["fp"], "n_rows")
+    return placed.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 SLICES, SLICE_BITS = 16, 28
@@ -372,7 +398,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
     rows = cut(pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sig binary"))
-    points = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("rep")))
+    points = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")))
     signed = points.filter("rep is not null").select("rep", "sig")
     edges = cut(_slice_links(signed, budget, limits, bucket_rows))
     sure = edges.filter("sure").select("u", "v")
@@ -385,5 +411,5 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     both = asked.join(texts.withColumnsRenamed({"doc_id": "u", "text": "a"}), "u").join(texts.withColumnsRenamed({"doc_id": "v", "text": "b"}), "v").select("u", "v", "a", "b")
     roots = components(sure.union(both.mapInArrow(compare, "u long, v long")))
-    classes = points.join(roots, points["rep"] == roots["node"], "left").select("sig", F.coalesce("root", "rep").alias("component_id"))
-    return rows.join(classes, "sig").select("doc_id", "component_id")
+    classes = points.join(roots, points["rep"] == roots["node"], "left").select("sig", F.coalesce("root", "rep").alias("component_id"), "n_rows")
+    return join_by_class(rows, classes, ["sig"], "n_rows").select("doc_id", "component_id")

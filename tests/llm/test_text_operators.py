@@ -98,8 +98,27 @@ def test_secret_scan(frame, odd, empty):
         assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest(), text
         assert [r[c] for c in ("n_assign", "n_access", "n_hex")] == [sum(k == kind for _, k, _ in found) for kind in range(3)]
         assert [s for s in r["spans"].split(",") if s and not s.startswith("random")] == base
-    assert rows[501]["n_random"] == 1 and rows[502]["n_random"] == 0
-    assert scan_secrets(odd).count() == 10 and scan_secrets(empty).count() == 0
+    alone = {r["doc_id"]: r["n_random"] for r in scan_secrets(frame([(i, t) for i, t in enumerate(texts) if i > 500])).collect()}
+    assert alone == {501: 1, 502: 0} and rows[502]["n_random"] == 0
+    nothing = hashlib.sha256(b"").hexdigest()
+    got = scan_secrets(odd).collect()
+    assert sorted((r["doc_id"] or 0, *(r[c] for c in ("n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"))) for r in got) == [(i, 0, 0, 0, 0, nothing, "") for i in (0, 0, 1, 2, 3, 4, 4, 5, 6, 7)] and scan_secrets(empty).count() == 0
+    many = " ".join(f"{i:04d}0123456789abcdef" for i in range(1500))
+    r = scan_secrets(frame([(1, "é" + many)])).first()
+    assert r["n_hex"] == 1500 and r["spans"].split(",")[-1] == f"hex:{1 + 21 * 1499}:{1 + 21 * 1499 + 20}"
+
+
+def test_false_secrets_are_bounded(frame):
+    """Words run together and counted names are not random; of what is reported, few are."""
+    rng = random.Random(77)
+    syllables = ["the", "ing", "and", "ion", "ent", "her", "con", "ter", "pro", "men"]
+    dull = ["".join(rng.choice(syllables) for _ in range(rng.randint(7, 30))) + str(rng.randint(0, 99)) for _ in range(600)]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(rng.randint(40, 90))) + "a1" for _ in range(200)]
+    texts = dull + keys
+    got = {r["doc_id"]: r["n_random"] for r in scan_secrets(frame(list(enumerate(texts)))).collect()}
+    false, true = sum(got[i] for i in range(len(dull))), sum(got[i] for i in range(len(dull), len(texts)))
+    assert true >= 120 and false <= 0.1 * (true + false), (true, false)
 
 
 def test_leaks(spark, odd, empty):
@@ -150,13 +169,66 @@ def test_preferences(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "same"), (1, 2, "user", "go"), (1, 3, "assistant", "a long answer"), (2, 0, "user", "hi"), (2, 1, "assistant", "same"), (2, 2, "user", "go"), (2, 3, "assistant", "short"), (2, 4, "user", "more")]
     turns += [(3, 0, "user", "alone"), (3, 1, "assistant", "yes"), (4, 0, "user", "twin"), (4, 1, "assistant", "t"), (5, 0, "user", "twin"), (5, 1, "assistant", "t"), (None, 0, "user", "lost"), (6, None, None, None)]
     rows = format_preferences(spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn int, role string, text string, pair_id int")).collect()
-    got = sorted((r["pair_id"], r["side"], r["conv_id"], r["turn"], r["loss_mask"], r["prefix_turns"]) for r in rows)
-    assert [g for g in got if g[0] == 1] == [(1, "chosen", 1, 3, 1, 3), (1, "prompt", 1, 0, 0, 3), (1, "prompt", 1, 1, 0, 3), (1, "prompt", 1, 2, 0, 3), (1, "rejected", 2, 3, 1, 3), (1, "rejected", 2, 4, 0, 3)]
-    assert [g for g in got if g[0] == 3] == [(3, "chosen", 3, 1, 1, 1), (3, "prompt", 3, 0, 0, 1)]
-    assert [g[1] for g in got if g[0] == 4] == ["prompt", "prompt"] and [g[0] for g in got if g[2] == 6] == [6]
+    said = lambda *ts: "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in ts)
+    got = {r["pair_id"]: r for r in rows}
+    assert len(rows) == len(got)
+    r = got[1]
+    assert (r["prompt"], r["chosen"], r["rejected"]) == (said(("user", "hi"), ("assistant", "same"), ("user", "go")), said(("assistant", "a long answer")), said(("assistant", "short"), ("user", "more")))
+    assert [tuple(x) for x in r["chosen_mask"]] == [(0, len(r["chosen"]))] and [tuple(x) for x in r["rejected_mask"]] == [(0, len(said(("assistant", "short"))))]
+    assert (r["part"], r["n_prompt"], r["n_chosen"], r["n_rejected"], r["prefix_turns"], r["chosen_conv"], r["rejected_conv"]) == (0, 3, 1, 2, 3, 1, 2)
+    assert (got[3]["prompt"], got[3]["chosen"], got[3]["rejected"], got[3]["rejected_mask"]) == (said(("user", "alone")), said(("assistant", "yes")), None, [])
+    assert got[4]["prompt"] and got[4]["chosen"] is None and got[4]["rejected"] is None and got[6]["chosen_conv"] == 6
     assert format_preferences(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
 
+def test_preferences_against_a_plain_version(spark):
+    """Long conversations, repeated (conv_id, turn) rows and shared openings, with given pairs."""
+    rng = random.Random(13)
+    turns, held = [], {}
+    for c in range(24):
+        told = {}
+        for t in range(rng.choice([1, 3, 8, 150])):
+            told[t] = ("assistant" if t % 2 else "user", "same" if t < c % 5 else f"c{c} t{t} {'é' * rng.randint(0, 3)}")
+        held[c] = told
+        turns += [(c, t, *said) for t, said in told.items()]
+        turns += [(c, 0, "user", "zz")] + [(c, t, *said) for t, said in list(told.items())[:2]]  # of rows for one turn the least counts
+    pairs = [(c, c, c + 1) for c in range(0, 24, 2)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    got = format_preferences(frame, spark.createDataFrame(pairs, "pair_id long, chosen long, rejected long")).collect()
+    say = lambda t: f"<|{t[0]}|>\n{t[1]}\n<|end|>\n"
+    expected = {}
+    for pair, one, other in pairs:
+        a, b = held[one], held[other]
+        fork = next((t for t in range(200) if a.get(t) != b.get(t)), None)
+        for side, told in (("prompt", {t: x for t, x in a.items() if fork is None or t < fork}), ("chosen", {t: x for t, x in a.items() if fork is not None and t >= fork}), ("rejected", {t: x for t, x in b.items() if fork is not None and t >= fork})):
+            for t, x in sorted(told.items()):
+                text, mask = expected.setdefault((pair, t // 64), {}).setdefault(side, ["", []])
+                if side != "prompt" and x[0] == "assistant":
+                    mask.append((len(text), len(text) + len(say(x))))
+                expected[pair, t // 64][side][0] += say(x)
+    assert {(r["pair_id"], r["part"]) for r in got} == set(expected) and any(r["part"] == 2 for r in got)
+    for r in got:
+        for side in ("prompt", "chosen", "rejected"):
+            text, mask = expected[r["pair_id"], r["part"]].get(side, [None, []])
+            assert r[side] == text and (side == "prompt" or [tuple(x) for x in r[f"{side}_mask"]] == mask)
+
+
+def test_preferences_query_has_pairs(spark, tmp_path):
+    from ledgerlens.llm.queries import op10_preferences
+
+    rows = op10_preferences(spark, "/root/testdata/sf0.001").collect()
+    both = [r for r in rows if r["chosen"] is not None and r["rejected"] is not None]
+    assert len(both) == 16 and len({r["pair_id"] for r in rows}) == len(rows) == 20  # four hold no answer
+    assert all(r["rejected_mask"] and r["chosen"] != r["rejected"] for r in both)
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "old"), (1, 2, "user", "b"), (1, 3, "assistant", "new"), (2, 0, "user", "c"), (2, 1, "assistant", "only"), (2, 2, "user", "thanks"), (3, 0, "user", "unanswered")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["pair_id"]: r for r in op10_preferences(spark, str(tmp_path)).collect()}
+    counts = lambda r: (r["n_prompt"], r["n_chosen"], r["n_rejected"], r["rejected_conv"])
+    assert counts(got[1]) == (3, 1, 1, 1) and "old" in got[1]["rejected"] and "new" in got[1]["chosen"]
+    assert counts(got[2]) == (1, 2, 1, 1) and "new" in got[2]["rejected"] and len(got[2]["chosen_mask"]) == 1
+    assert counts(got[3]) == (1, 0, 0, None)
+
+
 def test_stages_keep_columns_and_take_effect(spark, frame):
     import corpus_pipeline as pipeline
 
@@ -188,24 +260,6 @@ def test_leaks_of_two_variants(spark):
     assert got[1, 1] == got[2, 1] == got[1, 2] == "reparameterised" and not [k for k in got if k[0] == 3]
 
 
-def test_preferences_query_has_pairs(spark, tmp_path):
-    from ledgerlens.llm.queries import op10_preferences
-
-    rows = op10_preferences(spark, "/root/testdata/sf0.001").collect()
-    sides = {}
-    for r in rows:
-        sides.setdefault(r["pair_id"], {}).setdefault(r["side"], []).append(r)
-    both = [s for s in sides.values() if "chosen" in s and "rejected" in s]
-    assert len(both) == 16 and len(sides) == 20  # four hold no answer
-    assert all({r["segment"] for r in s["chosen"] if r["loss_mask"]} != {r["segment"] for r in s["rejected"] if r["loss_mask"]} and any(r["loss_mask"] for r in s["rejected"]) for s in both)
-    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "old"), (1, 2, "user", "b"), (1, 3, "assistant", "new"), (2, 0, "user", "c"), (2, 1, "assistant", "only"), (2, 2, "user", "thanks"), (3, 0, "user", "unanswered")]
-    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = sorted((r["pair_id"], r["side"], r["conv_id"], r["turn"], r["loss_mask"]) for r in op10_preferences(spark, str(tmp_path)).collect())
-    assert [g[1:] for g in got if g[0] == 1] == [("chosen", 1, 3, 1), ("prompt", 1, 0, 0), ("prompt", 1, 1, 0), ("prompt", 1, 2, 0), ("rejected", 1, 1, 1)]
-    assert [g[1:] for g in got if g[0] == 2] == [("chosen", 2, 1, 1), ("chosen", 2, 2, 0), ("prompt", 2, 0, 0), ("rejected", 1, 3, 1)]
-    assert [g[1] for g in got if g[0] == 3] == ["prompt"]
-
-
 def test_stages_decide_by_row(spark, frame):
     import corpus_pipeline as pipeline
 
