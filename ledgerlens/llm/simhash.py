@@ -274,7 +274,7 @@ def _leader_pairs(codes: np.ndarray, size: int, budget: int, step: int = 1 << 20
 
 
 def _slice_links(signed: DataFrame, budget: int, limits: tuple[int, int], bucket_rows: int) -> DataFrame:
-    """signed(rep, sig). Edges (u, v, sure) between reps of which one slice differs in at most `budget` bits and the whole
+    """signed(rep, sig). Edges (u, v, sure, apart) between reps of which one slice differs in at most `budget` bits and the whole
     signatures in at most limits[1]; of sure ones, in at most limits[0], a spanning forest of each bucket, and of unsure
     ones every pair that the sure ones of its bucket leave apart, from the first slice and block it shares. Two such slices share a block, so each goes to one bucket for each block, where equal
     blocks are joined with themselves. A bucket of too many rows is dealt into salts, and each pair of salts is a group.
@@ -351,10 +351,12 @@ def _slice_links(signed: DataFrame, budget: int, limits: tuple[int, int], bucket
         ends = np.array(edges, np.int64).reshape(-1, 2)
         x, y = (np.concatenate([np.zeros(0, np.int64), *side]) for side in zip(*unsure, strict=True)) if unsure else (ends[:0, 0], ends[:0, 1])
         apart = root[x] != root[y]
-        u, v = rep[np.concatenate([ends[:, 0], x[apart]])], rep[np.concatenate([ends[:, 1], y[apart]])]
-        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v)), "sure": pa.array(np.arange(len(u)) < len(ends))})
+        x, y = x[apart], y[apart]
+        steps = [_bits_apart(sig, x[at : at + (1 << 18)], y[at : at + (1 << 18)]) for at in range(0, len(x), 1 << 18)]
+        u, v = rep[np.concatenate([ends[:, 0], x])], rep[np.concatenate([ends[:, 1], y])]
+        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v)), "sure": pa.array(np.arange(len(u)) < len(ends)), "apart": pa.array(np.concatenate([np.zeros(len(ends), np.int64), *steps]))})
 
-    return sides.groupBy(*bucket, "lo", "hi").applyInArrow(walk, "u long, v long, sure boolean")
+    return sides.groupBy(*bucket, "lo", "hi").applyInArrow(walk, "u long, v long, sure boolean, apart long")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 2, bucket_rows: int = 16_384) -> DataFrame:
@@ -364,8 +366,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Pairs are found by a trie self-join of each 28-bit slice of a 448-bit SimHash: a pair at the threshold itself shares
     one of the 16 slices but for `budget` bits with a probability of 0.96, one at 0.85 with 0.99. The differing bits of
     the whole SimHash settle pairs that are clearly alike or not; those in between, where they are not linked already,
-    are compared shingle by shingle. Every pair that shares a slice so is a candidate, those of one slice code too, save
-    those that sure pairs join already; rows of equal SimHash are one. Nulls, empty texts, repeated rows, empty tables and further columns are
+    are compared shingle by shingle, in rounds. Every pair that shares a slice so is a candidate, those of one slice code too,
+    save those that other links join already; rows of equal SimHash are one. Rows that repeat an id stand for one text. Nulls, empty texts, repeated rows, empty tables and further columns are
     treated as in `simhash_groups`.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
@@ -401,15 +403,37 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     points = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")))
     signed = points.filter("rep is not null").select("rep", "sig")
     edges = cut(_slice_links(signed, budget, limits, bucket_rows))
-    sure = edges.filter("sure").select("u", "v")
-    settled = cut(components(sure))
+    roots = cut(components(edges.filter("sure").select("u", "v")))
 
-    def root(edges: DataFrame, end: str) -> DataFrame:
-        return edges.join(settled.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends are not joined, with the roots of both."""
+        for end in ("u", "v"):
+            pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+        return pairs.filter("root_u <> root_v")
 
-    asked = root(root(edges.filter("not sure").select("u", "v").distinct(), "u"), "v").filter("root_u <> root_v").select("u", "v")
+    left = cut(apart(edges.filter("not sure").select("u", "v", "apart").distinct()).select("u", "v", "apart"))
     texts = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    both = asked.join(texts.withColumnsRenamed({"doc_id": "u", "text": "a"}), "u").join(texts.withColumnsRenamed({"doc_id": "v", "text": "b"}), "v").select("u", "v", "a", "b")
-    roots = components(sure.union(both.mapInArrow(compare, "u long, v long")))
+    needed = left.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    held = cut(texts.join(needed, "doc_id", "left_semi"))
+    # unsure pairs are compared in rounds: first each component's likeliest one, then of more and more shares of its
+    # partners, in the end all that are left; links found in one round spare the pairs they join
+    for shares in (1, 8, 512, None):
+        open_ = cut(apart(left))
+        if open_.isEmpty():
+            break
+        if shares is None:
+            asked = open_.select("u", "v")
+        else:
+            ends = F.array(F.struct(F.col("root_u").alias("root"), F.col("root_v").alias("other")), F.struct(F.col("root_v").alias("root"), F.col("root_u").alias("other")))
+            sided = open_.select("u", "v", "apart", F.inline(ends))
+            first = sided.groupBy("root", F.pmod(F.xxhash64("other"), F.lit(shares)).alias("share")).agg(F.min(F.struct("apart", "u", "v")).alias("x"))
+            asked = cut(first.select("x.u", "x.v").distinct())
+        both = asked.join(held.withColumnsRenamed({"doc_id": "u", "text": "a"}), "u").join(held.withColumnsRenamed({"doc_id": "v", "text": "b"}), "v").select("u", "v", "a", "b")
+        linked = both.mapInArrow(compare, "u long, v long")
+        found = cut(apart(linked).select(F.col("root_u").alias("u"), F.col("root_v").alias("v")).distinct())
+        left = open_.select("u", "v", "apart").join(asked, ["u", "v"], "left_anti")
+        moved = components(found)
+        new = moved.select(F.col("node").alias("root"), F.col("root").alias("new"))
+        roots = cut(roots.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root")).union(moved))
     classes = points.join(roots, points["rep"] == roots["node"], "left").select("sig", F.coalesce("root", "rep").alias("component_id"), "n_rows")
     return join_by_class(rows, classes, ["sig"], "n_rows").select("doc_id", "component_id")

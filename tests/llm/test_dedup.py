@@ -201,3 +201,29 @@ def test_links_among_borderline_texts(frame):
     for bucket_rows in (16_384, 60):
         got = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(frame(list(enumerate(texts))), bucket_rows=bucket_rows).collect()}
         assert [got[k] for k in range(len(texts))] == components_of(len(texts), edges)
+
+
+def test_recall_of_near_pairs(frame):
+    """Lone pairs and clusters of 31 whose variants are at a similarity of 0.80 to 0.85 from their centre."""
+    rng = random.Random(40)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, pairs = [], []
+    for size in [1] * 150 + [30] * 5:
+        centre = own(300)
+        texts.append(centre)
+        at = len(texts) - 1
+        for _ in range(size):
+            while True:
+                edited = list(centre)
+                for place in rng.sample(range(len(edited)), 6):
+                    edited[place] = f"z{rng.randrange(10**9)}"
+                a, b = grams(centre), grams(edited)
+                if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+                    break
+            pairs.append((at, len(texts), size))
+            texts.append(edited)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(frame([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    for size in (1, 30):
+        hits = [got[i] == got[j] for i, j, s in pairs if s == size]
+        assert sum(hits) >= 0.95 * len(hits), (size, sum(hits), len(hits))

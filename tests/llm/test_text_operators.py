@@ -266,13 +266,32 @@ def test_stages_decide_by_row(spark, frame):
     item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").filter("text is not null").first()["text"]
     long = [" ".join(f"{c}{i}" for i in range(100)) for c in "abcde"]
     docs = frame([(1, long[0]), (None, long[0]), (None, long[1]), (5, long[2]), (5, long[3]), (2, long[3]), (7, long[4]), (7, long[4])])
-    kept = sorted([(1, long[0]), (2, long[3]), (5, long[2]), (7, long[4])]) + [(None, long[1])]
+    kept = sorted([(1, long[0]), (5, long[2]), (5, long[3]), (7, long[4])]) + [(None, long[1])]
     for stage in (pipeline.exact, pipeline.near):
         assert sorted((tuple(r) for r in stage(spark, docs, "/root/testdata/sf0.001").collect()), key=lambda r: (r[0] is None, r)) == kept
     clean = pipeline.decontaminate(spark, frame([(None, item), (None, long[0]), (3, long[1])]), "/root/testdata/sf0.001").collect()
     assert {tuple(r) for r in clean} == {(None, long[0]), (3, long[1])}
 
 
+def test_stages_on_awkward_rows(spark, odd, empty):
+    import corpus_pipeline as pipeline
+
+    rows = [tuple(r) for r in odd.collect()]
+    expected = {pipeline.exact: [0, 2, 3, 5, 7], pipeline.near: [0, 3, 5, 7], pipeline.decontaminate: list(range(10))}
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    for stage, places in expected.items():
+        out = stage(spark, odd, "/root/testdata/sf0.001")
+        assert out.columns == odd.columns and sorted((tuple(r) for r in out.collect()), key=order) == sorted((rows[k] for k in places), key=order)
+        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+    assert pipeline.quality(spark, odd, "/root/testdata/sf0.001").columns == odd.columns and pipeline.quality(spark, empty, "/root/testdata/sf0.001").count() == 0
+    packed = pipeline.pack(spark, odd, "/root/testdata/sf0.001").collect()
+    whole = {}
+    for r in packed:
+        whole.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r["length"])
+    assert sorted(n for (i, n), _ in whole.items() if i in (1, 2, 3)) == [1, 1, 1] and sum(map(sum, whole.values())) == sum(n * (2 if (i, n) in {(4, k) for k in range(99)} else 1) for i, n in whole)
+    assert pipeline.pack(spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
 def leaks_plainly(docs, items, window=8, min_words=4):
     """find_leaks pair by pair, without hashes: {(doc, item): kind}."""
     import regex
