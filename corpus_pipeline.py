@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that the stage before kept, and returns those it keeps
 with the columns of documents; the last returns the packed pieces. Decisions are made row by row: within a stage each
 row has a key of its own, so that rows of a null or repeated doc_id stay or go by their own text.
+
+Null and empty texts are documents like any other: equal ones are copies of each other, they leak nothing, and one is
+packed as its end id. Rows that are equal in all columns are exact copies, of which one stays; an empty table gives an
+empty result. Further columns are handed on, whatever their names but `_row`.
 """
 
 from __future__ import annotations
@@ -20,10 +24,9 @@ from ledgerlens.llm.simhash import near_duplicate_groups
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _row, a number of each row in order of doc_id (nulls last) and text digest, also among equal rows;
-    written before it is used. Rows are sorted in ranges, equal ones spread by chance, so no task holds them all."""
-    keys = [F.col("doc_id").isNull(), F.col("doc_id"), F.sha2("text", 256)]
-    return cut(docs.repartitionByRange(*keys, F.rand(42)).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id()))
+    """docs with _row, a number of each row, also among equal ones. Stages read a table or a checkpoint, which has the same
+    partitions and rows whenever it is read, also again after a loss; so the number is the same each time."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -37,13 +40,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id."""
+    """Of equal texts, the row that stands first in the input."""
     docs = _keyed(docs)
     return _without(docs, exact_dedup(docs, id_col="_row").filter("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8 or more, and what these link), the row with the smallest doc_id."""
+    """Of near copies (five-word shingles, similarity 0.8 or more, and what these link), the row that stands first in the input."""
     docs = _keyed(docs)
     return _without(docs, near_duplicate_groups(docs, id_col="_row").filter("doc_id <> component_id"))
 
