@@ -1,12 +1,13 @@
 """Licence scan over a positional rare-token index, in DataFrame operations only.
 
-Templates are posted by word and position. Each file looks up its highest-IDF licence words of every template, the
-postings are intersected by relative position (word place less template place), and a place counts only if the
-template's mandatory key phrases stand there whole.
+Templates are posted by word and position. The documents' own counts tell which words of a template are rare; a file looks
+up only its highest-IDF licence words, the postings are intersected by relative position (word place less template
+place), and a place counts only if the template's mandatory key phrases stand there whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -20,53 +21,95 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: phrase and label: fixed values of the query's contract; every word is mandatory.
 BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: template, label, mandatory key phrase. Words too common to be looked up are left out of the postings.
+#: label, mandatory key phrases, text: the notices and texts of usual licences, as their owners publish them (fixed
+#: values). A phrase is looked for where it stands in the text.
 TEMPLATES = (
-    ("licensed under the apache license version 2 0", "apache-2.0", "apache license version 2 0"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3.0", "general public license version 3"),
-    ("licensed under cc by nc 4 0", "cc-by-nc-4.0", "cc by nc"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit-text", "permission hereby granted"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd-text", "redistribution source binary forms"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0", "mozilla public license"),
-)
-COMMON_WORDS = frozenset("a and any are copy form free in is of or the this to under use v with work 0 2 3 4".split())
-
-
-def _postings(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str, str]]) -> list[tuple]:
-    """(word, template, place, mandatory, label, base, words posted, words mandatory)"""
+    ("apache-2.0", ("apache license version 2 0",), """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
+express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("mit", ("permission is hereby granted free of charge", "the above copyright notice and this permission notice"), """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
+and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+or substantial portions of the Software."""),
+    ("isc", ("permission to use copy modify and or distribute this software",), """Permission to use, copy, modify, and/or distribute this software for any purpose with or
+without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("bsd-2-clause", ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce the above copyright notice"), """Redistribution and use in source and binary forms,
+with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the
+above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution."""),
+    ("bsd-3-clause", ("neither the name of the copyright holder nor the names of its contributors",), """Neither the name of the copyright holder nor the names of its contributors may be
+used to endorse or promote products derived from this software without specific prior written permission."""),
+    ("gpl-2.0-or-later", ("gnu general public license as published by the free software foundation either version 2",), """This program is free software; you can redistribute it and/or modify it under the terms
+of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later
+version."""),
+    ("gpl-3.0-or-later", ("gnu general public license as published by the free software foundation either version 3",), """This program is free software: you can redistribute it and/or modify it under the terms
+of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version."""),
+    ("lgpl-2.1-or-later", ("gnu lesser general public license",), """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("agpl-3.0-or-later", ("gnu affero general public license",), """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version."""),
+    ("mpl-2.0", ("mozilla public license v 2 0",), """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("unlicense", ("released into the public domain",), """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means."""),
+    ("zlib", ("this software is provided as is without any express or implied warranty",), """This software is provided 'as-is', without any express or implied warranty. In no event will the
+authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely."""),
+    ("bsl-1.0", ("boost software license version 1 0",), "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("cc-by-4.0", ("creative commons attribution 4 0 international license",), "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa-4.0", ("creative commons attribution sharealike 4 0 international license",), "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc-4.0", ("cc by nc 4 0",), "Licensed under CC BY-NC 4.0"),
+    ("apache-2.0", ("apache license version 2 0",), "Licensed under the Apache License, Version 2.0."),
+    ("gpl-3.0", ("gnu general public license version 3",), "This work is licensed under the GNU General Public License, version 3."),
+)
+
+
+def template_words(text: str) -> list[str]:
+    return re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def _postings(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, tuple[str, ...], str]]) -> list[tuple]:
+    """(word, template, place, mandatory, label, base, words mandatory) of every word of every template."""
     rows = []
     for k, (phrase, label) in enumerate(phrases):
         words = phrase.split()
-        rows += [(w, k, i, True, label, True, len(words), len(words)) for i, w in enumerate(words)]
-    for k, (text, label, key) in enumerate(templates, len(phrases)):
-        words = text.split()
-        required = set(key.split())
-        posted = [(w, i) for i, w in enumerate(words) if w not in COMMON_WORDS or w in required]
-        # a word that occurs twice is mandatory where the key phrase has it last
-        last = {w: i for w, i in posted if w in required}
-        rows += [(w, k, i, last.get(w) == i, label, False, len(posted), len(last)) for w, i in posted]
+        rows += [(w, k, i, True, label, True, len(words)) for i, w in enumerate(words)]
+    for k, (label, keys, text) in enumerate(templates, len(phrases)):
+        words, required = template_words(text), set()
+        for key in map(str.split, keys):
+            required |= next(set(range(i, i + len(key))) for i in range(len(words)) if words[i : i + len(key)] == key)
+        rows += [(w, k, i, i in required, label, False, len(required)) for i, w in enumerate(words)]
     return rows
 
 
-_POSTING = T.StructType([T.StructField("word", T.StringType()), T.StructField("template", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("mandatory", T.BooleanType()), T.StructField("label", T.StringType()), T.StructField("base", T.BooleanType()), T.StructField("n_posted", T.IntegerType()), T.StructField("n_mandatory", T.IntegerType())])
+_POSTING = T.StructType([T.StructField("word", T.StringType()), T.StructField("template", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("mandatory", T.BooleanType()), T.StructField("label", T.StringType()), T.StructField("base", T.BooleanType()), T.StructField("n_mandatory", T.IntegerType())])
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = BASE_PHRASES, templates: Sequence[tuple[str, str, str]] = TEMPLATES, rare_words: int = 3, min_share: float = 0.6) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = BASE_PHRASES, templates: Sequence[tuple[str, tuple[str, ...], str]] = TEMPLATES, rare_words: int = 4, min_share: float = 0.6) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts all places of the base phrases; first_word and last_word are their smallest and largest start (null
-    without any). A template's label is given where at least `min_share` of its IDF weight and all its mandatory words
-    stand at one relative position; score is the best such share of any template or phrase, verified or not.
+    without any). A template is looked up by its `rare_words` rarest words, by the document frequencies of this input; its label
+    is given where two of these (one of a template of one) stand at one relative position with all its mandatory words and at least
+    `min_share` of its IDF weight. score is the best such share of any template or phrase, verified or not.
     Null and empty texts have no words, empty labels and score 0. Rows are judged one by one, so ids may repeat or be
     null; an empty table gives an empty result; other columns of the input are ignored.
     """
     spark = docs.sparkSession
     posted = _postings(phrases, templates)
     vocabulary = sorted({row[0] for row in posted})
-    postings = spark.createDataFrame(posted, _POSTING)
+    postings = spark.createDataFrame(posted, _POSTING).withColumn("word", F.xxhash64("word"))
 
+    # a hit is the word's hash with its place in the low bits: words of the vocabulary, which has no two of one hash
     words = F.regexp_extract_all(text_or_empty(), F.lit(WORD), F.lit(0))
-    known = F.array(*[F.lit(w) for w in vocabulary])
+    low = lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w))
+    found = F.filter(F.transform("words", lambda w, i: F.struct(low(w).alias("word"), i.alias("at"))), lambda x: x["word"].isin(*vocabulary))
     rows = cut(
         pick(docs, doc_id=id_col, text=text_col)
         .select("doc_id", words.alias("words"))
@@ -74,31 +117,35 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
             F.size("words").cast("long").alias("n_words"),
-            F.filter(F.transform("words", lambda w, i: F.struct(F.when(F.octet_length(w) == F.length(w), F.lower(w)).alias("word"), i.alias("at"))), lambda x: F.array_contains(known, x["word"])).alias("hits"),
+            F.transform(found, lambda x: F.xxhash64(x["word"])).alias("held"),
+            F.transform(found, lambda x: x["at"]).alias("at"),
         )
     )
-    hits = rows.select("row", F.inline("hits"))
-
-    # document frequencies of the licence words over all rows; the vocabulary bounds these tables
     n_rows = rows.count()
-    frequency = hits.groupBy("word", "row").count().groupBy("word").agg(F.count("*").alias("df"))
+    frequency = rows.select(F.explode(F.array_distinct("held")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     weighted = postings.join(F.broadcast(frequency), "word", "left").withColumn("idf", F.log((F.lit(n_rows) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + F.lit(1e-6)).drop("df")
     whole = Window.partitionBy("template")
-    weighted = weighted.withColumn("weight", F.sum("idf").over(whole))
-
-    found = hits.join(F.broadcast(weighted), "word")
-    rank = Window.partitionBy("row", "template").orderBy(F.desc("idf"), "word")
+    rarest = F.dense_rank().over(Window.partitionBy("template").orderBy(F.desc("idf"), "word"))
+    weighted = cut(weighted.withColumns({"weight": F.sum("idf").over(whole), "rank": rarest}).withColumn("rare", F.col("base") | (F.col("rank") <= rare_words)).withColumn("n_rare", F.size(F.collect_set(F.when(F.col("rare"), F.col("word"))).over(whole))))
+
+    # rare words open places; only texts that have some are looked at word by word
+    rare = F.broadcast(weighted.filter("rare").select("word", "template", "place", "base", "n_rare"))
+    chosen = [r["word"] for r in weighted.filter("rare").select("word").distinct().collect()]  # of the fixed templates
+    hits = rows.select("row", F.inline(F.filter(F.arrays_zip(F.col("held").alias("word"), F.col("at").alias("at")), lambda x: x["word"].isin(*chosen))))
+    opened = cut(
+        hits.join(rare, "word")
+        .groupBy("row", "template", (F.col("at") - F.col("place")).alias("start"))
+        .agg(F.count_distinct("word").alias("n"), F.first("base").alias("base"), F.first("n_rare").alias("n_rare"))
+        .filter(F.col("n") >= F.when(F.col("base"), 1).otherwise(F.least(F.lit(2), "n_rare")))
+        .select("row", "template", "start")
+    )
+    near = rows.join(opened.select("row").distinct(), "row", "left_semi").select("row", F.inline(F.arrays_zip(F.col("held").alias("word"), F.col("at").alias("at"))))
     places = (
-        found.withColumn("rank", F.dense_rank().over(rank))
+        near.join(F.broadcast(weighted), "word")
         .withColumn("start", F.col("at") - F.col("place"))
+        .join(opened, ["row", "template", "start"], "left_semi")
         .groupBy("row", "template", "start")
-        .agg(
-            F.count_if(F.col("rank") <= rare_words).alias("rare"),
-            F.count_if("mandatory").alias("keys"),
-            F.sum("idf").alias("mass"),
-            *[F.first(c).alias(c) for c in ("label", "base", "n_mandatory", "weight")],
-        )
-        .filter("rare > 0")
+        .agg(F.count_if("mandatory").alias("keys"), F.sum("idf").alias("mass"), *[F.first(c).alias(c) for c in ("label", "base", "n_mandatory", "weight")])
         .withColumn("share", F.least(F.col("mass") / F.col("weight"), F.lit(1.0)))
         .withColumn("verified", (F.col("keys") == F.col("n_mandatory")) & (F.col("base") | (F.col("share") >= min_share)))
     )

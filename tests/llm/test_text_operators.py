@@ -79,7 +79,23 @@ def test_license_scan(frame, odd, empty):
         assert r["base_labels"] == ",".join(sorted({label for _, label in places})) and 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
         if r["doc_id"] == 400:
             assert r["labels"] == "apache,apache-2.0"
-    assert scan_licenses(odd).count() == 10 and scan_licenses(empty).count() == 0
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_base"], r["first_word"], r["labels"], r["score"]) for r in scan_licenses(odd).collect())
+    assert [g[:2] for g in got] == [(0, 0), (0, 4), (1, 0), (2, 0), (3, 0), (4, 3), (4, 3), (5, 3), (6, 90000), (7, 90000)] and {g[2:5] for g in got} == {(0, None, "")}
+    assert scan_licenses(empty).count() == 0
+
+
+def test_licenses_by_their_texts(frame):
+    from ledgerlens.llm.license_scan import TEMPLATES
+
+    rng = random.Random(3)
+    filler = lambda n: " ".join(rng.choice(["the", "of", "and", "software", "copy", "this", "license", "value", "x1"]) for _ in range(n))
+    texts = [f"{filler(rng.randint(0, 30))} {text.upper() if k % 2 else text}\n{filler(20)}" for k, (_, _, text) in enumerate(TEMPLATES)]
+    broken = [text.replace("License", "Licence").replace("license", "licence").replace("Permission", "Leave").replace("Redistribution", "Spread").replace("Neither", "Nor").replace("released", "put").replace("express", "fast").replace("NC", "ND") for _, _, text in TEMPLATES]
+    got = {r["doc_id"]: r for r in scan_licenses(frame(list(enumerate(texts + broken + [filler(300) for _ in range(60)])))).collect()}
+    for k, (label, _, _) in enumerate(TEMPLATES):
+        assert label in got[k]["labels"].split(",") and got[k]["score"] > 0.99, label
+        assert label not in got[len(texts) + k]["labels"].split(","), label
+    assert all(not got[i]["labels"] for i in range(2 * len(texts), 2 * len(texts) + 60))
 
 
 def test_secret_scan(frame, odd, empty):
