@@ -19,9 +19,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster names its shared folder in spark.checkpoint.dir; a folder of our own is set only where that is unset."""
-    context = spark.sparkContext
+    context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder for checkpoints")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

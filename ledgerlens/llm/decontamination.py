@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders; windows of template tokens are hash-joined between documents and
 benchmark items, and the slots behind the placeholders must map one to one, so a question with other names or numbers
-is caught and a chance likeness of two templates is not.
+is caught and a chance likeness of two templates is not. All texts are first looked through for windows of an item by
+hashes alone; only those that have some are read with their slots.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ _TOKEN = r"\p{L}[\p{L}\p{M}'’]*|\p{N}+(?:[.,]\p{N}+)*|[%€$£°]"
 _SLOTTED = ("\u0001n", "\u0001w", "\u0001u")
 _GAP = "\u0002"
 _CELLS = "array<struct<code:bigint,at:int,slots:string,exact:boolean>>"
-_BITS = 17  # of a word's hash that tell whether the benchmark may hold it
 
 
 def _raw(text: Column) -> Column:
@@ -44,27 +44,40 @@ def _tokens(text: Column) -> Column:
     return F.transform(F.array(_raw(text)), canonical)[0]
 
 
-def _bit(word: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(word), 64 - _BITS).cast("int")
+def _hashes(text: Column, words: bool) -> Column:
+    """Per token the hash of its template token, or of its word in lower case; the kinds of placeholders are numbers."""
 
+    def coded(array: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            low, first = F.lower(w), F.substring(w, 1, 1)
+            unit = low.isin(*UNITS, "%", "€", "$", "£", "°") & (i > 0) & F.substring(F.get(array, i - 1), 1, 1).between("0", "9")
+            kind = [F.lit(k).cast("long") for k in range(3)]
+            return F.xxhash64(low) if words else F.when(first.between("0", "9"), kind[0]).when(F.lower(first) != first, kind[1]).when(unit, kind[2]).otherwise(F.xxhash64(low))
+
+        return F.transform(array, one)
 
-def _flag(table: Column):
-    def of(w: Column) -> Column:
-        first = F.substring(w, 1, 1)
-        return F.when(F.get(table, _bit(F.lower(w))) == 1, "1").when(first.between("0", "9") | (F.lower(first) != first), "1").otherwise("0")
+    return F.transform(F.array(_raw(text)), coded)[0]
 
-    return of
 
+def _codes(hashes: Column, size: int) -> Column:
+    """Codes of the windows of a size."""
 
-def _may_hold(text: Column, known: dict[int, list[int]]) -> Column:
-    """Whether a text has, for some size, that many tokens in a row of which each is a number, a name or a word whose bit is
-    among the benchmark's: a necessary condition for a window of that size."""
-    out = F.lit(False)
-    for size, bits in known.items():
-        on = set(bits)
-        table = F.from_json(F.lit("[" + ",".join("1" if k in on else "0" for k in range(1 << _BITS)) + "]"), "array<tinyint>")
-        out = out | F.array_join(F.transform(_raw(text), _flag(table)), "").rlike(f"1{{{size}}}")
-    return out
+    def of(h: Column) -> Column:
+        at = F.when(F.size(h) >= size, F.sequence(F.lit(1), F.size(h) - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(F.slice(h, i, size)))
+
+    return F.transform(F.array(hashes), of)[0]
+
+
+def _suspects(texts: DataFrame, items: DataFrame, sizes: list[int], exact: list[int], broadcast_windows: int) -> DataFrame:
+    """doc_id of the texts that have some window of some item, by template or, for the sizes in `exact`, by words."""
+    found = None
+    for size, words in [(s, False) for s in sizes] + [(s, True) for s in exact]:
+        codes = items.filter(F.col("size") == size).select(F.explode(_codes(_hashes(F.col("text"), words), size)).alias("code")).distinct()
+        codes = F.broadcast(codes) if codes.count() <= broadcast_windows else codes
+        hits = texts.select("doc_id", F.explode(_codes(_hashes(F.col("text"), words), size)).alias("code")).join(codes, "code", "left_semi").select("doc_id")
+        found = hits if found is None else found.unionByName(hits)
+    return cut(found.distinct())
 
 
 def _windows(tokens: str, sizes: list[int], min_words: int, exact: list[int]) -> Column:
@@ -106,7 +119,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     null ids, match nothing. Rows that repeat an id are judged together. The benchmark is broadcast only while it has
     at most `broadcast_windows` windows. Other columns of either input are ignored.
     """
-    items = cut(pick(benchmark, item_id=item_col, text=item_text_col).filter("item_id is not null").select("item_id", _tokens(text_or_empty()).alias("tokens")).withColumn("size", F.least(F.size("tokens"), F.lit(window))).filter("size > 0"))
+    items = cut(pick(benchmark, item_id=item_col, text=item_text_col).filter("item_id is not null").select("item_id", text_or_empty().alias("text"), _tokens(text_or_empty()).alias("tokens")).withColumn("size", F.least(F.size("tokens"), F.lit(window))).filter("size > 0"))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [window]  # at most `window` values
     known = F.concat(*[F.when(F.col("size") == s, _windows("tokens", [s], min_words, [s])).otherwise(F.array().cast(_CELLS)) for s in sizes])
     # of an item's equal windows the first place stands for all
@@ -114,15 +127,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     exact = sorted(r["size"] for r in wanted.filter("exact").select("size").distinct().collect())
     totals = wanted.groupBy("item_id").agg(F.count_distinct("code").alias("n_windows"))
 
-    # at most 2**17 bits for each of at most `window` sizes, whatever the benchmark's size
-    held = items.select("size", F.explode("tokens").alias("x")).filter(F.col("x.t") != _SLOTTED[0]).select("size", _bit(F.when(F.col("x.s") != "", F.col("x.s")).otherwise(F.col("x.t"))).alias("bit"))
-    units = items.select("size").distinct().select("size", F.explode(F.array(*[_bit(F.lit(u)) for u in (*UNITS, "%", "€", "$", "£", "°")])).alias("bit"))
-    bits: dict[int, list[int]] = {}
-    for r in held.union(units).distinct().collect():
-        bits.setdefault(r["size"], []).append(r["bit"])
-    known_bits = {size: bits.get(size, []) for size in sizes}
-
-    texts = pick(docs, doc_id=id_col, text=text_col).filter("doc_id is not null and text is not null").filter(_may_hold(F.col("text"), known_bits))
+    texts = pick(docs, doc_id=id_col, text=text_col).filter("doc_id is not null and text is not null")
+    texts = texts.join(_suspects(texts, items, sizes, exact, broadcast_windows), "doc_id", "left_semi")
     side = wanted.drop("exact")
     side = F.broadcast(side) if wanted.count() <= broadcast_windows else side
     found = texts.select("doc_id", _tokens(F.col("text")).alias("tokens")).select("doc_id", F.inline(_windows("tokens", sizes, min_words, exact))).join(side, "code")
