@@ -94,5 +94,15 @@ def footer(audited: DataFrame) -> DataFrame:
 
 def samples(rows: DataFrame, group: str, order: str, limit: int) -> DataFrame:
     """The first row of each group, of the first `limit` groups."""
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter("n = 1").drop("n")
-    return first.orderBy(group).limit(limit)
+    first = rows.groupBy(F.col(group).alias("_group")).agg(F.min_by(F.struct(*rows.columns), order).alias("first"))
+    return first.orderBy("_group").limit(limit).select("first.*")
+
+
+def folios(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `folio`, from 1 on in the given order. Rows are sorted in ranges; each range starts after all before it."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("folio", F.col("_start") + within + 1).drop("_at", "_part", "_start")

@@ -57,6 +57,25 @@ def visual_lines(words: DataFrame, drift: float = LINE_DRIFT) -> DataFrame:
     return upright.drop("line").join(numbered, ["doc_id", "page", "ord"]).select(*[c for c in words.columns if c != "line"], "line").unionByName(turned.select(*[c for c in words.columns if c != "line"], "line"))
 
 
+def rotated_labels(glyphs: DataFrame, same: float = 1.0, apart: float = 12.0) -> DataFrame:
+    """Turned glyphs (doc_id, page, ord, text, x0, y0, x1, y1, upwards) to labels: doc_id, page, text, x0, y0, x1, y1.
+
+    Glyphs whose baselines (x0) differ by a point at most stand in one column, columns no more than 12 points from the
+    first of their label belong to it; each column is read upwards or downwards as its glyphs are turned."""
+
+    def runs(start: str, drift: float, *within: str) -> Column:
+        order = Window.partitionBy("doc_id", "page", "upwards", *within).orderBy("x0", "ord")
+        return F.sum(F.when(F.col("x0") - F.coalesce(F.lag("x0").over(order), F.lit(-1e9)) > drift, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(start)
+
+    columns = glyphs.select("*", runs("col", same)).withColumn("along", F.when(F.col("upwards"), -F.col("y1")).otherwise(F.col("y0")))
+    read = F.array_sort(F.collect_list(F.struct("along", "ord", "text")))
+    lines = columns.groupBy("doc_id", "page", "upwards", "col").agg(F.array_join(F.transform(read, lambda g: g["text"]), "").alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    labels = lines.withColumn("ord", F.col("col")).select("*", runs("label", apart))
+    side = F.when(F.col("upwards"), F.col("x0")).otherwise(-F.col("x0"))
+    joined = F.array_sort(F.collect_list(F.struct(side.alias("at"), F.col("text").alias("text"))))
+    return labels.groupBy("doc_id", "page", "upwards", "label").agg(F.array_join(F.transform(joined, lambda c: c["text"]), " ").alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).drop("upwards", "label")
+
+
 def ocr_lines(words: DataFrame, band: float = OCR_BAND) -> DataFrame:
     """Line numbers of scanned words: sorted by band of 8 points and x, a new line more than a band off the first word."""
     box = F.struct(F.rint(F.col("y0") / band).alias("band"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("ord").alias("ord"))

@@ -12,6 +12,15 @@ from ledgerlens.functions.text import compact
 BANK_TOLERANCE, OUTSIDE_TOLERANCE, SLOWER = 0.02, 0.01, 2.5
 
 
+STATUSES = ("ok", "aviso", "fallo")
+
+
+def worst_status(checks: DataFrame, status: str = "estado") -> DataFrame:
+    """One row: the worst status of all checks, by the order of STATUSES; an unknown one counts as the worst."""
+    rank = F.coalesce(*[F.when(F.col(status) == name, F.lit(k)) for k, name in enumerate(STATUSES)], F.lit(len(STATUSES) - 1))
+    return checks.agg(F.element_at(F.array(*[F.lit(s) for s in STATUSES]), F.coalesce(F.max(rank), F.lit(0)) + 1).alias(status))
+
+
 def fields_equal(field: Column, expected: Column, obtained: Column) -> Column:
     """Both as text: amounts within two cents, dates by ten characters, tax ids without dashes and blanks, other texts
     without case and repeated blanks; null equals null only."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,6 +232,19 @@ def strict_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(invoices(spark, sf_dir)).select(F.explode("violations").alias("violation")).groupBy("violation").agg(F.count("*").alias("n"))
 
 
+STRICT_SQL = f"""
+WITH {SQL_CTES}, l AS (
+  SELECT k, bool_and(coalesce(NOT rota AND cantidad > 0 AND precio > 0 AND importe > 0, FALSE)) AS line_values, bool_and(coalesce(NOT rota AND abs(importe - cantidad * precio) <= 2, FALSE)) AS line_amount FROM lin GROUP BY k
+), c AS (
+  SELECT inv.k, coalesce(line_values, FALSE) AS line_values, coalesce(line_amount, FALSE) AS line_amount, n_lineas > 0 AS has_lines, n_tramos > 0 AS has_tranches, n_tramos > 0 AS percent_range,
+    coalesce(n_lineas > 0 AND abs(base - suma) <= 2, FALSE) AS base_sum, coalesce(n_tramos > 0 AND abs(tot - (base + cuotas - coalesce(ret, 0))) <= 2, FALSE) AS total_sum,
+    pais <> 'FR' AS country, coalesce(base >= 0 AND tot >= 0, FALSE) AS sign
+  FROM inv LEFT JOIN l ON l.k = inv.k
+), u AS (UNPIVOT c ON line_values, line_amount, has_lines, has_tranches, percent_range, base_sum, total_sum, country, sign INTO NAME violation VALUE held)
+SELECT violation, count(*) AS n FROM u WHERE NOT held GROUP BY violation
+"""
+
+
 def _event_invoices(events: DataFrame) -> DataFrame:
     return conform(
         events.select(
@@ -249,8 +263,12 @@ def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     source = table(spark, sf_dir, "events")
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")).rstrip("/")
-    folder = f"{base}/stream-audit-{abs(hash((sf_dir, id(source))))}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder for the stream's state")
+        base = tempfile.mkdtemp(prefix="stream-")
+    folder = f"{base.rstrip('/')}/stream-audit-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     audited = audit_stream.audited(_event_invoices(stream), "2000-01-01").select("doc_id", "estado", F.transform("findings", lambda f: f["code"]).alias("codes"))
 
@@ -276,5 +294,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "verdicts": VERDICTS_SQL, "batch_summary": SUMMARY_SQL, "top_findings": TOP_SQL, "field_scores": FIELD_SCORES_SQL, "field_failures": FAILURES_SQL, "doc_confidence": CONFIDENCE_SQL,
         "external_cases": EXTERNAL_SQL, "bench_metrics": BENCH_SQL, "regression_diff": REGRESSION_SQL, "case_union": CASE_SQL, "missing_files": MISSING_SQL, "history_listing": HISTORY_SQL,
-        "history_retention": RETENTION_SQL, "csv_flat": CSV_SQL, "footer_totals": FOOTER_SQL, "sample_picker": SAMPLE_SQL,
+        "history_retention": RETENTION_SQL, "csv_flat": CSV_SQL, "footer_totals": FOOTER_SQL, "sample_picker": SAMPLE_SQL, "strict_schema": STRICT_SQL,
     }

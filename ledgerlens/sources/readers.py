@@ -24,6 +24,20 @@ def route_files(files: DataFrame) -> DataFrame:
     return files.withColumn("suffix", suffix).withColumn("reader", reader).withColumn("error", error)
 
 
+def reject_surplus(files: DataFrame, most: int = MAX_FILES) -> DataFrame:
+    """Routed files; of those that can be read, all beyond the first `most` by path get an error. The limit is the feature: a
+    batch takes so many files. Its edge is a top-k of one row."""
+    taken = files.filter("error is null").select("path").orderBy("path").limit(most)
+    edge = taken.agg(F.max("path").alias("last"), F.count("*").alias("n"))
+    late = (F.col("n") >= most) & F.col("error").isNull() & (F.col("path") > F.col("last"))
+    return files.withColumn("one", F.lit(1)).join(F.broadcast(edge.withColumn("one", F.lit(1))), "one").withColumn("error", F.when(late, "too many files").otherwise(F.col("error"))).drop("one", "last", "n")
+
+
+def first_pages(words: DataFrame, most: int = MAX_PAGES) -> DataFrame:
+    """Words of the pages that are read; a document's further pages are left out."""
+    return words.filter(F.col("page") <= most)
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """All files below a path with their route. Spark's scan skips files without bytes, so those that only its listing has
     are added as rows of length 0."""

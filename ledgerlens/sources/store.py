@@ -54,6 +54,26 @@ def prune(spark: SparkSession, folder: str, keep: int = 100) -> list[str]:
     return old
 
 
+def to_json(results: DataFrame, path: str) -> None:
+    """The whole batch as JSON, one document a line, fields without a value left in."""
+    results.select(F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def save_baseline(metrics: DataFrame, path: str, when: str) -> None:
+    """Benchmark metrics as the line that later runs are held against; a table of one row."""
+    metrics.withColumn("fecha", F.lit(when)).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame | None:
+    """The baseline, or nothing where none was written."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.json(path)
+    except AnalysisException:
+        return None
+
+
 def to_csv(audited: DataFrame, path: str, guard: bool = True) -> None:
     """The flat export as CSV. With `guard`, a text that a spreadsheet would take for a formula gets an apostrophe."""
     out = flat(audited)

@@ -176,3 +176,24 @@ def test_field_equality(spark):
     frame = spark.createDataFrame(cases, "f string, e string, o string, expected boolean")
     rows = frame.withColumn("got", score.fields_equal(F.col("f"), F.col("e"), F.col("o"))).collect()
     assert [r["got"] for r in rows] == [r["expected"] for r in rows]
+
+
+def test_rotated_labels(spark):
+    up = [(1, 1, k, c, 10.0 + 0.2 * k, 100.0 - 8 * k, 18.0, 106.0 - 8 * k, True) for k, c in enumerate("AB")]
+    more = [(1, 1, 5, "C", 20.0, 100.0, 28.0, 106.0, True), (1, 1, 6, "x", 60.0, 10.0, 68.0, 16.0, False), (1, 1, 7, "y", 60.0, 18.0, 68.0, 24.0, False)]
+    rows = layout.rotated_labels(spark.createDataFrame(up + more, "doc_id int, page int, ord int, text string, x0 double, y0 double, x1 double, y1 double, upwards boolean")).collect()
+    assert sorted(r["text"] for r in rows) == ["AB C", "xy"]
+
+
+def test_worst_status_and_folios(spark):
+    from ledgerlens.operators.batch import folios
+
+    frame = spark.createDataFrame([("ok",), ("fallo",), ("aviso",)], "estado string")
+    assert score.worst_status(frame).first()[0] == "fallo" and score.worst_status(frame.filter("estado <> 'fallo'")).first()[0] == "aviso" and score.worst_status(frame.limit(0)).first()[0] == "ok"
+    rows = folios(spark.range(0, 500, 1, 7).select((F.col("id") * 37 % 500).alias("k")), "k").collect()
+    assert sorted((r["k"], r["folio"]) for r in rows) == [(k, k + 1) for k in range(500)]
+
+
+def test_ocr_lines_and_stream_helpers(spark):
+    frame = spark.createDataFrame([word(0, "a", 0, 0), word(1, "b", 30, 7), word(2, "c", 0, 17)], WORDS)
+    assert {r["ord"]: r["line"] for r in layout.ocr_lines(frame).collect()} == {0: 0, 1: 0, 2: 1}

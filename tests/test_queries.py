@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerlens.plans import batch_queries, catalog, rule_queries, text_queries
+from ledgerlens.plans import batch_queries, catalog, extract_queries, rule_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -45,7 +45,7 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_catalog_is_whole():
-    assert set(SQL) <= set(QUERIES) and len(QUERIES) == sum(len(m.queries()) for m in (rule_queries, text_queries, batch_queries))
+    assert set(SQL) <= set(QUERIES) and len(QUERIES) == sum(len(m.queries()) for m in (rule_queries, text_queries, extract_queries, batch_queries))
 
 
 def test_rules_cover_every_code():
@@ -65,6 +65,17 @@ def test_scan_reads_two_columns(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double>" in plan
 
 
+def test_stream_gives_the_same_findings_as_the_table(spark):
+    from ledgerlens.operators.classify import verdict
+    from ledgerlens.operators.rules import audit
+    from ledgerlens.plans.views import table
+
+    judged = audit(batch_queries._event_invoices(table(spark, SF, "events")), "2000-01-01").withColumn("estado", verdict())
+    expected = collections.Counter((r["estado"], f["code"]) for r in judged.select("estado", "findings").collect() for f in r["findings"])
+    for _ in range(2):  # a second run has state of its own
+        assert {(r["estado"], r["code"]): r["n"] for r in QUERIES["stream_audit"](spark, SF).collect()} == expected
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -52,6 +52,21 @@ def test_store(spark, folder):
         store.clean_batch_id("../..")
 
 
+def test_surplus_files_and_pages(spark):
+    files = readers.route_files(spark.createDataFrame([(f"/x/{n}.json", 5) for n in "dbca"] + [("/x/a.txt", 5)], "path string, length long"))
+    rows = {r["path"]: r["error"] for r in readers.reject_surplus(files, 3).collect()}
+    assert rows == {"/x/a.json": None, "/x/b.json": None, "/x/c.json": None, "/x/d.json": "too many files", "/x/a.txt": "unsupported suffix: txt"}
+    assert readers.first_pages(spark.range(28, 33).select(F.col("id").alias("page"))).count() == 3
+
+
+def test_json_dump_and_baseline(spark, folder):
+    store.to_json(spark.createDataFrame([(1, None), (2, "x")], "a int, b string"), str(folder / "dump"))
+    assert sorted(r["value"] for r in spark.read.text(str(folder / "dump")).collect()) == ['{"a":1,"b":null}', '{"a":2,"b":"x"}']
+    assert store.read_baseline(spark, str(folder / "none")) is None
+    store.save_baseline(spark.createDataFrame([(0.9, 3)], "precision double, traps long"), str(folder / "line"), "2025-01-01")
+    assert store.read_baseline(spark, str(folder / "line")).first().asDict() == {"precision": 0.9, "traps": 3, "fecha": "2025-01-01"}
+
+
 def test_csv(spark, folder):
     audited = audit(readers.read_documents(spark, str(folder / "docs" / "*.json")), "2025-06-01")
     store.to_csv(audited.withColumn("numero", F.concat("numero", F.lit(',"x"'))), str(folder / "csv"))
