@@ -48,11 +48,15 @@ def _hashes(text: Column, words: bool) -> Column:
     """Per token the hash of its template token, or of its word in lower case; the kinds of placeholders are numbers."""
 
     def coded(array: Column) -> Column:
+        if words:
+            return F.transform(array, lambda w: F.xxhash64(F.lower(w)))
+
         def one(w: Column, i: Column) -> Column:
-            low, first = F.lower(w), F.substring(w, 1, 1)
-            unit = low.isin(*UNITS, "%", "€", "$", "£", "°") & (i > 0) & F.substring(F.get(array, i - 1), 1, 1).between("0", "9")
-            kind = [F.lit(k).cast("long") for k in range(3)]
-            return F.xxhash64(low) if words else F.when(first.between("0", "9"), kind[0]).when(F.lower(first) != first, kind[1]).when(unit, kind[2]).otherwise(F.xxhash64(low))
+            # most tokens are lower case, and what is asked of them is kept short
+            first, kind = F.substring(w, 1, 1), [F.lit(k).cast("long") for k in range(3)]
+            unit = w.isin(*UNITS, "%", "€", "$", "£", "°") & (i > 0) & F.substring(F.get(array, i - 1), 1, 1).between("0", "9")
+            plain = F.when((w < ":") & (w >= "0"), kind[0]).when(unit, kind[2]).otherwise(F.xxhash64(w))
+            return F.when(F.lower(w) == w, plain).otherwise(F.when(F.lower(first) != first, kind[1]).otherwise(F.xxhash64(F.lower(w))))
 
         return F.transform(array, one)
 
