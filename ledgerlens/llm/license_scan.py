@@ -70,12 +70,20 @@ purpose, including commercial applications, and to alter it and redistribute it
 )
 
 
+#: Function words, of which any English text is full: templates are compared without them, so that what is kept of a text
+#: stays small. Which of the other words are rare the documents' own counts tell.
+FUNCTION_WORDS = frozenset((
+    "a", "all", "an", "and", "any", "are", "as", "at", "be", "can", "for", "from", "if", "in", "is", "it", "may", "no", "nor", "not",
+    "of", "on", "one", "or", "other", "see", "so", "such", "that", "the", "their", "they", "this", "to", "under", "was", "were", "will", "with", "without", "you", "your",
+))
+
+
 def template_words(text: str) -> list[str]:
     return re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
 def _postings(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, tuple[str, ...], str]]) -> list[tuple]:
-    """(word, template, place, mandatory, label, base, words mandatory) of every word of every template."""
+    """(word, template, place, mandatory, label, base, words mandatory) of every word of every template but function words."""
     rows = []
     for k, (phrase, label) in enumerate(phrases):
         words = phrase.split()
@@ -84,7 +92,8 @@ def _postings(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str,
         words, required = template_words(text), set()
         for key in map(str.split, keys):
             required |= next(set(range(i, i + len(key))) for i in range(len(words)) if words[i : i + len(key)] == key)
-        rows += [(w, k, i, i in required, label, False, len(required)) for i, w in enumerate(words)]
+        required = {i for i in required if words[i] not in FUNCTION_WORDS}
+        rows += [(w, k, i, i in required, label, False, len(required)) for i, w in enumerate(words) if w not in FUNCTION_WORDS]
     return rows
 
 
