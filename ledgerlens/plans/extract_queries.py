@@ -69,16 +69,18 @@ def _names(names: tuple[str, ...]) -> str:
     return f"list_extract({list(names)}, CAST(k % {len(names)} AS INT) + 1)"
 
 
+#: An unwritten base is deduced from the total and its one rate; only where the total is missing too is it the sum of lines.
 EXTRACT_SQL = f"""
 WITH o AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS p, o_orderkey % 9 + 1 AS q, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS dia FROM orders),
-b AS (SELECT *, q * p AS a, q * p + 2500 AS base FROM o), v AS (SELECT *, (base * 21 + 50) // 100 AS vat FROM b)
+b AS (SELECT *, q * p AS a, q * p + 2500 AS sum_lines, k % 5 <> 0 AS has_base, k % 11 <> 0 AS has_total FROM o), v AS (SELECT *, (sum_lines * 21 + 50) // 100 AS vat FROM b),
+t AS (SELECT *, sum_lines + vat + CASE WHEN k % 7 = 0 AND has_total THEN 30 ELSE 0 END AS total FROM v)
 SELECT k AS doc_id, 'ES' AS pais, 'factura' AS tipo_documento, 'F-' || k AS numero, dia AS fecha_emision, {_names(ISSUERS)} AS emisor, {sql_tax_id("(k * 7)", "'ES'")} AS emisor_nif,
   {_names(RECIPIENTS)} AS receptor, {sql_tax_id("(k * 11 + 5)", "'ES'")} AS receptor_nif,
   'Servicio de montaje|' || q || '|' || p || '|' || a || ';Tornillos (10x2,50€|10|250|2500' AS lineas,
-  base, 21.0::DOUBLE AS pct, vat AS cuota, base + vat + CASE WHEN k % 7 = 0 AND k % 11 <> 0 THEN 30 ELSE 0 END AS total,
-  CAST(round((2 * CASE WHEN k % 4 = 0 THEN 0.75 ELSE 0.95 END + 2 * 0.95 + 3 * CASE WHEN k % 11 = 0 THEN 0.5 ELSE 0.95 END + 2 * CASE WHEN k % 5 = 0 THEN 0.6 ELSE 0.95 END + 4) / 13.5, 3) AS DOUBLE) AS confianza,
-  CASE WHEN k % 7 = 0 AND k % 11 <> 0 THEN 'TOTAL_NO_CUADRA' ELSE '' END AS findings
-FROM v
+  CASE WHEN has_base OR NOT has_total THEN sum_lines ELSE (total * 200 + 121) // 242 END AS base, 21.0::DOUBLE AS pct, vat AS cuota, total,
+  CAST(round((2 * CASE WHEN k % 4 = 0 THEN 0.75 ELSE 0.95 END + 2 * 0.95 + 3 * CASE WHEN has_total THEN 0.95 ELSE 0.5 END + 2 * CASE WHEN has_base OR has_total THEN 0.95 ELSE 0.6 END + 4) / 13.5, 3) AS DOUBLE) AS confianza,
+  CASE WHEN k % 7 <> 0 OR NOT has_total THEN '' WHEN has_base THEN 'TOTAL_NO_CUADRA' ELSE 'BASE_NO_CUADRA,CUOTA_NO_CUADRA,TOTAL_NO_CUADRA' END AS findings
+FROM t
 """
 
 
