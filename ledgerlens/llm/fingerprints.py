@@ -17,7 +17,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,11 +105,16 @@ def parse(fingerprint: str) -> Node:
 
 def differing(mine: Node, other: Node) -> list[tuple[int, int]]:
     """Spans [start, stop) of the first text, in characters, whose branches the second one has not. Equal roots have none;
-    else branches are matched by hash, each at most once, and only those left over are followed down."""
+    else branches are matched by hash, each at most once, those that both texts begin or end with first, and only those
+    left over are followed down."""
     if mine[0] == other[0]:
         return []
     left, right, spans = list(_below([(0, mine)])), list(other[2]), []
     while left:
+        lead = _alike((node for _, node in left), right)
+        left, right = left[lead:], right[lead:]
+        tail = _alike((node for _, node in reversed(left)), reversed(right))
+        left, right = left[: len(left) - tail], right[: len(right) - tail]
         have = Counter(node[:2] for node in right)
         gone, kept = Counter(), []
         for start, node in left:
@@ -135,6 +140,16 @@ def differing(mine: Node, other: Node) -> list[tuple[int, int]]:
     return merged
 
 
+def _alike(mine: Iterable[Node], other: Iterable[Node]) -> int:
+    """How many nodes both begin with."""
+    n = 0
+    for a, b in zip(mine, other, strict=False):
+        if a[:2] != b[:2]:
+            break
+        n += 1
+    return n
+
+
 def _below(nodes: list[tuple[int, Node]]) -> Iterator[tuple[int, Node]]:
     for start, node in nodes:
         for child in node[2]:
