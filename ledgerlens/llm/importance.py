@@ -97,8 +97,8 @@ def bucket_gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -
     bucket is in the target, each bucket counted once more than it was seen, rounded down."""
     both = corpus.select("bucket", F.col("times").alias("s"), F.lit(0).cast("long").alias("t")).unionByName(target.select("bucket", F.lit(0).cast("long").alias("s"), F.col("times").alias("t")))
     every = corpus.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("t"))
-    totals = both.unionByName(every).groupBy("bucket").agg(F.sum("s").cast("double").alias("s"), F.sum("t").cast("double").alias("t"))
-    sums = cut(totals).agg(F.sum("s").alias("s"), F.sum("t").alias("t")).first()
+    totals = cut(both.unionByName(every).groupBy("bucket").agg(F.sum("s").cast("double").alias("s"), F.sum("t").cast("double").alias("t")))
+    sums = totals.agg(F.sum("s").alias("s"), F.sum("t").alias("t")).first()
     whole = F.lit(float(buckets))
     ratio = (F.col("t") + 1) * (F.lit(sums["s"]) + whole) / ((F.col("s") + 1) * (F.lit(sums["t"]) + whole))
     return totals.select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
