@@ -1,21 +1,22 @@
 """Licence scan over a positional rare-token index, in DataFrame operations only.
 
-Templates are posted by word and position. The documents' own counts tell which words of a template are rare; a file looks
-up only its highest-IDF licence words, the postings are intersected by relative position (word place less template
-place), and a place counts only if the template's mandatory key phrases stand there whole.
+Templates (notices and texts of licences) are posted by word and position. The documents' own counts tell which words of a
+template are rare; a file looks up only its highest-IDF licence words, the postings are intersected by relative position
+(word place less template place), and a place counts only if the template's mandatory key phrases stand there whole,
+compared word by word with the text itself.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from ledgerlens.llm.common import cut, pick, text_or_empty
+from ledgerlens.llm.common import pick, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -70,34 +71,42 @@ purpose, including commercial applications, and to alter it and redistribute it
 )
 
 
-#: Function words, of which any English text is full: templates are compared without them, so that what is kept of a text
-#: stays small. Which of the other words are rare the documents' own counts tell.
-FUNCTION_WORDS = frozenset((
-    "a", "all", "an", "and", "any", "are", "as", "at", "be", "can", "for", "from", "if", "in", "is", "it", "may", "no", "nor", "not",
-    "of", "on", "one", "or", "other", "see", "so", "such", "that", "the", "their", "they", "this", "to", "under", "was", "were", "will", "with", "without", "you", "your",
-))
-
-
 def template_words(text: str) -> list[str]:
     return re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
-def _postings(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, tuple[str, ...], str]]) -> list[tuple]:
-    """(word, template, place, mandatory, label, base, words mandatory) of every word of every template but function words."""
-    rows = []
-    for k, (phrase, label) in enumerate(phrases):
-        words = phrase.split()
-        rows += [(w, k, i, True, label, True, len(words)) for i, w in enumerate(words)]
-    for k, (label, keys, text) in enumerate(templates, len(phrases)):
+class Template(NamedTuple):
+    """words: of the whole text. required: places of the mandatory phrases' words, each one of them. base: a base phrase."""
+
+    label: str
+    base: bool
+    words: list[str]
+    required: list[int]
+
+
+def read_templates(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, tuple[str, ...], str]]) -> list[Template]:
+    out = [Template(label, True, words, list(range(len(words)))) for phrase, label in phrases for words in [phrase.split()]]
+    for label, keys, text in templates:
         words, required = template_words(text), set()
         for key in map(str.split, keys):
-            required |= next(set(range(i, i + len(key))) for i in range(len(words)) if words[i : i + len(key)] == key)
-        required = {i for i in required if words[i] not in FUNCTION_WORDS}
-        rows += [(w, k, i, i in required, label, False, len(required)) for i, w in enumerate(words) if w not in FUNCTION_WORDS]
-    return rows
+            at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+            required |= set(range(at, at + len(key)))
+        out.append(Template(label, False, words, sorted(required)))
+    return out
+
 
+def rarest_words(template: Template, idf: dict[str, float], most: int) -> list[str]:
+    """The words by which a template is looked up; one is enough for a base phrase, which is compared whole at each."""
+    return sorted(set(template.words), key=lambda w: (-idf[w], w))[: 1 if template.base else most]
 
-_POSTING = T.StructType([T.StructField("word", T.StringType()), T.StructField("template", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("mandatory", T.BooleanType()), T.StructField("label", T.StringType()), T.StructField("base", T.BooleanType()), T.StructField("n_mandatory", T.IntegerType())])
+
+def _low(word: Column) -> Column:
+    """A-Z lower-cased in words of ASCII; others are in no template."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word))
+
+
+def _texts(items: Sequence[str]) -> Column:
+    return F.array(*[F.lit(x) for x in items])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = BASE_PHRASES, templates: Sequence[tuple[str, tuple[str, ...], str]] = TEMPLATES, rare_words: int = 4, min_share: float = 0.6) -> DataFrame:
@@ -105,75 +114,63 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     n_base counts all places of the base phrases; first_word and last_word are their smallest and largest start (null
     without any). A template is looked up by its `rare_words` rarest words, by the document frequencies of this input; its label
-    is given where two of these (one of a template of one) stand at one relative position with all its mandatory words and at least
-    `min_share` of its IDF weight. score is the best such share of any template or phrase, verified or not.
+    is given where two of these (one of a template of one) stand at one relative position, every word of its mandatory phrases
+    stands at its place, and what else agrees there makes up at least `min_share` of the template's IDF weight. score is
+    the best such share of any place that was looked at, verified or not.
     Null and empty texts have no words, empty labels and score 0. Rows are judged one by one, so ids may repeat or be
     null; an empty table gives an empty result; other columns of the input are ignored.
-    """
-    spark = docs.sparkSession
-    posted = _postings(phrases, templates)
-    vocabulary = sorted({row[0] for row in posted})
-    postings = spark.createDataFrame(posted, _POSTING).withColumn("word", F.xxhash64("word"))
 
-    # a hit is the word's hash with its place in the low bits: words of the vocabulary, which has no two of one hash
+    Document frequencies are counted for the templates' words alone, so they are few whatever the input. All else is done
+    inside each row: texts are read twice and nothing of them is shuffled or written.
+    """
+    known = read_templates(phrases, templates)
+    vocabulary = sorted({w for t in known for w in t.words})
     words = F.regexp_extract_all(text_or_empty(), F.lit(WORD), F.lit(0))
-    low = lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w))
-    found = F.filter(F.transform("words", lambda w, i: F.struct(low(w).alias("word"), i.alias("at"))), lambda x: x["word"].isin(*vocabulary))
-    rows = cut(
-        pick(docs, doc_id=id_col, text=text_col)
-        .select("doc_id", words.alias("words"))
-        .select(
-            F.monotonically_increasing_id().alias("row"),
-            "doc_id",
-            F.size("words").cast("long").alias("n_words"),
-            F.transform(found, lambda x: F.xxhash64(x["word"])).alias("held"),
-            F.transform(found, lambda x: x["at"]).alias("at"),
-        )
-    )
-    n_rows = rows.count()
-    frequency = rows.select(F.explode(F.array_distinct("held")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    weighted = postings.join(F.broadcast(frequency), "word", "left").withColumn("idf", F.log((F.lit(n_rows) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + F.lit(1e-6)).drop("df")
-    whole = Window.partitionBy("template")
-    rarest = F.dense_rank().over(Window.partitionBy("template").orderBy(F.desc("idf"), "word"))
-    weighted = cut(weighted.withColumns({"weight": F.sum("idf").over(whole), "rank": rarest}).withColumn("rare", F.col("base") | (F.col("rank") <= rare_words)).withColumn("n_rare", F.size(F.collect_set(F.when(F.col("rare"), F.col("word"))).over(whole))))
-
-    # rare words open places; only texts that have some are looked at word by word
-    rare = F.broadcast(weighted.filter("rare").select("word", "template", "place", "base", "n_rare"))
-    chosen = [r["word"] for r in weighted.filter("rare").select("word").distinct().collect()]  # of the fixed templates
-    hits = rows.select("row", F.inline(F.filter(F.arrays_zip(F.col("held").alias("word"), F.col("at").alias("at")), lambda x: x["word"].isin(*chosen))))
-    opened = cut(
-        hits.join(rare, "word")
-        .groupBy("row", "template", (F.col("at") - F.col("place")).alias("start"))
-        .agg(F.count_distinct("word").alias("n"), F.first("base").alias("base"), F.first("n_rare").alias("n_rare"))
-        .filter(F.col("n") >= F.when(F.col("base"), 1).otherwise(F.least(F.lit(2), "n_rare")))
-        .select("row", "template", "start")
-    )
-    near = rows.join(opened.select("row").distinct(), "row", "left_semi").select("row", F.inline(F.arrays_zip(F.col("held").alias("word"), F.col("at").alias("at"))))
-    places = (
-        near.join(F.broadcast(weighted), "word")
-        .withColumn("start", F.col("at") - F.col("place"))
-        .join(opened, ["row", "template", "start"], "left_semi")
-        .groupBy("row", "template", "start")
-        .agg(F.count_if("mandatory").alias("keys"), F.sum("idf").alias("mass"), *[F.first(c).alias(c) for c in ("label", "base", "n_mandatory", "weight")])
-        .withColumn("share", F.least(F.col("mass") / F.col("weight"), F.lit(1.0)))
-        .withColumn("verified", (F.col("keys") == F.col("n_mandatory")) & (F.col("base") | (F.col("share") >= min_share)))
-    )
-    per_row = places.groupBy("row").agg(
-        F.count_if(F.col("base") & F.col("verified")).alias("n_base"),
-        F.min(F.when(F.col("base") & F.col("verified"), F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(F.col("base") & F.col("verified"), F.col("start"))).cast("long").alias("last_word"),
-        F.collect_set(F.when(F.col("base") & F.col("verified"), F.col("label"))).alias("base_set"),
-        F.collect_set(F.when(F.col("verified"), F.col("label"))).alias("label_set"),
-        F.max("share").alias("score"),
-    )
-    joined = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
-    return rows.select("row", "doc_id", "n_words").join(per_row, "row", "left").select(
-        "doc_id",
-        "n_words",
-        F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
-        "first_word",
-        "last_word",
-        joined("base_set").alias("base_labels"),
-        joined("label_set").alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
-    )
+    rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", words.alias("words"))
+
+    in_template = F.array_distinct(F.filter(F.transform("words", _low), lambda w: w.isin(*vocabulary)))
+    held = rows.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), in_template)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    frequency = {r["word"]: r["df"] for r in held.collect()}  # of the templates' words; the null stands once in every row
+    n_rows = frequency.get(None, 0)
+    idf = {w: math.log((n_rows + 1.0) / (frequency.get(w, 0) + 1.0)) + 1e-6 for w in vocabulary}
+
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for k, template in enumerate(known):
+        rare = set(rarest_words(template, idf, rare_words))
+        for place, word in enumerate(template.words):
+            if word in rare:
+                postings.setdefault(word, []).append((k, place))
+    rare_of = [len(rarest_words(t, idf, rare_words)) for t in known]
+    index = F.create_map(*[x for word, places in postings.items() for x in (F.lit(word), F.array(*[F.struct(F.lit(k).alias("template"), F.lit(place).alias("place")) for k, place in places]))])
+    whole = F.array(
+        *[
+            F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), _texts(t.words).alias("words"), F.array(*[F.lit(idf[w]) for w in t.words]).alias("idf"), F.array(*[F.lit(i) for i in t.required]).alias("required"), F.lit(sum(idf[w] for w in t.words)).alias("weight"), F.lit(t.base or n < 2).alias("alone"))
+            for t, n in zip(known, rare_of, strict=True)
+        ]
+    )
+
+    # each rare word at its place opens a place of each template that has it
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(_low(w).alias("word"), i.alias("at"))), lambda x: x["word"].isin(*postings))
+    start = lambda hit: F.transform(F.element_at(index, hit["word"]), lambda p: F.struct(p["template"].alias("template"), (hit["at"] - p["place"]).alias("start"), hit["word"].alias("word")))
+    pairs = F.array_sort(F.array_distinct(F.flatten(F.transform(placed, start))))
+    rows = rows.select("doc_id", "words", pairs.alias("pairs"))
+    # sorted, two words that open one place are neighbours
+    same = lambda i: F.coalesce((F.get("pairs", i)["template"] == F.get("pairs", i + 1)["template"]) & (F.get("pairs", i)["start"] == F.get("pairs", i + 1)["start"]), F.lit(False))
+    agreed = F.filter("pairs", lambda x, i: F.get(whole, x["template"])["alone"] | same(i))
+    opened = F.array_distinct(F.transform(agreed, lambda x: F.struct(x["template"].alias("template"), x["start"].alias("start"))))
+    rows = rows.select("doc_id", "words", opened.alias("opened"))
+
+    def judged(place: Column) -> Column:
+        template = F.get(whole, place["template"])
+        equal = lambda i: F.coalesce(_low(F.get("words", place["start"] + i)) == F.get(template["words"], i), F.lit(False))
+        mass = F.aggregate(F.sequence(F.lit(0), F.size(template["words"]) - 1), F.lit(0.0), lambda acc, i: acc + F.when(equal(i), F.get(template["idf"], i)).otherwise(0.0))
+        share = F.least(mass / template["weight"], F.lit(1.0))
+        return F.struct(place["start"].alias("start"), template["label"].alias("label"), template["base"].alias("base"), share.alias("share"), F.forall(template["required"], equal).alias("phrases"))
+
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.transform("opened", judged).alias("places"))
+    found = F.filter("places", lambda x: x["phrases"] & (x["base"] | (x["share"] >= min_share)))
+    rows = rows.select("doc_id", "n_words", found.alias("found"), F.array_max(F.transform("places", lambda x: x["share"])).alias("best"))
+    base = F.filter("found", lambda x: x["base"])
+    starts = F.transform(base, lambda x: x["start"].cast("long"))
+    joined = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda x: x["label"]))), ",")
+    return rows.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.col("found")).alias("labels"), F.coalesce("best", F.lit(0.0)).alias("score"))

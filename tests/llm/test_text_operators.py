@@ -98,6 +98,26 @@ def test_licenses_by_their_texts(frame):
     assert all(not got[i]["labels"] for i in range(2 * len(texts), 2 * len(texts) + 60))
 
 
+def test_licenses_need_each_word_of_their_phrases(frame):
+    """A phrase with any one of its words put otherwise, function words too, is no licence's."""
+    from ledgerlens.llm.license_scan import TEMPLATES, read_templates
+
+    rows, expected = [], {}
+    for t in read_templates((), TEMPLATES):
+        for place in (None, *t.required):
+            words = ["putotherwise" if i == place else w for i, w in enumerate(t.words)]
+            expected[len(rows)] = (t.label, place is None)
+            rows.append((len(rows), "Some text before it. " + " ".join(words).title() + ". And some behind."))
+    for r in scan_licenses(frame(rows)).collect():
+        label, stands = expected[r["doc_id"]]
+        assert (label in r["labels"].split(",")) == stands, rows[r["doc_id"]]
+
+
+def test_licenses_are_looked_up_inside_rows(frame):
+    plan = scan_licenses(frame([(1, "MIT License")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
 def test_secret_scan(frame, odd, empty):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     rng = random.Random(8)
