@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm.decontamination import find_leaks
 from ledgerlens.llm.license_scan import scan_licenses
@@ -301,14 +302,32 @@ def test_stages_decide_by_row(spark, frame):
 
     item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").filter("text is not null").first()["text"]
     long = [" ".join(f"{c}{i}" for i in range(100)) for c in "abcde"]
-    docs = frame([(1, long[0]), (None, long[0]), (None, long[1]), (5, long[2]), (5, long[3]), (2, long[3]), (7, long[4]), (7, long[4])])
-    kept = sorted([(1, long[0]), (5, long[2]), (5, long[3]), (7, long[4])]) + [(None, long[1])]
-    for stage in (pipeline.exact, pipeline.near):
+    rows = [(1, long[0]), (None, long[0]), (None, long[1]), (5, long[2]), (5, long[3]), (2, long[3]), (7, long[4]), (7, long[4])]
+    kept = sorted([(1, long[0]), (5, long[2]), (2, long[3]), (7, long[4])]) + [(None, long[1])]
+    for stage, docs in ((s, d) for s in (pipeline.exact, pipeline.near) for d in (frame(rows), frame(rows[::-1]).repartition(7))):
         assert sorted((tuple(r) for r in stage(spark, docs, "/root/testdata/sf0.001").collect()), key=lambda r: (r[0] is None, r)) == kept
     clean = pipeline.decontaminate(spark, frame([(None, item), (None, long[0]), (3, long[1])]), "/root/testdata/sf0.001").collect()
     assert {tuple(r) for r in clean} == {(None, long[0]), (3, long[1])}
 
 
+def test_same_rows_stay_under_any_partitioning(spark, frame):
+    """Copies, near copies and rows equal in all columns, in the order of the table or its opposite."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(21)
+    base = [[f"w{rng.randint(0, 9999)}" for _ in range(120)] for _ in range(30)]
+    rows = [(k % 40, " ".join(["changed", *words[1:]] if k % 3 else words), k % 2) for k, words in enumerate(base * 4)]
+    rows += rows[:25] + [(None, rows[0][1], 0)] * 3
+    schema = "doc_id long, text string, _row int"
+    kept = set()
+    for order, parts in ((rows, 2), (rows, 7), (rows[::-1], 31)):
+        docs = frame(order, schema).repartition(parts)
+        kept.add(tuple(tuple(sorted(map(str, stage(spark, docs, "").collect()))) for stage in (pipeline.exact, pipeline.near)))
+    assert len(kept) == 1 and [len(x) for x in kept.pop()] == [len({r[1] for r in rows}), 30]
+    keyed, key = pipeline._keyed(frame(rows, schema), bits=4)  # numbers that meet are told apart
+    assert key == "_row_" and keyed.groupBy(key).agg(F.count_distinct("doc_id", "text", "_row").alias("n")).filter("n > 1").count() == 0
+
+
 def test_stages_on_awkward_rows(spark, odd, empty):
     import corpus_pipeline as pipeline
 
