@@ -107,6 +107,9 @@ class _Forest:
         self.up[max(x, y)] = min(x, y)
         return x != y
 
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(x) for x in range(len(self.up))], np.int64)
+
 
 def _blocks(depth: int, budget: int) -> int:
     """Bits of each of budget + 1 blocks into which what is below `depth` is cut: of two fingerprints that differ in no
@@ -274,10 +277,11 @@ def _leader_pairs(codes: np.ndarray, size: int, budget: int, step: int = 1 << 20
 
 
 def _slice_links(signed: DataFrame, budget: int, limits: tuple[int, int], bucket_rows: int) -> DataFrame:
-    """signed(rep, sig). Edges (u, v, sure, apart) between reps of which one slice differs in at most `budget` bits and the whole
-    signatures in at most limits[1]; of sure ones, in at most limits[0], a spanning forest of each bucket, and of unsure
-    ones every pair that the sure ones of its bucket leave apart, from the first slice and block it shares. Two such slices share a block, so each goes to one bucket for each block, where equal
-    blocks are joined with themselves. A bucket of too many rows is dealt into salts, and each pair of salts is a group.
+    """signed(rep, sig). Edges (u, v, sure) between reps of which one slice differs in at most `budget` bits and the whole
+    signatures in at most limits[1]: of each bucket a spanning forest of the sure ones, in at most limits[0] bits, and
+    one of all unsure ones, so that no bucket gives more edges than it has rows. An unsure pair is looked at in the first slice
+    and block it shares. Two such slices share a block, so each goes to one bucket for each block, where equal blocks are
+    joined with themselves. A bucket of too many rows is dealt into salts, and each pair of salts is a group.
 
     Rows of one slice code are put behind leaders at most limits[0] bits away, which joins them; leaders are paired,
     and the rows behind two leaders that stay apart are compared with each other unless they are too far by the
@@ -301,7 +305,7 @@ def _slice_links(signed: DataFrame, budget: int, limits: tuple[int, int], bucket
         order = np.argsort(codes)
         codes, rep = codes[order], group.column("rep").to_numpy()[order]
         sig = np.frombuffer(b"".join(x.as_py() for x in group.column("sig")), np.uint64).reshape(len(order), -1)[order]
-        forest, edges, unsure, wide = _Forest(len(rep)), [], [], []
+        forest, edges, loose, unsure, wide = _Forest(len(rep)), [], _Forest(len(rep)), [], []
 
         part, block, side = group.column("part")[0].as_py(), group.column("block")[0].as_py(), group.column("salt").to_numpy()[order]
         two = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
@@ -315,7 +319,12 @@ def _slice_links(signed: DataFrame, budget: int, limits: tuple[int, int], bucket
                     here &= bits[:, part, first_bit : first_bit + width].any(1)
                 if two:
                     here &= side[one] != side[other]
-                unsure.append((one[here], other[here]))
+                one, other = one[here], other[here]
+                if len(one) > len(rep):  # most ends are joined by then
+                    root = loose.roots()
+                    new = root[one] != root[other]
+                    one, other = one[new], other[new]
+                unsure.extend((a, b) for a, b in zip(one.tolist(), other.tolist(), strict=True) if loose.join(a, b))
 
         def join(x: np.ndarray, y: np.ndarray) -> None:
             edges.extend((one, other) for one, other in zip(x.tolist(), y.tolist(), strict=True) if forest.join(one, other))
@@ -347,28 +356,85 @@ def _slice_links(signed: DataFrame, budget: int, limits: tuple[int, int], bucket
                 join(x[near], y[near])
                 far = (apart > limits[0]) & (apart <= limits[1])
                 ask(x[far], y[far])
-        root = np.array([forest.root(x) for x in range(len(rep))])
-        ends = np.array(edges, np.int64).reshape(-1, 2)
-        x, y = (np.concatenate([np.zeros(0, np.int64), *side]) for side in zip(*unsure, strict=True)) if unsure else (ends[:0, 0], ends[:0, 1])
-        apart = root[x] != root[y]
-        x, y = x[apart], y[apart]
-        steps = [_bits_apart(sig, x[at : at + (1 << 18)], y[at : at + (1 << 18)]) for at in range(0, len(x), 1 << 18)]
-        u, v = rep[np.concatenate([ends[:, 0], x])], rep[np.concatenate([ends[:, 1], y])]
-        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v)), "sure": pa.array(np.arange(len(u)) < len(ends)), "apart": pa.array(np.concatenate([np.zeros(len(ends), np.int64), *steps]))})
+        root = forest.roots()
+        ends = np.array(edges + [(x, y) for x, y in unsure if root[x] != root[y]], np.int64).reshape(-1, 2)
+        u, v = rep[ends[:, 0]], rep[ends[:, 1]]
+        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v)), "sure": pa.array(np.arange(len(u)) < len(edges))})
+
+    return sides.groupBy(*bucket, "lo", "hi").applyInArrow(walk, "u long, v long, sure boolean")
 
-    return sides.groupBy(*bucket, "lo", "hi").applyInArrow(walk, "u long, v long, sure boolean, apart long")
 
+def _sets(shingle: int):
+    """doc_id, text to doc_id and the sorted 64-bit hashes of its distinct shingles, as bytes."""
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 2, bucket_rows: int = 16_384) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for text in batch.column(1):
+                grams = _shingles(text.as_py(), shingle)
+                held.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary()), pa.array([len(x) for x in held], pa.int64())], ["node", "grams", "size"])
+
+    return run
+
+
+def _alike(one: list[np.ndarray], other: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of `one` the places in `other` of those it is alike to, by the counts of what they share."""
+    sizes = np.array([len(x) for x in other])
+    plain, place = np.unique(np.concatenate(other), return_inverse=True)
+    owner = np.repeat(np.arange(len(other)), sizes)[np.argsort(place, kind="stable")]
+    begin = np.searchsorted(np.sort(place), np.arange(len(plain) + 1))
+    for k, mine in enumerate(one):
+        at = np.searchsorted(plain, mine)
+        at = at[(at < len(plain)) & (plain[np.minimum(at, len(plain) - 1)] == mine)]
+        both = np.zeros(len(other), np.int64)
+        for start in range(0, len(at), 4096):  # bounds what is held at once
+            some = at[start : start + 4096]
+            _, places = _spread(some, begin, np.diff(begin))
+            both += np.bincount(owner[places], minlength=len(other))
+        yield k, np.flatnonzero(both >= similarity * (len(mine) + sizes - both))
+
+
+def _family_links(members: DataFrame, similarity: float, deal_bytes: int) -> DataFrame:
+    """members(family, node, root, grams, size): edges (u, v) between roots of one family that have members alike, a
+    spanning forest of each group. A family is dealt into salts of `deal_bytes` to eight times as many, and each pair of
+    salts is a group, in which all sets are compared but those of its largest root with each other; pairs are never rows."""
+    share = F.greatest(F.lit(deal_bytes), F.least(F.lit(8 * deal_bytes), F.sum("size") / 64))
+    salts = cut(members.groupBy("family").agg(F.ceil(F.sum("size") / share).cast("int").alias("salts")).filter("salts > 1"))
+    dealt = members.join(F.broadcast(salts), "family", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("family", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "node", "root", "grams")
+
+    def compare(group: pa.Table) -> pa.Table:
+        salt, root, held = group.column("salt").to_numpy(), group.column("root").to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in group.column("grams")]
+        plain, name = np.unique(root, return_inverse=True)
+        forest, edges = _Forest(len(plain)), []
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        large = name == np.bincount(name).argmax()
+        sides = [(np.flatnonzero((salt == lo) & ~large), np.flatnonzero(salt == hi))]
+        if lo != hi:
+            sides.append((np.flatnonzero((salt == hi) & ~large), np.flatnonzero((salt == lo) & large)))
+        for first, second in sides:
+            if len(first) and len(second):
+                for k, found in _alike([held[x] for x in first], [held[x] for x in second], similarity):
+                    mine = int(name[first[k]])
+                    edges.extend((mine, x) for x in np.unique(name[second[found]]).tolist() if forest.join(mine, x))
+        ends = plain[np.array(edges, np.int64).reshape(-1, 2)]
+        return pa.table({"u": pa.array(ends.min(1)), "v": pa.array(ends.max(1))})
+
+    return sides.groupBy("family", "lo", "hi").applyInArrow(compare, "u long, v long")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 2, bucket_rows: int = 16_384, deal_bytes: int = 4 << 20) -> DataFrame:
     """One row per input row: doc_id, component_id (smallest doc_id reachable).
 
     Documents are near duplicates if the Jaccard similarity of their sets of word shingles is `similarity` or more.
     Pairs are found by a trie self-join of each 28-bit slice of a 448-bit SimHash: a pair at the threshold itself shares
     one of the 16 slices but for `budget` bits with a probability of 0.96, one at 0.85 with 0.99. The differing bits of
-    the whole SimHash settle pairs that are clearly alike or not; those in between, where they are not linked already,
-    are compared shingle by shingle, in rounds. Every pair that shares a slice so is a candidate, those of one slice code too,
-    save those that other links join already; rows of equal SimHash are one. Rows that repeat an id stand for one text. Nulls, empty texts, repeated rows, empty tables and further columns are
-    treated as in `simhash_groups`.
+    the whole SimHash settle pairs that are clearly alike or not. What pairs in between chain together is a family; in a
+    family that sure links leave in parts, all texts of different parts are compared by their sets of shingles (as 64-bit
+    hashes), inside tasks. So every pair that shares a slice is judged, those of one slice code too, and pairs are never
+    rows. Rows of equal SimHash are one; rows that repeat an id stand for one text. Nulls, empty texts, repeated rows,
+    empty tables and further columns are treated as in `simhash_groups`.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits, error = SLICES * SLICE_BITS, np.sqrt(share * (1 - share) * SLICES * SLICE_BITS)
@@ -378,61 +444,21 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(t.as_py(), shingle) for t in batch.column(1)], pa.binary())], ["doc_id", "sig"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = {}, 0
-
-        def held(text: str) -> set[bytes]:
-            nonlocal size
-            if text not in kept:
-                grams = _shingles(text, shingle)
-                if size + len(grams) > 500_000:
-                    kept.clear()
-                    size = 0
-                kept[text], size = grams, size + len(grams)
-            return kept[text]
-
-        for batch in batches:
-            alike = []
-            for one, other in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = held(one.as_py()), held(other.as_py())
-                both = len(x & y)
-                alike.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
-
     rows = cut(pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sig binary"))
     points = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")))
     signed = points.filter("rep is not null").select("rep", "sig")
     edges = cut(_slice_links(signed, budget, limits, bucket_rows))
     roots = cut(components(edges.filter("sure").select("u", "v")))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are not joined, with the roots of both."""
-        for end in ("u", "v"):
-            pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-        return pairs.filter("root_u <> root_v")
-
-    left = cut(apart(edges.filter("not sure").select("u", "v", "apart").distinct()).select("u", "v", "apart"))
-    texts = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    needed = left.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    held = cut(texts.join(needed, "doc_id", "left_semi"))
-    # unsure pairs are compared in rounds: first each component's likeliest one, then of more and more shares of its
-    # partners, in the end all that are left; links found in one round spare the pairs they join
-    for shares in (1, 8, 512, None):
-        open_ = cut(apart(left))
-        if open_.isEmpty():
-            break
-        if shares is None:
-            asked = open_.select("u", "v")
-        else:
-            ends = F.array(F.struct(F.col("root_u").alias("root"), F.col("root_v").alias("other")), F.struct(F.col("root_v").alias("root"), F.col("root_u").alias("other")))
-            sided = open_.select("u", "v", "apart", F.inline(ends))
-            first = sided.groupBy("root", F.pmod(F.xxhash64("other"), F.lit(shares)).alias("share")).agg(F.min(F.struct("apart", "u", "v")).alias("x"))
-            asked = cut(first.select("x.u", "x.v").distinct())
-        both = asked.join(held.withColumnsRenamed({"doc_id": "u", "text": "a"}), "u").join(held.withColumnsRenamed({"doc_id": "v", "text": "b"}), "v").select("u", "v", "a", "b")
-        linked = both.mapInArrow(compare, "u long, v long")
-        found = cut(apart(linked).select(F.col("root_u").alias("u"), F.col("root_v").alias("v")).distinct())
-        left = open_.select("u", "v", "apart").join(asked, ["u", "v"], "left_anti")
-        moved = components(found)
+    if not edges.filter("not sure").isEmpty():
+        chained = cut(components(edges.select("u", "v")))
+        nodes = chained.select("node", F.col("root").alias("family")).union(chained.select("root", "root").distinct())
+        placed = cut(nodes.join(roots, "node", "left").select("family", "node", F.coalesce("root", "node").alias("root")))
+        parted = placed.groupBy("family").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("family")
+        open_ = cut(placed.join(parted, "family", "left_semi"))
+        texts = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+        sets = texts.join(open_.select("node"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets(shingle), "node long, grams binary, size long")
+        found = _family_links(open_.join(sets, "node"), similarity, deal_bytes)
+        moved = cut(components(cut(found)))
         new = moved.select(F.col("node").alias("root"), F.col("root").alias("new"))
         roots = cut(roots.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root")).union(moved))
     classes = points.join(roots, points["rep"] == roots["node"], "left").select("sig", F.coalesce("root", "rep").alias("component_id"), "n_rows")
