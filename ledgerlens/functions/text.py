@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,17 +42,53 @@ def clean_name(text: Column) -> Column:
     return F.btrim(F.get(F.split(F.trim(text), r"\s+[—–]\s+"), F.lit(0)), F.lit(" :|·ꞏ,"))
 
 
+class Cell(NamedTuple):
+    """A cell as the name test sees it: its bare text and the runs of letters and digits in it."""
+
+    plain: Column
+    tokens: Column
+
+
+def _begins(cell: Cell, vocabulary: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [cell.plain.startswith(w) for w in vocabulary])
+
+
+def _has_word(cell: Cell, vocabulary: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(cell.tokens, F.array(*[F.lit(w) for w in vocabulary]))
+
+
+def _digits(token: Column) -> Column:
+    return F.translate(token, "0123456789", "") == ""
+
+
+def _is_address(cell: Cell) -> Column:
+    """It begins with a kind of street, or has a post code (five digits by themselves), a house number behind a comma, or a
+    word that stands for one."""
+    post_code = F.exists(cell.tokens, lambda t: (F.length(t) == 5) & _digits(t))
+    house = F.exists(F.slice(F.split(cell.plain, ","), 2, 1 << 20), lambda part: _digits(F.substring(F.ltrim(part), 1, 1)) & (F.ltrim(part) != ""))
+    return _begins(cell, R.STREET_WORDS) | post_code | house | _has_word(cell, ("km",)) | cell.plain.contains("s/n")
+
+
+def _is_contact(cell: Cell) -> Column:
+    return reduce(Column.__or__, [cell.plain.contains(sign) for sign in R.CONTACT_SIGNS]) | _has_word(cell, R.CONTACT_WORDS)
+
+
+def _is_reference(cell: Cell) -> Column:
+    """A law is named, or a token is a digest: sixteen signs or more, all of them hexadecimal."""
+    return _has_word(cell, R.LAW_WORDS) | F.exists(cell.tokens, lambda t: (F.length(t) >= 16) & (F.translate(t, "0123456789abcdef", "") == ""))
+
+
 def looks_like_name(text: Column, amount_pattern: str) -> Column:
-    """Whether a cell may be a company name: it opens with a letter and no word of the form, holds three letters or more in at
-    most seven words, and neither an address, a contact, an amount, a law nor a hash."""
-    plain = norm(text)
-    opens = lambda words: "^(?:" + "|".join(re.escape(w) for w in words) + ")"
-    street = "|".join([opens(R.STREET_WORDS), r"\d{5}(?!\d)", r",\s*\d", r"\bkm\b", r"\bs/n\b"])
-    contact = "|".join([*(re.escape(s) for s in R.CONTACT_SIGNS), r"\b(?:" + "|".join(R.CONTACT_WORDS) + r")\b"])
-    other = r"\b(?:" + "|".join(R.LAW_WORDS) + r")\b|[0-9a-f]{16,}"
-    words, letters = F.size(F.split(F.trim(text), r"\s+")), F.length(F.regexp_replace(plain, "[^a-z]", ""))
-    refused = [plain.rlike(pattern) for pattern in (opens(R.NOT_A_NAME), street, contact, other)] + [text.rlike(amount_pattern)]
-    return reduce(lambda kept, bad: kept & ~bad, refused, plain.rlike("^[a-z]") & (letters >= 3) & (words <= 7))
+    """Whether a cell may be a company name: its first sign is a letter, it has three letters or more and at most seven words,
+    no word of the form opens it, and it is neither address, contact, reference nor amount."""
+
+    def judge(plain: Column) -> Column:
+        cell = Cell(plain, F.split(plain, "[^a-z0-9_]+"))
+        letters = F.length(plain) - F.length(F.translate(plain, "abcdefghijklmnopqrstuvwxyz", ""))
+        sound = F.substring(plain, 1, 1).between("a", "z") & (letters >= 3) & (F.size(F.split(F.trim(text), r"\s+")) <= 7)
+        return sound & ~_begins(cell, R.NOT_A_NAME) & ~_is_address(cell) & ~_is_contact(cell) & ~_is_reference(cell) & ~text.rlike(amount_pattern)
+
+    return let(norm(text), judge)
 
 
 def format_amount(value: Column, country: Column) -> Column:

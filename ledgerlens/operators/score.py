@@ -111,11 +111,12 @@ def expected_of_manifest(manifest: DataFrame) -> DataFrame:
 
 def outside_cases(expected: DataFrame, obtained: DataFrame, results: DataFrame) -> DataFrame:
     """expected(fichero, field, expected), obtained(fichero, field, obtained), results(fichero, estado, errores): per
-    document its right fields, whether it fell for its own reason only, and whether it is judged correctly."""
+    document its right fields, whether it fell for its own reason only, and whether it is judged correctly. The reason for
+    which a document was made is told by the name of its file, in whatever folder."""
     scored = expected.join(obtained, ["fichero", "field"], "left").withColumn("hit", outside_equal(F.col("field"), F.col("expected"), F.col("obtained")))
     per_doc = scored.groupBy("fichero").agg(F.count_if("hit").alias("fields_ok"), F.count("*").alias("fields"))
     reason = F.create_map(*[F.lit(x) for pair in DEFECT_CODES.items() for x in pair])
-    cases = results.join(per_doc, "fichero").withColumn("motivo", F.try_element_at(reason, F.regexp_replace("fichero", r"\.[a-z]+$", "")))
+    cases = results.join(per_doc, "fichero").withColumn("motivo", F.try_element_at(reason, F.regexp_extract("fichero", r"([^/]+?)(?:\.[a-z]+)?$", 1)))
     noise = F.filter("errores", lambda e: F.coalesce(e != F.col("motivo"), F.lit(True)))
     own = F.col("motivo").isNotNull() & F.array_contains("errores", F.col("motivo"))
     correct = (F.col("fields_ok") == F.col("fields")) & F.when(F.col("motivo").isNull(), F.col("estado") == "conforme").otherwise((F.col("estado") == "no_conforme") & own & (F.size(noise) == 0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import cents
+from ledgerlens.functions.refdata import DEFECT_CODES
+from ledgerlens.functions.taxid import complete_tax_id
 from ledgerlens.operators import batch, extract, score
 from ledgerlens.operators.classify import verdict
 from ledgerlens.operators.rules import audit
@@ -17,6 +20,7 @@ from ledgerlens.plans.rule_queries import ALL_SQL, AS_OF
 from ledgerlens.plans.views import SQL_CTES, invoices, table
 from ledgerlens.sources.readers import cases, with_files
 from ledgerlens.streaming import audit_stream
+from ledgerlens.streaming.changes import changes, use_state_store
 
 
 def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,23 +116,50 @@ SELECT doc_id, round((CASE WHEN k % 31 <> 0 THEN 1.9 ELSE 0 END + CASE WHEN k %
   + CASE WHEN enviado IS NOT NULL THEN 0.475 ELSE 0 END + CASE WHEN nif_e IS NOT NULL AND k % 131 <> 0 THEN 2 ELSE 0 END + CASE WHEN n_lineas > 0 THEN 2 ELSE 0 END)::DOUBLE / 13.5, 3) AS confidence FROM inv
 """
 
-#: Manifest-shaped rows, what was read of them, and how they were judged.
-_MANIFEST = [("f01_simple.pdf", "A-1", "01/02/2025", "Grafica Sol", "B12345674", 100.0, 121.0), ("f18_sin_numero_factura.pdf", None, "05/03/2025", "Luz SA", "A87654323", 50.0, 60.5), ("f16_base_no_suma.pdf", "B-7", "07/03/2025", "Mar SL", None, 80.0, 96.8)]
-_READ = [("f01_simple.pdf", "a-1 ", "2025-02-01", "Gráfica Sol", "B12345674", 100.01, 121.0), ("f18_sin_numero_factura.pdf", None, "2025-03-05", "LUZ, S.A.", "A87654323", 50.0, 60.5), ("f16_base_no_suma.pdf", "B-7", "2025-03-08", "Mar SL", None, 80.0, 96.8)]
-_JUDGED = [("f01_simple.pdf", "conforme", []), ("f18_sin_numero_factura.pdf", "no_conforme", ["SIN_NUMERO"]), ("f16_base_no_suma.pdf", "no_conforme", ["BASE_NO_CUADRA", "TOTAL_NO_CUADRA"])]
+#: Files of the outside bank: those made with a defect, and one without.
+_FILES = (*DEFECT_CODES, "f01_simple")
 
 
 def external_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = spark.createDataFrame(_MANIFEST, "fichero string, numero string, fecha string, emisor string, nif_emisor string, base double, total double").withColumns({"nif_declarado": F.lit(None).cast("string"), "base_declarada": F.lit(None).cast("double"), "total_declarado": F.lit(None).cast("double")})
-    read = spark.createDataFrame(_READ, "fichero string, numero string, fecha string, emisor string, nif_emisor string, base double, total double")
+    """Every order as a row of a manifest, as what was read of it and as how it was judged: each ninth is without a defect.
+    Some dates and bases are misread, some numbers are read where there is none, some judgements have noise."""
+    k = F.col("k")
+    defect = F.element_at(F.array(*[F.lit(f) for f in _FILES]), (k % len(_FILES) + 1).cast("int"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    euros = lambda c: (c / 100).cast("decimal(18,2)").cast("double")
+    made = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), cents.alias("cents"), F.to_date("o_orderdate").alias("day"))
+    made = made.withColumns({"defect": defect, "nif": complete_tax_id(k * 7, F.lit("ES"))}).withColumn("fichero", F.concat(k.cast("string"), F.lit("/"), "defect", F.lit(".pdf")))
+    numberless, wrong_id = F.col("defect") == "f18_sin_numero_factura", F.col("defect") == "f20_nif_emisor_invalido"
+    number = F.concat(F.lit("A-"), k.cast("string"))
+    manifest = made.select(
+        "fichero", F.when(~numberless, number).alias("numero"), F.date_format("day", "dd/MM/yyyy").alias("fecha"), F.lit("Grafica Sol").alias("emisor"),
+        F.when((k % 7 != 0) & ~wrong_id, F.col("nif")).alias("nif_emisor"), F.when((k % 7 != 0) & wrong_id, F.col("nif")).alias("nif_declarado"),
+        F.when(k % 5 != 0, euros(F.col("cents"))).alias("base"), F.when(k % 5 == 0, euros(F.col("cents"))).alias("base_declarada"), euros(F.col("cents") + 100).alias("total"), F.lit(None).cast("double").alias("total_declarado"),
+    )
+    read = made.select(
+        "fichero", F.when(~numberless | (k % 23 == 0), F.concat(F.lower(number), F.lit(" "))).alias("numero"), F.when(k % 11 == 0, F.date_add("day", 1)).otherwise(F.col("day")).cast("string").alias("fecha"), F.lit("GRÁFICA, Sol").alias("emisor"),
+        F.lower("nif").alias("nif_emisor"), euros(F.col("cents") + F.when(k % 13 == 0, 2).when(k % 3 == 0, 1).otherwise(0)).alias("base"), euros(F.col("cents") + 100).alias("total"),
+    )
+    reason = F.create_map(*[F.lit(x) for pair in DEFECT_CODES.items() for x in pair])
+    own, noise = F.try_element_at(reason, F.col("defect")), F.when((k % 17 == 0) | ((k % 19 == 0) & F.col("own").isNull()), F.lit("LINEA_SIN_DESCRIPCION"))
+    errors = F.filter(F.array("own", noise), lambda x: x.isNotNull())
+    judged = made.withColumn("own", F.when(k % 29 != 0, own)).withColumn("errores", errors).select("fichero", F.when(F.size("errores") > 0, "no_conforme").otherwise("conforme").alias("estado"), "errores")
     obtained = score.unpivoted(read, "fichero", {c: F.col(c) for c in read.columns if c != "fichero"}, "obtained").withColumnRenamed("doc_id", "fichero")
-    results = spark.createDataFrame(_JUDGED, "fichero string, estado string, errores array<string>")
-    return score.outside_cases(score.expected_of_manifest(manifest), obtained, results)
+    return score.outside_cases(score.expected_of_manifest(manifest), obtained, judged)
 
 
-EXTERNAL_SQL = """
-SELECT * FROM (VALUES ('f01_simple.pdf', 'conforme', NULL, 6::BIGINT, 6::BIGINT, 0, FALSE, TRUE), ('f18_sin_numero_factura.pdf', 'no_conforme', 'SIN_NUMERO', 6, 6, 0, TRUE, TRUE),
-  ('f16_base_no_suma.pdf', 'no_conforme', 'BASE_NO_CUADRA', 4, 5, 1, TRUE, FALSE)) t(fichero, estado, motivo, fields_ok, fields, noise, own_reason, correct)
+EXTERNAL_SQL = f"""
+WITH o AS (
+  SELECT o_orderkey AS k, list_extract({list(_FILES)}, CAST(o_orderkey % {len(_FILES)} AS INT) + 1) AS defect FROM orders
+), m AS (
+  SELECT *, map_extract(MAP {dict(DEFECT_CODES)}, defect)[1] AS motivo, defect = 'f18_sin_numero_factura' AND k % 23 = 0 AS wrong_number FROM o
+), j AS (
+  SELECT *, motivo IS NOT NULL AND k % 29 <> 0 AS own_reason, k % 17 = 0 OR (k % 19 = 0 AND NOT coalesce(motivo IS NOT NULL AND k % 29 <> 0, FALSE)) AS noisy,
+    5 + CASE WHEN k % 7 <> 0 THEN 1 ELSE 0 END AS fields, CASE WHEN wrong_number THEN 1 ELSE 0 END + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS missed FROM m
+)
+SELECT k || '/' || defect || '.pdf' AS fichero, CASE WHEN own_reason OR noisy THEN 'no_conforme' ELSE 'conforme' END AS estado, motivo, CAST(fields - missed AS BIGINT) AS fields_ok, CAST(fields AS BIGINT) AS fields,
+  CASE WHEN noisy THEN 1 ELSE 0 END AS noise, own_reason, missed = 0 AND NOT noisy AND (motivo IS NULL OR own_reason) AS correct
+FROM j
 """
 
 
@@ -258,17 +289,53 @@ def _event_invoices(events: DataFrame) -> DataFrame:
     )
 
 
+def _stream_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's state and output, in the one that the cluster shares; a local one only where driver and
+    executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder for the stream's state")
+        base = tempfile.mkdtemp(prefix="stream-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: A user of whom nothing was heard for so long is told anew.
+IDLE_MS = 7 * 24 * 3600 * 1000
+
+
+def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they arrive: of each user those whose type is another than that of the event before."""
+    from pyspark.errors import AnalysisException
+
+    folder, store = _stream_folder(spark, "status-changes"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    use_state_store(spark)
+    try:
+        told = changes(stream, "user_id", "ts", ["event_type"], expiry_ms=IDLE_MS)
+        audit_stream.to_batches(told, lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out/part={number}"), f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    try:
+        seen = spark.read.parquet(f"{folder}/out")
+    except AnalysisException:  # no file arrived, so no batch was written
+        seen = spark.createDataFrame([], "key string, at timestamp, state string")
+    return seen.select(F.col("key").cast("long").alias("user_id"), F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), F.get_json_object("state", "$.event_type").alias("event_type"))
+
+
+STATUS_SQL = f"""
+WITH e AS (SELECT user_id, ts, event_type, row_number() OVER w AS n, lag(event_type) OVER w AS before, lag(ts) OVER w AS seen FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type))
+SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, event_type FROM e WHERE n = 1 OR event_type IS DISTINCT FROM before OR epoch_ms(ts) - epoch_ms(seen) > {IDLE_MS}
+"""
+
+
 def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as invoices that arrive: audited in micro-batches, each written to a folder of its own number."""
     from pyspark.errors import AnalysisException
 
     source = table(spark, sf_dir, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder for the stream's state")
-        base = tempfile.mkdtemp(prefix="stream-")
-    folder = f"{base.rstrip('/')}/stream-audit-{uuid.uuid4().hex}"
+    folder = _stream_folder(spark, "stream-audit")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     audited = audit_stream.audited(_event_invoices(stream), "2000-01-01").select("doc_id", "estado", F.transform("findings", lambda f: f["code"]).alias("codes"))
 
@@ -283,7 +350,7 @@ def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("estado", F.explode("codes").alias("code")).groupBy("estado", "code").agg(F.count("*").alias("n"))
 
 
-OWN = (verdicts, batch_summary, top_findings, field_scores, field_failures, doc_confidence, external_cases, bench_metrics, regression_diff, case_union, missing_files, history_listing, history_retention, csv_flat, footer_totals, sample_picker, strict_schema, stream_audit)
+OWN = (verdicts, batch_summary, top_findings, field_scores, field_failures, doc_confidence, external_cases, bench_metrics, regression_diff, case_union, missing_files, history_listing, history_retention, csv_flat, footer_totals, sample_picker, strict_schema, stream_audit, status_changes)
 
 
 def queries() -> dict:
@@ -294,5 +361,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "verdicts": VERDICTS_SQL, "batch_summary": SUMMARY_SQL, "top_findings": TOP_SQL, "field_scores": FIELD_SCORES_SQL, "field_failures": FAILURES_SQL, "doc_confidence": CONFIDENCE_SQL,
         "external_cases": EXTERNAL_SQL, "bench_metrics": BENCH_SQL, "regression_diff": REGRESSION_SQL, "case_union": CASE_SQL, "missing_files": MISSING_SQL, "history_listing": HISTORY_SQL,
-        "history_retention": RETENTION_SQL, "csv_flat": CSV_SQL, "footer_totals": FOOTER_SQL, "sample_picker": SAMPLE_SQL, "strict_schema": STRICT_SQL,
+        "history_retention": RETENTION_SQL, "csv_flat": CSV_SQL, "footer_totals": FOOTER_SQL, "sample_picker": SAMPLE_SQL, "strict_schema": STRICT_SQL, "status_changes": STATUS_SQL,
     }

@@ -30,11 +30,6 @@ def counts_by_window(stream: DataFrame, time_col: str, width: str = "10 minutes"
     return stream.withWatermark(time_col, late).groupBy(F.window(time_col, width), "estado").agg(F.count("*").alias("documents"))
 
 
-def changes(stream: DataFrame, keys: list[str], time_col: str, within: str = "15 minutes") -> DataFrame:
-    """Progress rows only where they differ from those seen before, for up to `within`."""
-    return stream.withWatermark(time_col, within).dropDuplicatesWithinWatermark(keys)
-
-
 def to_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
     """Each micro-batch goes to `sink` with its number, by which the sink can write a batch twice to the same place."""
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)

@@ -76,3 +76,14 @@ def test_text(spark):
 def test_tolerance_is_two_whole_cents(spark):
     a, b = F.col("x"), F.lit(3)
     assert one(spark, [5, 6, 1, 0], "long", money.near(a, b)) == [True, False, True, False]
+
+
+def test_company_names(spark):
+    from ledgerlens.functions.money import AMOUNT_CI
+    from ledgerlens.functions.text import looks_like_name
+
+    names = ["Acme 123456 SL", "Talleres Norte SL", "Estudio Lumbre Gráfica SL", "Moda SA", "Bar Kmart", "Artesanos", "Abc", "Grupo 1234 SA"]
+    others = ["", "ab", "3M España", "Calle Mayor 3", "28001 Madrid", "Madrid 28001", "Sol, 12", "Nave km 4", "Polígono s/n", "info@acme.es", "www.acme.es", "Tel 912", "Ley 37", "según art 20", "Total general", "Factura simplificada",
+              "deadbeefdeadbeef01", "Servicio 12,50 €", "una dos tres cuatro cinco seis siete ocho"]
+    got = {r["t"]: r["name"] for r in spark.createDataFrame([(x,) for x in names + others], "t string").select("t", looks_like_name(F.col("t"), AMOUNT_CI).alias("name")).collect()}
+    assert {t for t, name in got.items() if name} == set(names)

@@ -7,6 +7,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.plans import batch_queries, catalog, extract_queries, rule_queries, text_queries
 
@@ -90,3 +91,14 @@ def test_escaped_traps_are_rows(spark):
     metrics = score.bank_metrics(results)
     assert "collect_list" not in metrics._jdf.queryExecution().optimizedPlan().toString() and metrics.first()["n_escaped"] == 2
     assert {r["doc_id"] for r in score.escaped_traps(results).collect()} == {"a", "d"}
+
+
+def test_outside_cases_by_hand(spark):
+    from ledgerlens.operators import score
+
+    manifest = spark.createDataFrame([("b/f01_simple.pdf", "A-1", "01/02/2025", "Grafica Sol", 100.0), ("f18_sin_numero_factura.pdf", None, "05/03/2025", "Luz SA", 50.0), ("f16_base_no_suma.pdf", "B-7", "07/03/2025", "Mar SL", 80.0)], "fichero string, numero string, fecha string, emisor string, base double")
+    read = spark.createDataFrame([("b/f01_simple.pdf", "a-1 ", "2025-02-01", "Gráfica Sol", 100.01), ("f18_sin_numero_factura.pdf", None, "2025-03-05", "LUZ, S.A.", 50.0), ("f16_base_no_suma.pdf", "B-7", "2025-03-08", "Mar SL", 80.0)], manifest.schema)
+    obtained = score.unpivoted(read, "fichero", {c: F.col(c) for c in read.columns[1:]}, "obtained").withColumnRenamed("doc_id", "fichero")
+    judged = spark.createDataFrame([("b/f01_simple.pdf", "conforme", []), ("f18_sin_numero_factura.pdf", "no_conforme", ["SIN_NUMERO"]), ("f16_base_no_suma.pdf", "no_conforme", ["BASE_NO_CUADRA", "TOTAL_NO_CUADRA"])], "fichero string, estado string, errores array<string>")
+    got = {r["fichero"]: tuple(r)[1:] for r in score.outside_cases(score.expected_of_manifest(manifest), obtained, judged).collect()}
+    assert got == {"b/f01_simple.pdf": ("conforme", None, 4, 4, 0, False, True), "f18_sin_numero_factura.pdf": ("no_conforme", "SIN_NUMERO", 4, 4, 0, True, True), "f16_base_no_suma.pdf": ("no_conforme", "BASE_NO_CUADRA", 3, 4, 1, True, False)}
