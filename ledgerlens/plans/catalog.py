@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerlens.plans import batch_queries, extract_queries, rule_queries, text_queries
+from ledgerlens.plans import batch_queries, extract_queries, rule_queries, text_queries, trap_queries
 
-MODULES = (rule_queries, text_queries, extract_queries, batch_queries)
+MODULES = (rule_queries, text_queries, extract_queries, batch_queries, trap_queries)
 
 
 def queries() -> dict:
