@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.bwt import longest_repeats
-from ledgerlens.llm.common import cut, pick
+from ledgerlens.llm.common import cut, join_by_class, pick
 
 BLOCK = 16
 LEVELS = (32, 352, 392, 0)  # gram lengths; 0 stands for the whole window
@@ -298,7 +298,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, bucket_bytes: int = 4 <<
     routed = cut(rows.select("data", "id", "mark").mapInArrow(_route(length, levels[0]), "id long, mark long, first long, n long, key long, code long, code2 long, tied boolean"))
     distinct = routed.groupBy(*same).agg(F.count("*").alias("times"), F.max("tied").alias("tied"), F.min(F.struct("id", "mark", "first", "n")).alias("one"))
     per_key = distinct.groupBy("key").agg(F.count("*").alias("n_codes"), F.sum("times").alias("n_times"), F.max("tied").alias("any_tied")).filter("n_times > 1 or any_tied")
-    live = cut(distinct.join(per_key.select("key", "n_codes"), "key").filter("n_codes > 1 or times > 1 or tied"))
+    live = cut(join_by_class(distinct, cut(per_key.select("key", "n_codes")), ["key"], "n_codes").filter("n_codes > 1 or times > 1 or tied"))
 
     # bytes of one member of every context that may share windows with another or with itself
     wanted = live.filter("n_codes > 1 or (tied and times = 1)").groupBy("one.id", "one.mark").agg(F.collect_list(F.struct(*same, "times", F.col("one.first").alias("first"), F.col("one.n").alias("n"))).alias("wanted"))
@@ -308,7 +308,8 @@ def repeated_spans(rows: DataFrame, length: int = 400, bucket_bytes: int = 4 <<
     marks = []
     for level, gram in enumerate(levels):
         per_key = work.groupBy("key").agg(F.count_distinct("code", "code2").alias("n_codes"), F.sum(F.length("data")).alias("mass"))
-        counted = work.join(per_key, "key")
+        per_key = cut(per_key)
+        counted = join_by_class(work, per_key, ["key"], "n_codes")
         calm = counted.filter(F.col("n_codes") <= hot_contexts) if level + 1 < len(levels) else None
         if calm is not None:
             total = per_key.filter(F.col("n_codes") <= hot_contexts).agg(F.coalesce(F.sum("mass"), F.lit(0))).first()[0]
@@ -345,7 +346,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, bucket_bytes: int = 4 <<
         placed = routed.join(F.broadcast(hot), same, "left_anti").join(found, same).unionByName(routed.join(spans_of_hot, same))
     everything = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + (length - 1)).cast("int").alias("b")))
     shifted = F.transform(F.coalesce("spans", everything), lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))
-    return placed.select("id", "mark", shifted.alias("spans")).groupBy("id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return placed.select("id", "mark", shifted.alias("spans")).groupBy("id", "mark").agg(F.flatten(F.collect_set("spans")).alias("spans"))  # rows that repeat id and text tell the same
 
 
 def _split(length: int, gram: int):

@@ -86,6 +86,23 @@ def test_repeated_strings(frame, odd, empty, settings):
         assert len(rows) == 10 and {r["doc_id"] for r in rows if r["n_removed"]} == {6, 7} and remove_repeats(empty).count() == 0
 
 
+def test_repeated_rows_share_their_spans(frame):
+    """Spans are told once for all rows of one id and text, however many there are."""
+    from ledgerlens.llm.repeats import repeated_spans
+
+    rng = random.Random(9)
+    text, alone = words(rng, 400), words(rng, 300)
+    found = {}
+    for n in (3, 2000):
+        rows = frame([(1, text)] * n + [(2, alone)]).repartition(6).selectExpr("doc_id AS id", "xxhash64(encode(text, 'UTF-8')) AS mark", "encode(text, 'UTF-8') AS data")
+        got = repeated_spans(rows).collect()
+        assert [r["id"] for r in got] == [1]
+        found[n] = len(got[0]["spans"])
+    assert found[2000] == found[3] < len(text)
+    got = remove_repeats(frame([(1, text)] * 2000 + [(2, alone)])).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert {tuple(r) for r in got} == {(1, len(text), 1, 2000), (2, 0, 0, 1)}
+
+
 def test_repeats_are_told_by_bytes(frame):
     """Two texts whose blocks follow the Thue-Morse order and its opposite have one polynomial hash modulo 2**64."""
     from ledgerlens.llm.repeats import _BASE, _BYTES, Hashes
