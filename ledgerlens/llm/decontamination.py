@@ -44,44 +44,43 @@ def _tokens(text: Column) -> Column:
     return F.transform(F.array(_raw(text)), canonical)[0]
 
 
-def _hashes(text: Column, words: bool) -> Column:
-    """Per token the hash of its template token, or of its word in lower case; the kinds of placeholders are numbers."""
+def _hashes(tokens: Column, words: bool) -> Column:
+    """Per raw token the hash of its template token, or of its word in lower case; the kinds of placeholders are numbers."""
+    if words:
+        return F.transform(tokens, lambda w: F.xxhash64(F.lower(w)))
 
-    def coded(array: Column) -> Column:
-        if words:
-            return F.transform(array, lambda w: F.xxhash64(F.lower(w)))
+    def one(w: Column, i: Column) -> Column:
+        # most tokens are lower case, and what is asked of them is kept short
+        first, kind = F.substring(w, 1, 1), [F.lit(k).cast("long") for k in range(3)]
+        unit = w.isin(*UNITS, "%", "€", "$", "£", "°") & (i > 0) & F.substring(F.get(tokens, i - 1), 1, 1).between("0", "9")
+        plain = F.when((w < ":") & (w >= "0"), kind[0]).when(unit, kind[2]).otherwise(F.xxhash64(w))
+        return F.when(F.lower(w) == w, plain).otherwise(F.when(F.lower(first) != first, kind[1]).otherwise(F.xxhash64(F.lower(w))))
 
-        def one(w: Column, i: Column) -> Column:
-            # most tokens are lower case, and what is asked of them is kept short
-            first, kind = F.substring(w, 1, 1), [F.lit(k).cast("long") for k in range(3)]
-            unit = w.isin(*UNITS, "%", "€", "$", "£", "°") & (i > 0) & F.substring(F.get(array, i - 1), 1, 1).between("0", "9")
-            plain = F.when((w < ":") & (w >= "0"), kind[0]).when(unit, kind[2]).otherwise(F.xxhash64(w))
-            return F.when(F.lower(w) == w, plain).otherwise(F.when(F.lower(first) != first, kind[1]).otherwise(F.xxhash64(F.lower(w))))
-
-        return F.transform(array, one)
+    return F.transform(tokens, one)
 
-    return F.transform(F.array(_raw(text)), coded)[0]
 
+def _codes(text: Column, sizes: list[int], exact: list[int]) -> Column:
+    """Codes of all windows of a text: by template for the sizes in `sizes`, by words for those in `exact`. The text is cut into
+    tokens once, and each token is hashed once by template and once by word, whatever the number of sizes."""
 
-def _codes(hashes: Column, size: int) -> Column:
-    """Codes of the windows of a size."""
-
-    def of(h: Column) -> Column:
+    def of_size(h: Column, size: int) -> Column:
         at = F.when(F.size(h) >= size, F.sequence(F.lit(1), F.size(h) - size + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.xxhash64(F.slice(h, i, size)))
 
-    return F.transform(F.array(hashes), of)[0]
+    def of(tokens: Column) -> Column:
+        by = lambda words, wanted: F.transform(F.array(_hashes(tokens, words)), lambda h: F.concat(*[of_size(h, s) for s in wanted]))[0]
+        return F.concat(*[by(words, wanted) for words, wanted in ((False, sizes), (True, exact)) if wanted])
+
+    return F.transform(F.array(_raw(text)), of)[0]
 
 
 def _suspects(texts: DataFrame, items: DataFrame, sizes: list[int], exact: list[int], broadcast_windows: int) -> DataFrame:
-    """doc_id of the texts that have some window of some item, by template or, for the sizes in `exact`, by words."""
-    found = None
-    for size, words in [(s, False) for s in sizes] + [(s, True) for s in exact]:
-        codes = items.filter(F.col("size") == size).select(F.explode(_codes(_hashes(F.col("text"), words), size)).alias("code")).distinct()
-        codes = F.broadcast(codes) if codes.count() <= broadcast_windows else codes
-        hits = texts.select("doc_id", F.explode(_codes(_hashes(F.col("text"), words), size)).alias("code")).join(codes, "code", "left_semi").select("doc_id")
-        found = hits if found is None else found.unionByName(hits)
-    return cut(found.distinct())
+    """doc_id of the texts that have some window of some item, by template or, for the sizes in `exact`, by words: one pass
+    over the texts, whatever the number of sizes."""
+    of_item = reduce(lambda rest, s: F.when(F.col("size") == s, _codes(F.col("text"), [s], [s] if s in exact else [])).otherwise(rest), sizes, F.array().cast("array<bigint>"))
+    codes = cut(items.select(F.explode(of_item).alias("code")).distinct())
+    codes = F.broadcast(codes) if codes.count() <= broadcast_windows else codes
+    return cut(texts.select("doc_id", F.explode(_codes(F.col("text"), sizes, exact)).alias("code")).join(codes, "code", "left_semi").select("doc_id").distinct())
 
 
 def _windows(tokens: str, sizes: list[int], min_words: int, exact: list[int]) -> Column:
