@@ -67,8 +67,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations of one opening as pairs; one without a partner has its last answer as chosen and an earlier or a
-    neighbour's one as rejected."""
+    """Conversations of one opening as pairs; one without a partner is paired with itself as it would go with another
+    conversation's answer in place of its last. All pairs go through the one prefix search."""
     return format_preferences(table(spark, sf_dir, "conversations"), reject_others=True)
 
 

@@ -261,9 +261,69 @@ def test_preferences_query_has_pairs(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["pair_id"]: r for r in op10_preferences(spark, str(tmp_path)).collect()}
     counts = lambda r: (r["n_prompt"], r["n_chosen"], r["n_rejected"], r["rejected_conv"])
-    assert counts(got[1]) == (3, 1, 1, 1) and "old" in got[1]["rejected"] and "new" in got[1]["chosen"]
+    assert counts(got[1]) == (3, 1, 1, 2) and "only" in got[1]["rejected"] and "new" in got[1]["chosen"]  # not what the prompt shows
     assert counts(got[2]) == (1, 2, 1, 1) and "new" in got[2]["rejected"] and len(got[2]["chosen_mask"]) == 1
     assert counts(got[3]) == (1, 0, 0, None)
+    assert got[1]["prefix_turns"] == 3 and got[2]["prefix_turns"] == 1
+
+
+def test_lent_answers_against_a_plain_version(spark):
+    """All pairs of the table, and conversations with gaps, repeats, runs of answers and no answer: both sides are whole
+    conversations, and their longest common prefix is searched turn by turn."""
+    from ledgerlens.llm.queries import table
+
+    rng, made = random.Random(29), []
+    for c in range(60):
+        for t in sorted(rng.sample(range(-1, 140), rng.choice([1, 2, 5, 60]))):
+            made.append((c, t, rng.choice(["user", "assistant", "assistant"]), f"o{c}" if t < 3 else rng.choice(["yes", "no", f"a{c} {t}"])))
+    real = [tuple(r) for r in table(spark, "/root/testdata/sf0.01", "conversations").select("conv_id", "turn", "role", "text").collect()]
+    say = lambda ts: "".join(f"<|{r}|>\n{x}\n<|end|>\n" for _, (r, x) in ts)
+    for rows in (made + made[:100], real):
+        held = {}
+        for c, t, role, text in sorted(rows, key=lambda r: r[0]):
+            held.setdefault(c, {})[t] = min(held.get(c, {}).get(t, (role, text)), (role, text))
+        got = format_preferences(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), reject_others=True).collect()
+        parts = {}
+        for r in got:
+            parts.setdefault(r["pair_id"], []).append(r)
+        answered = {c: max((t for t in told if told[t][0] == "assistant"), default=None) for c, told in held.items()}
+        openings = {}
+        for c, told in held.items():
+            openings.setdefault(told[min(told)], []).append(c)
+        lent = 0
+        for pair, mine in parts.items():
+            mine.sort(key=lambda r: r["part"])
+            side = lambda name: "".join(r[name] or "" for r in mine)
+            chosen = next(r["chosen_conv"] for r in mine if r["chosen_conv"] is not None)
+            a, lender = held[chosen], next((r["rejected_conv"] for r in mine if r["rejected_conv"] is not None), None)
+            if len(openings[a[min(a)]]) > 1 or answered[chosen] is None:
+                continue
+            place = answered[chosen]
+            assert lender is not None and lender != chosen
+            b = {**{t: x for t, x in a.items() if t < place}, place: held[lender][answered[lender]]}
+            fork = next(t for t in sorted(set(a) | set(b)) if a.get(t) != b.get(t))
+            assert side("prompt") == say(x for x in sorted(a.items()) if x[0] < fork) and side("chosen") == say(x for x in sorted(a.items()) if x[0] >= fork)
+            assert side("rejected") == say(x for x in sorted(b.items()) if x[0] >= fork) and side("rejected")
+            assert sum(1 for t in a if t < fork) == mine[0]["prefix_turns"]
+            lent += 1
+        assert lent > 20
+    one = [(1, 0, "user", "a"), (1, 1, "assistant", "old"), (1, 2, "user", "b"), (1, 3, "assistant", "new")]
+    r = format_preferences(spark.createDataFrame(one, "conv_id long, turn int, role string, text string"), reject_others=True).first()
+    assert (r["n_prompt"], r["n_chosen"], r["n_rejected"], r["rejected_conv"]) == (3, 1, 1, 1) and "old" in r["rejected"]  # nobody else's
+    r = format_preferences(spark.createDataFrame(one[:2] * 3, "conv_id long, turn int, role string, text string"), reject_others=True).first()
+    assert (r["n_prompt"], r["n_chosen"], r["n_rejected"]) == (1, 1, 0)
+
+
+def test_pairs_of_a_hot_opening(spark):
+    from ledgerlens.llm.preferences import pair_by_opening
+
+    turns = spark.range(1001).selectExpr("id as conv_id", "0L as turn", "'user' as role", "if(id % 3 = 0, 'hot', concat('o', id % 50)) as text")
+    opening = {r["conv_id"]: r["text"] for r in turns.collect()}
+    pairs = pair_by_opening(turns, deal_rows=10).collect()
+    seen = [c for r in pairs for c in (r["chosen"], r["rejected"]) if c is not None]
+    assert sorted(seen) == list(range(1001)) and all(opening[r["chosen"]] == opening[r["rejected"]] for r in pairs if r["rejected"] is not None)
+    lone = [opening[r["chosen"]] for r in pairs if r["rejected"] is None]
+    assert len(lone) == len(set(lone))  # one of each opening at most
 
 
 def test_stages_keep_columns_and_take_effect(spark, frame):
