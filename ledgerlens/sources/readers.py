@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.schema import from_json_text
+from ledgerlens.sources import listing
 
 READABLE = {"pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image", "webp": "image", "tif": "image", "tiff": "image", "bmp": "image", "json": "json"}
 MAX_FILE_BYTES, MAX_FILES, MAX_PAGES, MIN_TEXT_CHARS = 25 * 1024 * 1024, 50, 30, 40
@@ -38,14 +41,20 @@ def first_pages(words: DataFrame, most: int = MAX_PAGES) -> DataFrame:
     return words.filter(F.col("page") <= most)
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """All files below a path with their route. Spark's scan skips files without bytes, so those that only its listing has
-    are added as rows of length 0."""
+def read_files(spark: SparkSession, path: str, pattern: str = "*", content: bool = True, slices: int = 16) -> DataFrame:
+    """All files below a path with their route: path, modificationTime, length, content, suffix, reader, error. They are listed
+    and read in tasks (`listing.FolderFiles`), so those without bytes and those that cannot be read are rows as well.
+    In a store that only Spark can reach they are read by its own scan, which passes over files without bytes."""
+    if listing.can_list(path):
+        options = {"path": path if ":" in path else os.path.abspath(path), "pattern": pattern, "content": str(content).lower(), "slices": slices, "maxBytes": MAX_FILE_BYTES}
+        return routed(spark.read.format(listing.register(spark)).options(**options).load())
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "name string")
-    bare = F.regexp_replace(F.url_decode(F.regexp_replace("name", r"\+", "%2B")), "^file:/+", "file:/")
-    empty = listed.select(bare.alias("path")).join(files.select("path"), "path", "left_anti").withColumn("length", F.lit(0).cast("long"))
-    return route_files(files.unionByName(empty, allowMissingColumns=True))
+    return route_files(files if content else files.withColumn("content", F.lit(None).cast("binary")))
+
+
+def routed(files: DataFrame) -> DataFrame:
+    """Rows of the listing with their route; what kept a file from being read is its error."""
+    return route_files(files).withColumn("error", F.coalesce("problem", "error")).drop("problem")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ledgerlens.operators.classify import verdict
 from ledgerlens.operators.rules import audit
 from ledgerlens.operators.schema import from_json_text
+from ledgerlens.sources import listing, readers
 from ledgerlens.sources.readers import stem
 
 
@@ -20,6 +21,18 @@ def arriving(spark: SparkSession, folder: str, files_per_trigger: int = 1000) ->
     return from_json_text(text.select(stem(F.col("_metadata.file_name")).alias("doc_id"), "value"))
 
 
+def arriving_files(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """A stream of all files with their route (`readers.routed`), of those that cannot be read as well; options as in
+    `listing.FolderFiles`."""
+    return readers.routed(spark.readStream.format(listing.register(spark)).options(path=folder, maxBytes=readers.MAX_FILE_BYTES, **options).load())
+
+
+def invoices(files: DataFrame) -> DataFrame:
+    """The invoice records among routed files."""
+    sound = files.filter("error is null and reader = 'json'")
+    return from_json_text(sound.select(stem(F.col("path")).alias("doc_id"), F.col("content").cast("string").alias("value")))
+
+
 def audited(stream: DataFrame, as_of: str) -> DataFrame:
     """The same audit as over a table: it has no state, so it runs on a stream as it is."""
     return audit(stream, as_of).withColumn("estado", verdict())

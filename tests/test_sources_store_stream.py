@@ -82,3 +82,70 @@ def test_stream(spark, folder):
     audit_stream.to_batches(stream, sink, str(folder / "state")).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert sorted((r["doc_id"], r["estado"]) for r in rows) == [("doc0", "conforme"), ("doc1", "no_conforme"), ("doc2", "no_conforme")] and len({r["part"] for r in rows}) == 3
+
+
+def test_ten_thousand_files_are_listed_in_tasks(spark, tmp_path):
+    """The same rows as Spark's own scan, and besides those of files without bytes; each once, dealt over the tasks."""
+    for k in range(10_000):
+        folder = tmp_path / ("flat" if k % 2 else f"a{k % 6}/b{k % 5}/c")
+        if k < 60:
+            folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"f {k}é+%.json").write_bytes(b"" if k % 100 == 7 else str(k).encode())
+    (tmp_path / "_hidden").write_text("x")
+    (tmp_path / "flat" / ".hidden.json").write_text("x")
+    got = readers.read_files(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).collect()
+    rows = {r["path"]: (r["length"], bytes(r["content"])) for r in got}
+    assert len(got) == len(rows) == 10_000 and {p: v for p, v in rows.items() if v[0]} == {r["path"]: (r["length"], bytes(r["content"])) for r in scan}
+    assert sum(r["error"] == "empty file" for r in got) == 100 and all((r["error"] is None) == (r["length"] > 0) for r in got)
+    assert len({r["task"] for r in got}) == 16 and max(sum(r["task"] == t for r in got) for t in range(16)) < 3_000
+    changed = {r["path"]: r["modificationTime"] for r in scan}
+    assert all(abs((r["modificationTime"] - changed[r["path"]]).total_seconds()) < 0.01 for r in got if r["length"])
+    for depth in (1, 3, 9):
+        again = spark.read.format("folder_files").options(path=str(tmp_path), depth=depth, slices=5, content="false").load()
+        assert {r["path"] for r in again.collect()} == set(rows) and again.count() == 10_000
+
+
+def test_files_of_any_state_and_pattern(spark, tmp_path):
+    import os
+
+    (tmp_path / "a.json").write_text("{}")
+    (tmp_path / "b.PDF").write_bytes(b"%" * 40)
+    (tmp_path / "c.txt").write_text("x")
+    os.mkfifo(tmp_path / "pipe.json")
+    os.symlink(tmp_path / "nowhere", tmp_path / "broken.json")  # a link to nothing is no file
+    got = {r["path"].rsplit("/", 1)[1]: r for r in readers.read_files(spark, str(tmp_path)).collect()}
+    assert got["pipe.json"]["content"] is None and got["pipe.json"]["error"] == "not a file that can be read"
+    assert (got["b.PDF"]["reader"], got["b.PDF"]["error"], len(got["b.PDF"]["content"])) == ("pdf", None, 40) and got["c.txt"]["error"] == "unsupported suffix: txt"
+    names = lambda **kw: sorted(r["path"].rsplit("/", 1)[1] for r in readers.read_files(spark, f"file:{tmp_path}", **kw).collect())
+    assert names(pattern="*.{json,txt}") == ["a.json", "c.txt", "pipe.json"] and names(pattern="[ab].*", content=False) == ["a.json", "b.PDF"]
+    large = spark.read.format("folder_files").options(path=str(tmp_path), maxBytes=10, pattern="b*").load().first()
+    assert large["length"] == 40 and large["content"] is None
+    one = readers.read_files(spark, str(tmp_path / "a.json")).collect()
+    assert len(one) == 1 and bytes(one[0]["content"]) == b"{}"
+    (tmp_path / "none").mkdir()
+    assert readers.read_files(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="no such path"):
+        readers.read_files(spark, str(tmp_path / "missing")).count()
+
+
+def test_files_arrive_once(spark, folder):
+    """Two runs over one checkpoint: each file comes once, rejects too, and the records among them give the table's audit."""
+    import time
+
+    home, seen = str(folder / "seen"), lambda: spark.read.parquet(str(folder / "seen")).collect()
+
+    def run():
+        time.sleep(0.5)
+        stream = audit_stream.arriving_files(spark, str(folder / "docs"), settle=0.2, slices=3)
+        stream.writeStream.format("parquet").option("path", home).option("checkpointLocation", str(folder / "state")).trigger(availableNow=True).start().awaitTermination(120)
+
+    run()
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in seen()) == ["doc0.json", "doc1.json", "doc2.json", "empty.pdf", "notes.txt"]
+    (folder / "docs" / "late.json").write_text(json.dumps({**SOUND, "numero": "L1"}))
+    run()
+    run()
+    rows = [r["path"].rsplit("/", 1)[1] for r in seen()]
+    assert sorted(rows) == ["doc0.json", "doc1.json", "doc2.json", "empty.pdf", "late.json", "notes.txt"]
+    found = lambda docs: sorted((r["doc_id"], r["estado"]) for r in audit_stream.audited(docs, "2025-06-01").collect())
+    assert found(audit_stream.invoices(spark.read.parquet(home))) == found(readers.read_documents(spark, str(folder / "docs" / "*.json")))
