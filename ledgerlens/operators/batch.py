@@ -8,18 +8,35 @@ from pyspark.sql.window import Window
 
 from ledgerlens.functions.money import cents
 from ledgerlens.operators.classify import verdict
-from ledgerlens.operators.rules import exploded
 
 RETAINED, TOP = 100, 10
 
 
+def _by_code(findings: str = "findings") -> Column:
+    """Structs (code, times, ord, severity) of one document: how often it has a code, and its first finding of that code."""
+    # wrapped in arrays of one, what a lambda names is evaluated once
+    once = lambda value, then: F.transform(F.array(value), then)[0]
+    placed = F.transform(findings, lambda f, i: F.struct(f["code"].alias("code"), i.alias("ord"), f["severity"].alias("severity")))
+
+    def counted(all_of: Column) -> Column:
+        def of(code: Column) -> Column:
+            mine = F.filter(all_of, lambda f: f["code"].eqNullSafe(code))
+            return once(mine, lambda m: F.struct(m[0]["code"].alias("code"), F.size(m).cast("long").alias("times"), m[0]["ord"].alias("ord"), m[0]["severity"].alias("severity")))
+
+        return F.transform(F.array_distinct(F.transform(all_of, lambda f: f["code"])), of)
+
+    return once(placed, counted)
+
+
 def top_findings(audited: DataFrame, order: str = "doc_id", limit: int = TOP) -> DataFrame:
-    """code, severity, times, documents: the most frequent findings, those that appear first before others on a tie."""
-    rows = exploded(audited)
-    first = F.min(F.struct(F.col(order).alias("doc"), "ord"))
+    """code, severity, times, documents: the most frequent findings, those that appear first before others on a tie. Each row
+    of `audited` is a document. Codes are counted inside it, so only one partial row per task and code is shuffled."""
+    # an inner explode would have Spark infer a filter on the array and evaluate the whole audit a second time for it
+    rows = audited.select(F.col(order).alias("doc"), F.explode_outer(_by_code()).alias("c")).filter("c is not null").select("doc", "c.*")
+    first = F.struct("doc", "ord")
     return (
         rows.groupBy("code")
-        .agg(F.count("*").alias("times"), F.count_distinct("doc_id").alias("documents"), F.min_by("severity", F.struct(order, "ord")).alias("severity"), first.alias("first"))
+        .agg(F.sum("times").alias("times"), F.count("*").alias("documents"), F.min_by("severity", first).alias("severity"), F.min(first).alias("first"))
         .orderBy(F.desc("times"), "first")
         .limit(limit)
         .select("code", "severity", "times", "documents")

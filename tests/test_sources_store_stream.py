@@ -149,3 +149,20 @@ def test_files_arrive_once(spark, folder):
     assert sorted(rows) == ["doc0.json", "doc1.json", "doc2.json", "empty.pdf", "late.json", "notes.txt"]
     found = lambda docs: sorted((r["doc_id"], r["estado"]) for r in audit_stream.audited(docs, "2025-06-01").collect())
     assert found(audit_stream.invoices(spark.read.parquet(home))) == found(readers.read_documents(spark, str(folder / "docs" / "*.json")))
+
+
+def test_top_findings_of_repeats_and_ties(spark):
+    """Codes repeated inside a document, ties, documents without findings and without a list, against plain counts."""
+    from ledgerlens.operators.batch import top_findings
+
+    docs = [(k, [(f"C{(k * j) % 5}", f"s{k}{j}") for j in range(k % 7)] if k % 11 else None) for k in range(60)]
+    times, held, first = {}, {}, {}
+    for k, findings in docs:
+        for at, (code, severity) in enumerate(findings or []):
+            times[code] = times.get(code, 0) + 1
+            held.setdefault(code, set()).add(k)
+            first.setdefault(code, (k, at, severity))
+    expected = [(c, first[c][2], times[c], len(held[c])) for c in sorted(times, key=lambda c: (-times[c], first[c][:2]))]
+    frame = spark.createDataFrame(docs, "doc_id long, findings array<struct<code:string,severity:string>>").repartition(5)
+    assert [tuple(r) for r in top_findings(frame).collect()] == expected and [tuple(r) for r in top_findings(frame, limit=2).collect()] == expected[:2]
+    assert top_findings(frame.limit(0)).count() == 0
