@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerlens.functions.binding import let
+
 LINE_DRIFT, COLUMN_GAP, OCR_BAND, OVERLAP = 4.0, 9.0, 8.0, 0.3
 CHAR_WIDTH, LINE_HEIGHT = 5.0, 12.0
 
@@ -34,16 +36,38 @@ def plain_text_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def _fold(items: Column, kind: str, start: Column, step, finish=None, block: int = 512) -> Column:
+    """What a fold over `items` gives out: step(state, item) returns the next state and an array of items of type `kind`,
+    and finish(state) such an array. Spark copies the state of a fold at each item, so what is given out is gathered
+    within blocks, and those are joined: some n * block + n * n / block copies, not n * n."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, item: Column) -> Column:
+        state, given = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["out"], given).alias("out"))
+
+    def whole(array: Column) -> Column:
+        def part(acc: Column, at: Column) -> Column:
+            join = lambda inner: F.struct(inner["state"].alias("state"), F.concat(acc["out"], inner["out"]).alias("out"))
+            return F.aggregate(F.slice(array, at, block), F.struct(acc["state"].alias("state"), none.alias("out")), one, join)
+
+        places = F.when(F.size(array) > 0, F.sequence(F.lit(1), F.size(array), F.lit(block))).otherwise(F.array().cast("array<int>"))
+        last = lambda acc: F.concat(acc["out"], finish(acc["state"])) if finish else acc["out"]
+        return F.aggregate(places, F.struct(start.alias("state"), none.alias("out")), part, last)
+
+    return let(items, whole)
+
+
 def _anchored(sorted_words: Column, place, drift: float) -> Column:
     """Line numbers for words in reading order: a new line where a word is more than `drift` from the first of its line."""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("line"))
 
-    def step(acc: Column, w: Column) -> Column:
-        new = acc["anchor"].isNull() | (F.abs(place(w) - acc["anchor"]) > drift)
-        line = acc["line"] + new.cast("int")
-        return F.struct(F.when(new, place(w)).otherwise(acc["anchor"]).alias("anchor"), line.alias("line"), F.array_append(acc["out"], line).alias("out"))
+    def step(state: Column, w: Column) -> tuple[Column, Column]:
+        new = state["anchor"].isNull() | (F.abs(place(w) - state["anchor"]) > drift)
+        line = state["line"] + new.cast("int")
+        return F.struct(F.when(new, place(w)).otherwise(state["anchor"]).alias("anchor"), line.alias("line")), F.array(line)
 
-    return F.aggregate(sorted_words, start, step)["out"]
+    return _fold(sorted_words, "int", start, step)
 
 
 def visual_lines(words: DataFrame, drift: float = LINE_DRIFT) -> DataFrame:
@@ -86,15 +110,17 @@ def ocr_lines(words: DataFrame, band: float = OCR_BAND) -> DataFrame:
 def stitched(words: Column) -> Column:
     """Words of one line (array of struct text, x0, x1, height by x0) with split figures joined: a gap below a point and
     below 0.15 of the height between two numeric edges closes."""
-    edge_end, edge_start = r"[\d.,/-]$", r"^[\d.,/%-]"
+    edge_end, edge_start, kind = r"[\d.,/-]$", r"^[\d.,/%-]", "struct<text:string,x0:double,x1:double,height:double>"
+
+    none = F.array().cast(f"array<{kind}>")
 
-    def step(acc: Column, w: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        close = last.isNotNull() & (w["x0"] - last["x1"] < F.least(F.lit(1.0), 0.15 * w["height"])) & last["text"].rlike(edge_end) & w["text"].rlike(edge_start)
+    def step(last: Column, w: Column) -> tuple[Column, Column]:
+        close = F.coalesce((w["x0"] - last["x1"] < F.least(F.lit(1.0), 0.15 * w["height"])) & last["text"].rlike(edge_end) & w["text"].rlike(edge_start), F.lit(False))
         joined = F.struct(F.concat(last["text"], w["text"]).alias("text"), last["x0"].alias("x0"), w["x1"].alias("x1"), last["height"].alias("height"))
-        return F.when(F.coalesce(close, F.lit(False)), F.array_append(F.slice(acc, 1, F.size(acc) - 1), joined)).otherwise(F.array_append(acc, w))
+        return F.when(close, joined).otherwise(w), F.when(last.isNotNull() & ~close, F.array(last)).otherwise(none)
 
-    return F.aggregate(F.array_sort(words, lambda a, b: F.when(a["x0"] < b["x0"], -1).when(a["x0"] > b["x0"], 1).otherwise(0)), F.array().cast("array<struct<text:string,x0:double,x1:double,height:double>>"), step)
+    ordered = F.array_sort(words, lambda a, b: F.when(a["x0"] < b["x0"], -1).when(a["x0"] > b["x0"], 1).otherwise(0))
+    return _fold(ordered, kind, F.lit(None).cast(kind), step, lambda last: F.when(last.isNotNull(), F.array(last)).otherwise(none))
 
 
 def segments(words: DataFrame, gap: float = COLUMN_GAP) -> DataFrame:

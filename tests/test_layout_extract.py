@@ -24,6 +24,29 @@ def test_segments_split_at_more_than_nine_points(spark):
     assert sorted(r["text"] for r in layout.segments(words).collect()) == ["a b", "c"]
 
 
+def test_lines_of_a_long_page(spark):
+    """A page of 60,000 words in lines of some 50, each slanting: numbers as a plain loop gives them."""
+    heights = [20.0 * (k // 50) + 0.11 * (k % 50) for k in range(60_000)]
+    words = spark.range(60_000, numPartitions=4).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page"), F.col("id").cast("int").alias("ord"), F.lit("w").alias("text"), (F.col("id") % 50 * 10.0).alias("x0"), (F.floor(F.col("id") / 50) * 20.0 + F.col("id") % 50 * 0.11).alias("y0"), F.lit(False).alias("rotated"))
+    got = {r["ord"]: r["line"] for r in layout.visual_lines(words).select("ord", "line").toLocalIterator()}
+    line, anchor = -1, None
+    for ord_, height in enumerate(heights):
+        if anchor is None or height - anchor > layout.LINE_DRIFT:
+            line, anchor = line + 1, height
+        assert got[ord_] == line
+    assert len(got) == 60_000 and line == 2 * 60_000 // 50 - 1
+
+
+def test_stitching_of_long_and_empty_lines(spark):
+    """Blocks of the fold end at no figure: 1,000 words, of which each second one closes up with the one before."""
+    kind = "array<struct<text:string,x0:double,x1:double,height:double>>"
+    word = lambda k: F.struct(F.lit("1").alias("text"), (k * 10.0 - (k % 2) * 5.0).alias("x0"), (k * 10.0 - (k % 2) * 5.0 + 5.0).alias("x1"), F.lit(10.0).alias("height"))
+    frame = spark.range(1).select(layout.stitched(F.transform(F.sequence(F.lit(0), F.lit(999)), word)).alias("w"), layout.stitched(F.array().cast(kind)).alias("none"))
+    row = frame.first()
+    assert row["none"] == []
+    assert [(w["text"], w["x0"], w["x1"]) for w in row["w"]] == [("11", 20.0 * k, 20.0 * k + 10.0) for k in range(500)]
+
+
 def test_stitching(spark):
     cells = [("1", 0.0, 5.0, 10.0), ("60,00", 5.5, 20.0, 10.0), ("€", 20.4, 25.0, 10.0), ("7", 27.0, 30.0, 10.0)]
     frame = spark.createDataFrame([(1, cells)], "i int, ws array<struct<text:string,x0:double,x1:double,height:double>>")
