@@ -29,8 +29,8 @@ def cif_digit(seven: Column) -> Column:
     """Control digit of seven digits: those at odd places doubled, with the digits of the double added."""
     total = F.lit(0)
     for at in range(1, 8):
-        d = _digit(seven, at)
-        total = total + (F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2) if at % 2 else d)
+        d = F.substring(seven, at, 1)
+        total = total + (F.translate(d, "123456789", "246813579") if at % 2 else d).cast("int")
     return F.pmod(10 - total % 10, F.lit(10))
 
 
@@ -82,9 +82,14 @@ def _valid_us(value: Column) -> Column:
 
 def is_valid_tax_id(value: Column, country: Column) -> Column:
     """Whether the check digit holds, not just the form; false for null, empty and unknown countries."""
+    return let(clean_id(value), lambda bare: is_valid_clean(bare, country))
+
+
+def is_valid_clean(bare: Column, country: Column) -> Column:
+    """is_valid_tax_id() of what `clean_id` gives."""
     code = F.upper(country)
-    by_country = lambda bare: F.when(code == "ES", _valid_es(bare)).when(code == "UK", _valid_uk(bare)).when(code == "DE", _valid_de(bare)).when(code == "US", _valid_us(bare)).otherwise(False)
-    return F.coalesce(let(clean_id(value), by_country), F.lit(False))
+    by_country = F.when(code == "ES", _valid_es(bare)).when(code == "UK", _valid_uk(bare)).when(code == "DE", _valid_de(bare)).when(code == "US", _valid_us(bare)).otherwise(False)
+    return F.coalesce(by_country, F.lit(False))
 
 
 def complete_tax_id(number: Column, country: Column) -> Column:

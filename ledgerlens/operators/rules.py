@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.money import cents, near, share_cents
 from ledgerlens.functions.dates import iso_date
 from ledgerlens.functions.refdata import CODES, COUNTRIES, NON_INVOICE_CUES, SURCHARGE_RATES, TAX_RATES
-from ledgerlens.functions.taxid import foreign_prefix, is_valid_tax_id
+from ledgerlens.functions.taxid import clean_id, foreign_prefix, is_valid_clean
 
 ERROR, WARNING, INFO = "error", "aviso", "info"
 FINDING = "struct<code:string,severity:string,field:string,expected:string,found:string>"
@@ -77,7 +77,9 @@ def none() -> Column:
 
 
 def listed(*items: Column) -> Column:
-    return F.array_compact(F.array(*items)).cast(f"array<{FINDING}>")
+    """Findings in order, null where a rule holds: `audit` drops those once for all blocks, since dropping them here would take
+    every rule out of generated code."""
+    return F.array(*items).cast(f"array<{FINDING}>")
 
 
 def money(in_cents: Column) -> Column:
@@ -130,7 +132,7 @@ def party_rules() -> Column:
         items.append(
             F.when(there & blank(nif), finding(f"{prefix}_SIN_ID", ERROR, f"{role}.nif"))
             .when(there & foreign, finding("RECEPTOR_ID_EXTRANJERO", INFO, "receptor.nif", found=nif))
-            .when(there & ~is_valid_tax_id(nif, F.col("pais")), finding(f"{prefix}_ID_INVALIDO", ERROR, f"{role}.nif", found=nif))
+            .when(there & ~is_valid_clean(F.col(f"_{role}_id"), F.col("pais")), finding(f"{prefix}_ID_INVALIDO", ERROR, f"{role}.nif", found=nif))
         )
         items.append(F.when(there & blank(F.col(f"{role}.nombre")), finding(f"{prefix}_SIN_NOMBRE", ERROR, f"{role}.nombre")))
     ours, theirs = F.upper(F.trim("emisor.nif")), F.upper(F.trim("receptor.nif"))
@@ -244,36 +246,58 @@ def other_tax_rules() -> Column:
     return F.concat(withholding, surcharges, totals)
 
 
-def audit(invoices: DataFrame, as_of: str | Column, country: str | None = None) -> DataFrame:
+#: The codes of each block of rules.
+BLOCK_CODES = {
+    "_head": ("SIN_NUMERO", "NUMERO_SIN_CIFRAS", "SIN_FECHA_EMISION", "EMISION_FUTURA", "VENCIMIENTO_ANTERIOR"),
+    "_parties": ("EMISOR_AUSENTE", "EMISOR_SIN_ID", "RECEPTOR_SIN_ID", "RECEPTOR_ID_EXTRANJERO", "EMISOR_ID_INVALIDO", "RECEPTOR_ID_INVALIDO", "EMISOR_SIN_NOMBRE", "RECEPTOR_SIN_NOMBRE", "EMISOR_IGUAL_RECEPTOR"),
+    "_rectified": ("RECTIFICATIVA_SIN_REFERENCIA", "TOTAL_NEGATIVO"),
+    "_body": ("SIN_LINEAS", "LINEA_MALFORMADA", "LINEA_SIN_IMPORTE", "LINEA_SIN_DESCRIPCION", "LINEA_CANTIDAD_INVALIDA", "LINEA_PRECIO_NEGATIVO", "LINEA_NO_CUADRA"),
+    "_base": ("SIN_BASE", "BASE_NO_CUADRA", "DESCUENTO_NO_CUADRA", "BASE_NETA_NO_CUADRA"),
+    "_tax": ("SIN_DESGLOSE_IMPUESTO", "TIPO_IMPUESTO_INEXISTENTE", "CUOTA_NO_CUADRA", "TRAMOS_NO_SUMAN_BASE", "IVA_EN_EXENTA", "EXENCION_SIN_MENCION"),
+    "_rest": ("RETENCION_NO_APLICABLE", "RETENCION_NO_CUADRA", "RECARGO_TIPO_INEXISTENTE", "RECARGO_NO_CUADRA", "SIN_TOTAL", "TOTAL_NO_CUADRA"),
+}
+
+
+def audit(invoices: DataFrame, as_of: str | Column, country: str | None = None, codes: tuple[str, ...] | None = None) -> DataFrame:
     """The input with `pais` upper-cased (ES where missing) and findings array<struct<code, severity, field, expected, found>>,
-    n_errors, n_warnings and valid. A recipient that is missing altogether yields no finding."""
+    n_errors, n_warnings and valid. A recipient that is missing altogether yields no finding.
+
+    With `codes`, findings and counts are of these codes only, and no block without one is evaluated."""
     day = F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of
     code = F.lit(country) if country else F.coalesce(F.nullif(F.col("pais"), F.lit("")), F.lit("ES"))
     zero = F.lit(0).cast("long")
     total_of = lambda array, field: F.coalesce(F.aggregate(array, zero, lambda acc, x: acc + F.coalesce(cents(x[field]), zero)), zero)
-    prepared = invoices.withColumn("pais", F.upper(code)).withColumns(
-        {
-            "_class": non_invoice_class(),
-            "_lines": total_of("lineas", "importe"),
-            "_taxes": total_of("iva", "cuota"),
-            "_surcharges": total_of("recargo", "cuota"),
-            "_held": F.coalesce(cents(F.col("retencion.cuota")), zero),
-            "_discount": F.coalesce(F.abs(cents(F.col("descuento.importe"))), zero),
-        }
-    )
+    helpers = {
+        "_class": non_invoice_class(),
+        "_lines": total_of("lineas", "importe"),
+        "_taxes": total_of("iva", "cuota"),
+        "_surcharges": total_of("recargo", "cuota"),
+        "_held": F.coalesce(cents(F.col("retencion.cuota")), zero),
+        "_discount": F.coalesce(F.abs(cents(F.col("descuento.importe"))), zero),
+        "_emisor_id": clean_id(F.trim("emisor.nif")),
+        "_receptor_id": clean_id(F.trim("receptor.nif")),
+    }
+    prepared = invoices.withColumn("pais", F.upper(code)).withColumns(helpers)
     blocks = {
-        "_head": F.concat(number_rules(), date_rules(day)),
-        "_parties": party_rules(),
-        "_body": F.concat(rectification_rules(), line_rules()),
-        "_base": base_rules(),
-        "_tax": tax_rules(),
-        "_rest": other_tax_rules(),
+        "_head": lambda: F.concat(number_rules(), date_rules(day)),
+        "_parties": party_rules,
+        "_rectified": rectification_rules,
+        "_body": line_rules,
+        "_base": base_rules,
+        "_tax": tax_rules,
+        "_rest": other_tax_rules,
     }
-    unsupported = listed(finding("PAIS_NO_SOPORTADO", ERROR, "pais", F.lit(str(sorted(CODES))), F.col("pais")))
-    other = F.concat(listed(finding("DOC_NO_ES_FACTURA", ERROR, "tipo_documento", F.lit("factura"), F.col("_class"))), F.col("_parties"))
-    chosen = F.when(~F.col("pais").isin(*CODES), unsupported).when(F.col("_class").isNotNull(), other).otherwise(F.concat(*blocks))
-    helpers = ["_class", "_lines", "_taxes", "_surcharges", "_held", "_discount", *blocks]
-    return with_counts(prepared.withColumns(blocks).withColumn("findings", chosen).drop(*helpers))
+    wanted = {name: rules() for name, rules in blocks.items() if codes is None or set(codes) & set(BLOCK_CODES[name])}
+    asked = lambda name, *items: [listed(*items)] if codes is None or name in codes else []
+    joined = lambda parts: F.concat(*parts) if parts else none()
+    unsupported = joined(asked("PAIS_NO_SOPORTADO", finding("PAIS_NO_SOPORTADO", ERROR, "pais", F.lit(str(sorted(CODES))), F.col("pais"))))
+    other = asked("DOC_NO_ES_FACTURA", finding("DOC_NO_ES_FACTURA", ERROR, "tipo_documento", F.lit("factura"), F.col("_class")))
+    other = joined([*other, *[F.col(name) for name in wanted if name == "_parties"]])
+    chosen = F.when(~F.col("pais").isin(*CODES), unsupported).when(F.col("_class").isNotNull(), other).otherwise(joined([F.col(name) for name in wanted]))
+    # asked for twice, so that Spark does not merge the rules into the filter, which has no generated code
+    real = F.filter("_found", lambda f: f.isNotNull() if codes is None else f["code"].isin(*codes))
+    found = prepared.withColumns(wanted).withColumn("_found", chosen).withColumn("findings", F.when(F.size("_found") > 0, real).otherwise(none()))
+    return with_counts(found.drop(*helpers, *wanted, "_found"))
 
 
 def with_counts(audited: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ the order key, so that every rule has cases.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +16,7 @@ from ledgerlens.functions.taxid import complete_tax_id
 from ledgerlens.operators.schema import LINE, TRANCHE, conform
 
 RATES = (0, 4, 10, 21, 5, 20, 7, 19, 3)
+RATES_IN_ORDER = ("cast(null as int)", *sorted(RATES))
 COUNTRY_BY_KEY = ("ES", "UK", "US", "DE")
 
 
@@ -51,28 +54,33 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = order_lines(spark, sf_dir)
     counted = F.when(~F.col("rota"), F.coalesce("importe", F.lit(0))).otherwise(0)
     line = F.struct("descripcion", F.col("cantidad").cast("decimal(18,4)").alias("cantidad"), euros(F.col("precio")).cast("decimal(18,4)").alias("precio_unitario"), euros(F.col("importe")).alias("importe")).cast(LINE)
-    by_tranche = lines.withColumn("contado", counted).groupBy("k", "pct").agg(F.sum("contado").alias("base"), F.collect_list(F.struct("i", F.when(~F.col("rota"), line).alias("line"))).alias("lines"), F.min("enviado").alias("enviado"), F.min(F.struct("i", "supp")).alias("first"))
-    kt = F.col("k") + F.col("pct")
-    quota = F.expr("(base * pct + 50) div 100") + F.when(_every(kt, 13), 7).otherwise(0)
-    tranche = F.struct(F.col("pct").cast("decimal(9,4)").alias("porcentaje"), euros(F.when(~_every(kt, 83), F.col("base"))).alias("base_imponible"), euros(F.col("quota")).alias("cuota"), F.lit(None).cast("string").alias("motivo"), _every("k", 23).alias("base_deducida")).cast(TRANCHE)
+    # one grouping: there are few rates, so a tranche is a pair of sums; a rate that is missing comes first
+    of_rate = [(F.lit(None).cast("int"), F.col("pct").isNull()), *((F.lit(r), F.col("pct") == r) for r in sorted(RATES))]
+    sums = [x for n, (_, mine) in enumerate(of_rate) for x in (F.count_if(mine).alias(f"n{n}"), F.sum(F.when(mine, F.col("contado"))).alias(f"base{n}"))]
     by_order = (
-        by_tranche.withColumn("quota", quota)
-        .withColumn("tranche", tranche)
+        lines.withColumn("contado", counted)
         .groupBy("k")
         .agg(
-            F.sum("base").alias("suma"),
-            F.sum("quota").alias("cuotas"),
-            F.array_sort(F.collect_list(F.struct("pct", "tranche"))).alias("ts"),
-            F.transform(F.array_sort(F.flatten(F.collect_list("lines"))), lambda x: x["line"]).alias("lineas"),
+            *sums,
+            F.sum("contado").alias("suma"),
+            F.sort_array(F.collect_list(F.struct("i", F.when(~F.col("rota"), line).alias("line"))))["line"].alias("lineas"),
             F.min("enviado").alias("enviado"),
-            F.min("first").alias("first"),
+            F.min(F.when(F.col("i") == 1, F.col("supp"))).alias("supp"),
         )
-        .withColumn("iva", F.transform("ts", lambda x: x["tranche"]))
     )
+    tranches, quotas = [], []
+    for n, (pct, _) in enumerate(of_rate):
+        base, there, kt = F.col(f"base{n}"), F.col(f"n{n}") > 0, F.col("k") + pct
+        quota = F.expr(f"(base{n} * {RATES_IN_ORDER[n]} + 50) div 100") + F.when(_every(kt, 13), 7).otherwise(0)
+        tranche = F.struct(pct.cast("decimal(9,4)").alias("porcentaje"), euros(F.when(~_every(kt, 83), base)).alias("base_imponible"), euros(quota).alias("cuota"), F.lit(None).cast("string").alias("motivo"), _every("k", 23).alias("base_deducida")).cast(TRANCHE)
+        tranches.append(F.when(there, tranche))
+        quotas.append(F.when(there, F.coalesce(quota, F.lit(0))).otherwise(0))
+    by_order = by_order.withColumns({"iva": F.array_compact(F.array(*tranches)), "cuotas": reduce(Column.__add__, quotas)})
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"), F.to_date("o_orderdate").alias("dia"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_name").alias("cliente"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supp"), F.col("s_name").alias("proveedor"))
-    df = orders.join(by_order, "k", "left").join(customers, "cust", "left").withColumn("supp", F.col("first.supp")).join(suppliers, "supp", "left")
+    # names first: orders are narrow as long as they have no lines
+    df = orders.join(customers, "cust", "left").join(by_order, "k", "left").join(suppliers, "supp", "left")
     k = F.col("k")
     df = df.withColumn("suma", F.coalesce("suma", F.lit(0))).withColumn("cuotas", F.coalesce("cuotas", F.lit(0)))
     df = df.withColumn("pais0", F.element_at(F.array(*[F.lit(c) for c in COUNTRY_BY_KEY]), (k % 4 + 1).cast("int")))
