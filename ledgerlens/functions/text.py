@@ -82,13 +82,13 @@ def looks_like_name(text: Column, amount_pattern: str) -> Column:
     """Whether a cell may be a company name: its first sign is a letter, it has three letters or more and at most seven words,
     no word of the form opens it, and it is neither address, contact, reference nor amount."""
 
-    def judge(plain: Column) -> Column:
-        cell = Cell(plain, F.split(plain, "[^a-z0-9_]+"))
+    def judge(read: Column) -> Column:
+        plain, cell = read["plain"], Cell(read["plain"], read["tokens"])
         letters = F.length(plain) - F.length(F.translate(plain, "abcdefghijklmnopqrstuvwxyz", ""))
         sound = F.substring(plain, 1, 1).between("a", "z") & (letters >= 3) & (F.size(F.split(F.trim(text), r"\s+")) <= 7)
         return sound & ~_begins(cell, R.NOT_A_NAME) & ~_is_address(cell) & ~_is_contact(cell) & ~_is_reference(cell) & ~text.rlike(amount_pattern)
 
-    return let(norm(text), judge)
+    return let(let(norm(text), lambda plain: F.struct(plain.alias("plain"), F.split(plain, "[^a-z0-9_]+").alias("tokens"))), judge)
 
 
 def format_amount(value: Column, country: Column) -> Column:

@@ -34,8 +34,9 @@ def document_type(text: Column) -> Column:
     return F.struct(F.coalesce(kind, F.lit("factura")).alias("kind"), F.when(kind.isNull(), 0.3).otherwise(0.9).alias("confidence"))
 
 
-def country_scores(text: Column) -> dict[str, Column]:
-    raw, plain = F.coalesce(text, F.lit("")), norm(F.coalesce(text, F.lit("")))
+def country_scores(text: Column, plain: Column | None = None) -> dict[str, Column]:
+    raw = F.coalesce(text, F.lit(""))
+    plain = norm(raw) if plain is None else plain
     has = lambda sign: F.when(F.contains(raw, F.lit(sign)), 1).otherwise(0)
     signs = {"ES": has("€"), "UK": has("£") * 3, "US": has("$") * 3, "DE": has("€")}
     points = lambda words: lambda text: sum((F.when(F.contains(text, F.lit(w)), 2).otherwise(0) for w in words), F.lit(0))
@@ -45,23 +46,28 @@ def country_scores(text: Column) -> dict[str, Column]:
 
 def detect_country(text: Column) -> Column:
     """The country with most points; the first in the order of the reference data on a tie, ES without any."""
-    scores = country_scores(text)
-    return F.array_max(F.array(*[F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(code).alias("code")) for rank, (code, score) in enumerate(scores.items())]))["code"]
+    ranked = lambda scores: F.array_max(F.array(*[F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(code).alias("code")) for rank, (code, score) in enumerate(scores.items())]))["code"]
+    return let(let(F.coalesce(text, F.lit("")), lambda raw: F.struct(raw.alias("raw"), norm(raw).alias("plain"))), lambda x: ranked(country_scores(x["raw"], x["plain"])))
 
 
 def mentions(lines: Column) -> Column:
     """struct(exencion, precios_con_iva, simplificada, rectificativa, rectifica_a) from an array of text lines."""
-    says = lambda pattern: F.exists(lines, lambda x: norm(x).rlike(pattern))
-    reference = r"(?i)rectifica\w*\s+(?:a\s+)?(?:la\s+)?factura\s+(?:n[º°]\s*)?([A-Za-z0-9][\w/\-.]*\d)(?:\s+de\s+(\d{1,2}/\d{1,2}/\d{2,4}))?"
-    named = F.filter(lines, lambda x: norm(x).rlike(R.RECTIFYING) & x.rlike(reference))
-    last = F.try_element_at(named, F.lit(-1))
-    return F.struct(
-        F.trim(F.try_element_at(F.filter(lines, lambda x: norm(x).rlike(R.EXEMPTION)), F.lit(1))).alias("exencion"),
-        says(R.TAX_INCLUDED).alias("precios_con_iva"),
-        says(R.SIMPLIFIED).alias("simplificada"),
-        says(R.RECTIFYING).alias("rectificativa"),
-        F.when(last.isNotNull(), F.concat_ws(" de ", F.regexp_extract(last, reference, 1), F.nullif(F.regexp_extract(last, reference, 2), F.lit("")))).alias("rectifica_a"),
-    )
+    pairs = F.transform(lines, lambda x: F.struct(x.alias("text"), norm(x).alias("plain")))
+
+    def read(rows: Column) -> Column:
+        says = lambda pattern: F.exists(rows, lambda x: x["plain"].rlike(pattern))
+        reference = r"(?i)rectifica\w*\s+(?:a\s+)?(?:la\s+)?factura\s+(?:n[º°]\s*)?([A-Za-z0-9][\w/\-.]*\d)(?:\s+de\s+(\d{1,2}/\d{1,2}/\d{2,4}))?"
+        named = F.filter(rows, lambda x: x["plain"].rlike(R.RECTIFYING) & x["text"].rlike(reference))
+        last = F.try_element_at(named, F.lit(-1))["text"]
+        return F.struct(
+            F.trim(F.try_element_at(F.filter(rows, lambda x: x["plain"].rlike(R.EXEMPTION)), F.lit(1))["text"]).alias("exencion"),
+            says(R.TAX_INCLUDED).alias("precios_con_iva"),
+            says(R.SIMPLIFIED).alias("simplificada"),
+            says(R.RECTIFYING).alias("rectificativa"),
+            F.when(last.isNotNull(), F.concat_ws(" de ", F.regexp_extract(last, reference, 1), F.nullif(F.regexp_extract(last, reference, 2), F.lit("")))).alias("rectifica_a"),
+        )
+
+    return let(pairs, read)
 
 
 def illegible() -> Column:

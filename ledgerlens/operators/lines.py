@@ -16,6 +16,9 @@ from ledgerlens.functions.taxid import is_valid_tax_id
 from ledgerlens.functions.text import norm
 from ledgerlens.operators.layout import CHAR_WIDTH, COLUMN_GAP, LINE_HEIGHT, stitched
 
+MOST_WALKED = 64
+_WORDS = "array<struct<text:string,x0:double,x1:double>>"
+
 
 def places(size: Column) -> Column:
     """0 to size - 1; empty for an empty array."""
@@ -44,8 +47,8 @@ def cells_of(words: Column, gap: float = COLUMN_GAP) -> Column:
     starts = F.filter(places(F.size(words)), lambda i: (i == 0) | (F.get(words, i)["x0"] - F.get(words, i - 1)["x1"] > gap))
 
     def cell(start: Column, stop: Column) -> Column:
-        held = F.slice(words, start + 1, stop - start)
-        return F.struct(join_digits(F.array_join(F.transform(held, lambda w: w["text"]), " ")).alias("text"), first_of(held)["x0"].alias("x0"), F.array_max(F.transform(held, lambda w: w["x1"])).alias("x1"), start.alias("first"))
+        joined = lambda held: let(F.array_join(held["text"], " "), join_digits)
+        return let(F.slice(words, start + 1, stop - start), lambda held: F.struct(joined(held).alias("text"), first_of(held)["x0"].alias("x0"), F.array_max(held["x1"]).alias("x1"), start.alias("first")))
 
     return let(starts, lambda s: F.transform(s, lambda start, k: cell(start, F.coalesce(F.get(s, k + 1), F.size(words)))))
 
@@ -62,7 +65,7 @@ def _line(page: Column, y: Column, turned: Column, words: Column) -> Column:
         plain = F.when(x["text"] == x["raw"], x["plain"]).otherwise(norm(x["text"]))
         return let(ws, lambda held: F.struct(page.alias("page"), y.cast("double").alias("y"), turned.alias("turned"), x["text"].alias("text"), plain.alias("plain"), held.alias("words"), cells_of(held).alias("cells")))
 
-    return let(let(words, lambda w: F.struct(w.alias("words"), F.array_join(F.transform(w, lambda x: x["text"]), " ").alias("text"))), normalised)
+    return let(let(words, lambda w: F.struct(w.alias("words"), F.array_join(w["text"], " ").alias("text"))), normalised)
 
 
 def text_lines(text: Column) -> Column:
@@ -70,8 +73,20 @@ def text_lines(text: Column) -> Column:
 
     def words(content: Column) -> Column:
         placed = lambda signs: F.filter(places(F.size(signs)), lambda i: (F.get(signs, i) != " ") & ((i == 0) | (F.get(signs, i - 1) == " ")))
-        starts = let(F.split(content, ""), placed)
-        return F.zip_with(F.regexp_extract_all(content, F.lit("[^ ]+"), F.lit(0)), starts, lambda w, at: F.struct(w.alias("text"), (at * CHAR_WIDTH).alias("x0"), ((at + F.length(w)) * CHAR_WIDTH).alias("x1")))
+        boxed = lambda starts: F.zip_with(F.regexp_extract_all(content, F.lit("[^ ]+"), F.lit(0)), starts, lambda w, at: F.struct(w.alias("text"), (at * CHAR_WIDTH).alias("x0"), ((at + F.length(w)) * CHAR_WIDTH).alias("x1")))
+
+        def walk(acc: Column, piece: Column) -> Column:
+            return let(acc["at"] + F.length(piece), lambda at: F.struct(at.alias("at"), F.array_append(acc["words"], word(piece, at)).alias("words")))
+
+        def word(piece: Column, stop: Column) -> Column:
+            return let(F.ltrim(piece), lambda w: F.struct(w.alias("text"), ((stop - F.length(w)) * CHAR_WIDTH).alias("x0"), (stop * CHAR_WIDTH).alias("x1")))
+
+        def dealt(pieces: Column) -> Column:
+            begin = F.struct(F.lit(0).alias("at"), F.array().cast(_WORDS).alias("words"))
+            # a walk over words costs less than one over signs, but what it gathers grows with their square
+            return F.when(F.size(pieces) <= MOST_WALKED, F.aggregate(pieces, begin, walk)["words"]).otherwise(let(F.split(content, ""), lambda signs: boxed(placed(signs))))
+
+        return let(F.regexp_extract_all(content, F.lit(" *[^ ]+"), F.lit(0)), dealt)
 
     plain = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\t\v\f\r\u00a0", "     ")
     rows = F.transform(F.split(plain, "\n"), lambda content, i: F.struct(content.alias("content"), i.alias("i")))

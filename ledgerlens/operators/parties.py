@@ -40,7 +40,10 @@ def recipient_label(lines: Column) -> Column:
         words = line["words"]
 
         def at(i: Column, width: int) -> Column:
-            label, last = gram(words, i, width), i + width - 1
+            return let(gram(words, i, width), lambda label: judged(label, i, width))
+
+        def judged(label: Column, i: Column, width: int) -> Column:
+            last = i + width - 1
             colon = F.get(words, last)["text"].endswith(":")
             before = F.coalesce(F.when(i + width > 1, F.get(words, last - 1)["plain"]), F.lit(""))
             after = F.get(words, last + 1)
@@ -65,16 +68,16 @@ def recipient_block(lines: Column, label: Column) -> Column:
         words, cells = line["words"], line["cells"]
         stop = lambda n: F.coalesce(F.get(cells, n + 1)["first"], F.size(words))
         beside = first_of(F.filter(F.transform(cells, lambda c, n: F.struct(n.alias("n"), F.greatest(c["first"], after).alias("at"), stop(n).alias("stop"))), lambda c: c["stop"] > after))
-        held = F.slice(words, beside["at"] + 1, beside["stop"] - beside["at"])
-        own = F.when(
+        own = lambda beside, held: F.when(
             beside.isNotNull() & ~F.regexp_replace(first_of(held)["plain"], "[.:]+$", "").isin(*R.LABEL_WORDS),
             F.struct(a["label"]["li"].alias("li"), beside["n"].alias("n"), F.array_join(F.transform(held, lambda w: w["text"]), " ").alias("text"), first_of(held)["x0"].alias("x0")),
         )
         x0 = F.get(words, a["label"]["start"])["x0"]
         near = lambda other: (other["page"] == line["page"]) & (other["y"] - line["y"] <= 30)
         under = F.transform(F.filter(F.slice(lines, a["label"]["li"] + 2, 2), near), lambda other: F.array_min(F.transform(F.filter(other["cells"], lambda c: c["x0"].between(x0 - 12, x0 + 80)), lambda c: c["x0"])))
-        column = F.coalesce(F.when(own.isNotNull(), own["x0"]).otherwise(first_of(F.array_compact(under))), x0)
-        return let(F.struct(a["label"]["li"].alias("li"), own.alias("own"), column.alias("column"), line["page"].alias("page"), line["y"].alias("y")), down)
+        taken = let(beside, lambda b: own(b, F.slice(words, b["at"] + 1, b["stop"] - b["at"])))
+        column = lambda o: F.coalesce(F.when(o.isNotNull(), o["x0"]).otherwise(first_of(F.array_compact(under))), x0)
+        return let(let(taken, lambda o: F.struct(a["label"]["li"].alias("li"), o.alias("own"), column(o).alias("column"), line["page"].alias("page"), line["y"].alias("y"))), down)
 
     def down(b: Column) -> Column:
         first = F.when(b["own"].isNotNull(), F.array(F.struct(b["own"]["li"].alias("li"), b["own"]["n"].alias("n"), b["own"]["text"].alias("text")))).otherwise(F.array()).cast(_CELL)
@@ -110,9 +113,13 @@ def by_tax_id(lines: Column, block: Column, country: Column) -> Column:
 
     def split(s: Column) -> Column:
         texts = F.transform(block, lambda c: F.struct(c["text"].alias("text"), F.get(ids_in(c["text"], country), F.lit(0)).alias("id")))
-        at = F.array_position(F.transform(texts, lambda t: t["id"].isNotNull()), True)
-        named = F.filter(F.transform(texts, lambda t, n: F.when((n + 1 != at) & _is_name(t["text"]), clean_name(t["text"]))), lambda t: t.isNotNull())
-        recipient = F.struct(first_of(named).alias("nombre"), F.when(at > 0, F.get(texts, at.cast("int") - 1)["id"]).alias("nif"))
+        placed = let(texts, lambda ts: F.struct(ts.alias("texts"), F.array_position(F.transform(ts, lambda t: t["id"].isNotNull()), True).alias("at")))
+
+        def read(b: Column) -> Column:
+            named = F.filter(F.transform(b["texts"], lambda t, n: F.when((n + 1 != b["at"]) & _is_name(t["text"]), clean_name(t["text"]))), lambda t: t.isNotNull())
+            return F.struct(first_of(named).alias("nombre"), F.when(b["at"] > 0, F.get(b["texts"], b["at"].cast("int") - 1)["id"]).alias("nif"))
+
+        recipient = let(placed, read)
         outside = F.filter(s["cells"], lambda c: ~F.exists(block, lambda b: (b["li"] == c["li"]) & (b["n"] == c["n"])))
         return let(F.struct(s["cells"].alias("cells"), outside.alias("outside"), recipient.alias("recipient")), issuer)
 

@@ -5,6 +5,7 @@ import collections
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import lines
 from ledgerlens.operators.rules import BLOCK_CODES, MESSAGES
 from ledgerlens.plans import rule_queries
 
@@ -28,3 +29,14 @@ def test_groups_are_parts_of_the_whole_audit(spark):
 def test_group_leaves_out_what_its_rules_do_not_ask(spark, capsys, name, unused):
     rule_queries.rule_query(name)(spark, SF).explain()
     assert unused not in capsys.readouterr().out
+
+
+def test_both_ways_of_placing_words_agree(spark, monkeypatch):
+    texts = ["", "  uno   dos ", "a", "Año  nº\t7  \n\n  " + "x yz  " * 70, "é" * 3 + " €  😀 fin", "   \n b", "w " * 64, "w " * 65]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    read = lambda: [r[0] for r in docs.coalesce(1).select(lines.text_lines(F.col("text"))).collect()]
+    walked = read()
+    monkeypatch.setattr(lines, "MOST_WALKED", 0)
+    assert read() == walked
+    words = walked[1][0]["words"]
+    assert [(w["text"], w["x0"], w["x1"]) for w in words] == [("uno", 10.0, 25.0), ("dos", 40.0, 55.0)]
