@@ -41,8 +41,7 @@ def _named(plain: Column) -> Column:
 
 def iso_date(text: Column) -> Column:
     """A date from the first ten characters of an ISO string; null if they are none."""
-    head = F.substring(text, 1, 10)
-    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, "yyyy-MM-dd"))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10).try_cast("date"))
 
 
 def day_first_to_iso(text: Column) -> Column:

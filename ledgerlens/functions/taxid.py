@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,36 +27,44 @@ def dni_letter(number: Column) -> Column:
     return _letter(R.DNI_LETTERS, F.pmod(number, F.lit(23)).cast("int"))
 
 
-def cif_digit(seven: Column) -> Column:
+#: What a doubled digit adds to the sum of digits, and a step of ISO 7064 mod 11,10: looked up, so that a digit stands once.
+_DOUBLED = [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
+_STEPS = [9, *(2 * total % 11 for total in range(1, 10))]
+
+
+def _looked_up(table: list[int], index: Column) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in table]), index)
+
+
+def _digits_of_text(text: Column, first: int, n: int) -> list[Column]:
+    return [_digit(text, at) for at in range(first, first + n)]
+
+
+def _digits_of_number(number: Column, n: int) -> list[Column]:
+    return [(F.floor(number / 10**place) % 10).cast("int") for place in reversed(range(n))]
+
+
+def cif_digit(seven: list[Column]) -> Column:
     """Control digit of seven digits: those at odd places doubled, with the digits of the double added."""
-    total = F.lit(0)
-    for at in range(1, 8):
-        d = F.substring(seven, at, 1)
-        total = total + (F.translate(d, "123456789", "246813579") if at % 2 else d).cast("int")
+    total = sum((d if at % 2 else _looked_up(_DOUBLED, d) for at, d in enumerate(seven)), F.lit(0))
     return F.pmod(10 - total % 10, F.lit(10))
 
 
-def vat_uk_control(seven: Column) -> Column:
+def vat_uk_control(seven: list[Column]) -> Column:
     """Two digits that bring the weighted sum to a multiple of 97."""
-    total = sum((_digit(seven, at) * (9 - at) for at in range(1, 8)), F.lit(0))
-    return 97 - total % 97
+    return 97 - sum((d * (8 - at) for at, d in enumerate(seven)), F.lit(0)) % 97
 
 
-def ust_digit(eight: Column) -> Column:
+def ust_digit(eight: list[Column]) -> Column:
     """ISO 7064 mod 11,10 over eight digits."""
-
-    def step(product: Column, at: Column) -> Column:
-        total = (F.substr(eight, at, F.lit(1)).cast("int") + product) % 10
-        return F.when(total == 0, 9).otherwise(2 * total % 11)
-
-    return (11 - F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(10), step)) % 10
+    return (11 - reduce(lambda product, d: _looked_up(_STEPS, (d + product) % 10), eight, F.lit(10))) % 10
 
 
 def _valid_es(value: Column) -> Column:
     bare = F.when(value.startswith("ES"), F.substr(value, F.lit(3))).otherwise(value)
     number = F.concat(F.translate(F.substring(bare, 1, 1), "XYZ", "012"), F.substring(bare, 2, 7))
     kind, control = F.substring(bare, 1, 1), F.substring(bare, 9, 1)
-    digit = cif_digit(F.substring(bare, 2, 7))
+    digit = cif_digit(_digits_of_text(bare, 2, 7))
     by_digit, by_letter = control == digit.cast("string"), control == _letter(R.CIF_LETTERS, digit)
     return (
         F.when(bare.rlike(r"^(\d{8}|[XYZ]\d{7})[A-Z]$"), dni_letter(number.cast("int")) == control)
@@ -69,11 +79,11 @@ def _valid_es(value: Column) -> Column:
 def _valid_uk(value: Column) -> Column:
     bare = F.when(value.startswith("GB"), F.substr(value, F.lit(3))).otherwise(value)
     total = sum((_digit(bare, at) * (9 - at) for at in range(1, 8)), F.substring(bare, 8, 2).cast("int"))
-    return F.when(bare.rlike(r"^\d{9}$"), (total % 97 == 0) | ((total + 55) % 97 == 0)).otherwise(False)
+    return F.when(bare.rlike(r"^\d{9}$"), (total % 97).isin(0, 97 - 55)).otherwise(False)
 
 
 def _valid_de(value: Column) -> Column:
-    return F.when(value.rlike(r"^DE\d{9}$"), ust_digit(F.substring(value, 3, 8)) == _digit(value, 11)).otherwise(False)
+    return F.when(value.rlike(r"^DE\d{9}$"), ust_digit(_digits_of_text(value, 3, 8)) == _digit(value, 11)).otherwise(False)
 
 
 def _valid_us(value: Column) -> Column:
@@ -94,20 +104,29 @@ def is_valid_clean(bare: Column, country: Column) -> Column:
 
 def complete_tax_id(number: Column, country: Column) -> Column:
     """A valid identifier made from a whole number (generators): CIF of kind B, GB, DE or EIN."""
-    digits = lambda n: F.lpad(F.pmod(number, F.lit(10**n)).cast("string"), n, "0")
+    last = lambda n: F.pmod(number, F.lit(10**n))
+    text = lambda n: F.lpad(last(n).cast("string"), n, "0")
     return (
-        F.when(country == "ES", let(digits(7), lambda d: F.concat(F.lit("B"), d, cif_digit(d).cast("string"))))
-        .when(country == "UK", let(digits(7), lambda d: F.concat(F.lit("GB"), d, F.lpad(vat_uk_control(d).cast("string"), 2, "0"))))
-        .when(country == "DE", let(digits(8), lambda d: F.concat(F.lit("DE"), d, ust_digit(d).cast("string"))))
-        .when(country == "US", F.concat(F.lit("12-"), digits(7)))
+        F.when(country == "ES", F.concat(F.lit("B"), text(7), cif_digit(_digits_of_number(last(7), 7)).cast("string")))
+        .when(country == "UK", F.concat(F.lit("GB"), text(7), F.lpad(vat_uk_control(_digits_of_number(last(7), 7)).cast("string"), 2, "0")))
+        .when(country == "DE", F.concat(F.lit("DE"), text(8), ust_digit(_digits_of_number(last(8), 8)).cast("string")))
+        .when(country == "US", F.concat(F.lit("12-"), text(7)))
     )
 
 
+def _own_prefix(country: Column) -> Column:
+    return F.coalesce(*[F.when(country == c.code, F.lit(c.own_prefix)) for c in R.COUNTRIES if c.own_prefix], F.lit("-"))
+
+
 def foreign_prefix(value: Column, country: Column) -> Column:
     """The prefix of a VAT number of another country, else null; in the US every such prefix is foreign."""
     prefix = F.regexp_extract(clean_id(value), "^([A-Z]{2})[0-9A-Z]{8,12}$", 1)
-    own = F.coalesce(*[F.when(country == c.code, F.lit(c.own_prefix)) for c in R.COUNTRIES if c.own_prefix], F.lit("-"))
-    return F.when((prefix != "") & (prefix != own), prefix)
+    return F.when((prefix != "") & (prefix != _own_prefix(country)), prefix)
+
+
+def is_foreign_clean(bare: Column, country: Column) -> Column:
+    """Whether `foreign_prefix` finds one, of what `clean_id` gives."""
+    return F.coalesce((F.substring(bare, 1, 2) != _own_prefix(country)) & bare.rlike("^[A-Z]{2}[0-9A-Z]{8,12}$"), F.lit(False))
 
 
 #: Forms of the identifiers: fixed values.

@@ -1,12 +1,16 @@
 """What a query need not do, so that its work stays small as tables grow."""
 
 import collections
+import decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.dates import iso_date
+from ledgerlens.functions.taxid import complete_tax_id, is_valid_tax_id
 from ledgerlens.operators import lines
-from ledgerlens.operators.rules import BLOCK_CODES, MESSAGES
+from ledgerlens.operators.rules import BLOCK_CODES, MESSAGES, audit
+from ledgerlens.operators.schema import conform
 from ledgerlens.plans import rule_queries
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +44,38 @@ def test_both_ways_of_placing_words_agree(spark, monkeypatch):
     assert read() == walked
     words = walked[1][0]["words"]
     assert [(w["text"], w["x0"], w["x1"]) for w in words] == [("uno", 10.0, 25.0), ("dos", 40.0, 55.0)]
+
+
+def test_audit_reads_each_text_and_date_once(spark):
+    plan = rule_queries.findings(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws(") == 1
+    assert "gettimestamp" not in plan  # dates of fixed form need no formatter
+
+
+def test_lines_at_the_edge_of_tolerance_are_judged_exactly(spark):
+    amounts = ["10.00", "10.02", "10.03", "9.98", "9.97", "-10.00", None, "9999999999999.99"]
+    lines_of = ", ".join(f"named_struct('descripcion', 'x', 'cantidad', {q}, 'precio_unitario', {p}, 'importe', {a or 'null'})" for q, p in (("2.5", "4.0018"), ("1", "10.0050"), ("1", "9999999999999.95")) for a in amounts)
+    made = conform(spark.sql(f"SELECT '1' AS doc_id, array({lines_of}) AS lineas"))
+    wrong = {f["field"] for f in audit(made, "2024-01-01").collect()[0]["findings"] if f["code"] == "LINEA_NO_CUADRA"}
+    half_up = decimal.Context(prec=60, rounding=decimal.ROUND_HALF_UP)
+    cents = lambda x: int(x.scaleb(2, half_up).quantize(decimal.Decimal(1), context=half_up))
+    expected, at = set(), 0
+    for q, p in (("2.5", "4.0018"), ("1", "10.0050"), ("1", "9999999999999.95")):
+        for a in amounts:
+            at += 1
+            if a and abs(cents(decimal.Decimal(a)) - cents(decimal.Decimal(q) * decimal.Decimal(p))) > 2:
+                expected.add(f"lineas[{at}].importe")
+    assert wrong == expected
+
+
+def test_iso_dates_are_of_fixed_form(spark):
+    texts = {"2024-02-29": "2024-02-29", "2024-02-29T10:00": "2024-02-29", "2023-02-29": None, "2024-1-01": None, "2024-01-1T": None, " 2024-01-1": None, "2024-13-01": None, "": None, "12024-01-01": None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", iso_date(F.col("t")).cast("string")).collect()
+    assert {r[0]: r[1] for r in rows} == texts
+
+
+def test_made_identifiers_are_valid_and_no_other_digit_is(spark):
+    made = spark.range(0, 3000, 7).withColumn("country", F.explode(F.array(*[F.lit(c) for c in ("ES", "UK", "DE")]))).withColumn("nif", complete_tax_id(F.col("id") * 104729, F.col("country")))
+    other = F.concat(F.expr("substr(nif, 1, length(nif) - 1)"), ((F.expr("right(nif, 1)").cast("int") + 1) % 10).cast("string"))
+    assert made.filter(~is_valid_tax_id(F.col("nif"), F.col("country")) | is_valid_tax_id(other, F.col("country"))).count() == 0
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
