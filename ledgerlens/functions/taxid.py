@@ -104,13 +104,12 @@ def is_valid_clean(bare: Column, country: Column) -> Column:
 
 def complete_tax_id(number: Column, country: Column) -> Column:
     """A valid identifier made from a whole number (generators): CIF of kind B, GB, DE or EIN."""
-    last = lambda n: F.pmod(number, F.lit(10**n))
-    text = lambda n: F.lpad(last(n).cast("string"), n, "0")
+    last = lambda n, made: let(F.pmod(number, F.lit(10**n)), lambda d: made(d, F.lpad(d.cast("string"), n, "0")))
     return (
-        F.when(country == "ES", F.concat(F.lit("B"), text(7), cif_digit(_digits_of_number(last(7), 7)).cast("string")))
-        .when(country == "UK", F.concat(F.lit("GB"), text(7), F.lpad(vat_uk_control(_digits_of_number(last(7), 7)).cast("string"), 2, "0")))
-        .when(country == "DE", F.concat(F.lit("DE"), text(8), ust_digit(_digits_of_number(last(8), 8)).cast("string")))
-        .when(country == "US", F.concat(F.lit("12-"), text(7)))
+        F.when(country == "ES", last(7, lambda d, text: F.concat(F.lit("B"), text, cif_digit(_digits_of_number(d, 7)).cast("string"))))
+        .when(country == "UK", last(7, lambda d, text: F.concat(F.lit("GB"), text, F.lpad(vat_uk_control(_digits_of_number(d, 7)).cast("string"), 2, "0"))))
+        .when(country == "DE", last(8, lambda d, text: F.concat(F.lit("DE"), text, ust_digit(_digits_of_number(d, 8)).cast("string"))))
+        .when(country == "US", F.concat(F.lit("12-"), F.lpad(F.pmod(number, F.lit(10**7)).cast("string"), 7, "0")))
     )
 
 

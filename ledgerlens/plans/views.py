@@ -6,6 +6,7 @@ the order key, so that every rule has cases.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,7 +51,8 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per order, in the shape of ledgerlens.operators.schema."""
-    euros = lambda c: (c / 100).cast("decimal(18,2)")
+    # cents times 0.01 stay whole numbers inside; a division would go by the text of a double
+    euros = lambda c: (c.cast("decimal(16,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
     lines = order_lines(spark, sf_dir)
     counted = F.when(~F.col("rota"), F.coalesce("importe", F.lit(0))).otherwise(0)
     line = F.struct("descripcion", F.col("cantidad").cast("decimal(18,4)").alias("cantidad"), euros(F.col("precio")).cast("decimal(18,4)").alias("precio_unitario"), euros(F.col("importe")).alias("importe")).cast(LINE)
@@ -63,7 +65,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             *sums,
             F.sum("contado").alias("suma"),
-            F.sort_array(F.collect_list(F.struct("i", F.when(~F.col("rota"), line).alias("line"))))["line"].alias("lineas"),
+            F.collect_list(F.struct("i", F.when(~F.col("rota"), line).alias("line"))).alias("filas"),
             F.min("enviado").alias("enviado"),
             F.min(F.when(F.col("i") == 1, F.col("supp"))).alias("supp"),
         )
@@ -73,9 +75,10 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         base, there, kt = F.col(f"base{n}"), F.col(f"n{n}") > 0, F.col("k") + pct
         quota = F.expr(f"(base{n} * {RATES_IN_ORDER[n]} + 50) div 100") + F.when(_every(kt, 13), 7).otherwise(0)
         tranche = F.struct(pct.cast("decimal(9,4)").alias("porcentaje"), euros(F.when(~_every(kt, 83), base)).alias("base_imponible"), euros(quota).alias("cuota"), F.lit(None).cast("string").alias("motivo"), _every("k", 23).alias("base_deducida")).cast(TRANCHE)
-        tranches.append(F.when(there, tranche))
+        tranches.append(F.when(there, F.array(tranche)).otherwise(F.array().cast(f"array<{TRANCHE}>")))
         quotas.append(F.when(there, F.coalesce(quota, F.lit(0))).otherwise(0))
-    by_order = by_order.withColumns({"iva": F.array_compact(F.array(*tranches)), "cuotas": reduce(Column.__add__, quotas)})
+    # tranches stand outside of any lambda and beside one: so they are generated code, and in methods small enough to be compiled
+    by_order = by_order.withColumns({"lineas": F.transform(F.sort_array("filas"), lambda x: x["line"]), "iva": F.concat(*tranches), "cuotas": reduce(Column.__add__, quotas)}).drop("filas")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"), F.to_date("o_orderdate").alias("dia"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_name").alias("cliente"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supp"), F.col("s_name").alias("proveedor"))

