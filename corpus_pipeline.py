@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import cut, table
+from ledgerlens.llm.common import cut, join_by_class, table
 from ledgerlens.llm.decontamination import find_leaks
 from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.merkle import field_bytes
@@ -59,8 +59,8 @@ def _one_of_each(docs: DataFrame, key: str, groups: DataFrame) -> DataFrame:
     ids = docs.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("id")).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
     members = cut(groups.select(F.col("doc_id").alias("key"), "group").distinct().join(ids, "key"))
     least = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"), F.count("*").alias("n"))
-    shared = cut(least.filter("n > 1").select("group", F.col("least.key").alias("stays")))
-    gone = members.join(shared, "group").filter("key <> stays").select(F.col("key").alias(key))
+    shared = cut(least.filter("n > 1").select("group", F.col("least.key").alias("stays"), "n"))
+    gone = join_by_class(members, shared, ["group"], "n").filter("key <> stays").select(F.col("key").alias(key))
     kept = docs.join(gone, key, "left_anti")
     if not members.filter("rows > 1").isEmpty():
         kept = kept.dropDuplicates([key])

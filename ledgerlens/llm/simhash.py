@@ -424,6 +424,20 @@ def _family_links(members: DataFrame, similarity: float, deal_bytes: int) -> Dat
     return sides.groupBy("family", "lo", "hi").applyInArrow(compare, "u long, v long")
 
 
+def _in_parts(placed: DataFrame) -> DataFrame:
+    """Of placed(family, node, root) the rows of families with more than one root. Those of a large family never meet in
+    one task."""
+    families = placed.groupBy("family").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"))
+    return join_by_class(placed, cut(families.filter("a <> b").select("family", "n")), ["family"], "n").drop("n")
+
+
+def _moved_on(roots: DataFrame, moved: DataFrame) -> DataFrame:
+    """roots(node, root), in which the roots that are nodes of moved(node, root) have gone over to theirs."""
+    new = moved.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    classes = cut(roots.groupBy("root").agg(F.count("*").alias("n")).join(new, "root", "left"))
+    return join_by_class(roots, classes, ["root"], "n").select("node", F.coalesce("new", "root").alias("root")).union(moved)
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 2, bucket_rows: int = 16_384, deal_bytes: int = 4 << 20) -> DataFrame:
     """One row per input row: doc_id, component_id (smallest doc_id reachable).
 
@@ -453,13 +467,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         chained = cut(components(edges.select("u", "v")))
         nodes = chained.select("node", F.col("root").alias("family")).union(chained.select("root", "root").distinct())
         placed = cut(nodes.join(roots, "node", "left").select("family", "node", F.coalesce("root", "node").alias("root")))
-        parted = placed.groupBy("family").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("family")
-        open_ = cut(placed.join(parted, "family", "left_semi"))
+        open_ = cut(_in_parts(placed))
         texts = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
         sets = texts.join(open_.select("node"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets(shingle), "node long, grams binary, size long")
         found = _family_links(open_.join(sets, "node"), similarity, deal_bytes)
-        moved = cut(components(cut(found)))
-        new = moved.select(F.col("node").alias("root"), F.col("root").alias("new"))
-        roots = cut(roots.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root")).union(moved))
+        roots = cut(_moved_on(roots, cut(components(cut(found)))))
     classes = points.join(roots, points["rep"] == roots["node"], "left").select("sig", F.coalesce("root", "rep").alias("component_id"), "n_rows")
     return join_by_class(rows, classes, ["sig"], "n_rows").select("doc_id", "component_id")

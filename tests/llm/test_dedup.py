@@ -12,7 +12,7 @@ import xxhash
 from ledgerlens.llm.bwt import longest_repeats
 from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.repeats import remove_repeats
-from ledgerlens.llm.simhash import near_duplicate_groups, simhash_groups, trie_pairs
+from ledgerlens.llm.simhash import _in_parts, _moved_on, near_duplicate_groups, simhash_groups, trie_pairs
 
 
 def words(rng, n, size=400):
@@ -244,3 +244,20 @@ def test_recall_of_near_pairs(frame):
     for size in (1, 30):
         hits = [got[i] == got[j] for i, j, s in pairs if s == size]
         assert sum(hits) >= 0.95 * len(hits), (size, sum(hits), len(hits))
+
+
+def test_large_family_does_not_meet_in_one_task(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = [(0, n, n % 2) for n in range(4000)]
+        placed = spark.createDataFrame(large + [(5000 + n, 5000 + n + k, 5000 + n + k) for n in range(0, 40, 2) for k in (0, 1)] + [(7000, 7000 + n, 7000) for n in range(50)], "family long, node long, root long").repartition(8)
+        found = _in_parts(placed)
+        assert max(map(len, found.rdd.glom().collect())) <= 1000
+        assert sorted(map(tuple, found.collect())) == sorted(x for x in map(tuple, placed.collect()) if x[0] != 7000)
+        roots = spark.createDataFrame([(n, 1) for n in range(2, 4000)] + [(9001, 9000), (9003, 9002)], "node long, root long").repartition(8)
+        moved = _moved_on(roots, spark.createDataFrame([(1, 0), (9002, 9000)], "node long, root long"))
+        assert max(map(len, moved.rdd.glom().collect())) <= 1000
+        assert sorted(map(tuple, moved.collect())) == [(n, 0) for n in range(1, 4000)] + [(n, 9000) for n in (9001, 9002, 9003)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
