@@ -30,8 +30,12 @@ def _reason(between: Column) -> Column:
 
 
 def _found(kind: str, between: Column, amount: Column, beside: bool) -> Column:
-    percent = F.nullif(F.regexp_extract(between, _PERCENT.replace(r"\s*%", "") + r"(?=\s*%)", 0), F.lit(""))
-    return F.struct(F.lit(kind).alias("kind"), percent.alias("pct"), amount.alias("amount"), _reason(between).alias("reason"), F.lit(beside).alias("beside"))
+    def read(between: Column) -> Column:
+        percent = F.when(F.contains(between, F.lit("%")), F.nullif(F.regexp_extract(between, _PERCENT.replace(r"\s*%", "") + r"(?=\s*%)", 0), F.lit("")))
+        reason = F.when(F.contains(between, F.lit("(")), _reason(between))
+        return F.struct(F.lit(kind).alias("kind"), percent.alias("pct"), amount.alias("amount"), reason.alias("reason"), F.lit(beside).alias("beside"))
+
+    return let(between, read)
 
 
 def _read_kind(kind: str, pattern: str, state: Column, following: Column) -> Column:

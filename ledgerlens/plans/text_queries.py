@@ -255,8 +255,8 @@ def totals_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = lambda c: format_amount((c / 100).cast("decimal(18,2)"), F.lit("ES"))
     tax = F.expr("(cast(round(o_totalprice * 100) as bigint) * 21 + 50) div 100")
     rows = F.array(F.concat(F.lit("Base imponible "), shown(base), F.lit(" €")), F.concat(F.lit("IVA 21% "), shown(tax), F.lit(" €")), F.concat(F.lit("Suplidos "), F.lit("12,50 €")), F.concat(F.lit("TOTAL A PAGAR: "), shown(base + tax + 1250), F.lit(" €")))
-    lines = spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.posexplode(rows).alias("line", "text")).withColumn("next", F.lit(None).cast("string"))
-    read = extract.totals(lines)
+    lines = F.transform(rows, lambda text: F.struct(text.alias("text"), F.lit(None).cast("string").alias("next")))
+    read = extract.totals_in(spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), lines.alias("lines")))
     first = F.get("iva", F.lit(0))
     return read.select("doc_id", "base", first["porcentaje"].cast("double").alias("pct"), first["cuota"].alias("cuota"), first["base"].alias("base_tramo"), "suplidos", "total")
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import iso_date
 from ledgerlens.functions.taxid import complete_tax_id, is_valid_tax_id
-from ledgerlens.operators import lines
+from ledgerlens.operators import extract, lines
 from ledgerlens.operators.rules import BLOCK_CODES, MESSAGES, audit
 from ledgerlens.operators.schema import conform
-from ledgerlens.plans import rule_queries
+from ledgerlens.plans import rule_queries, text_queries
 from ledgerlens.plans.views import invoices
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +86,12 @@ def test_generated_methods_of_invoices_are_small(spark):
     # the JVM compiles no method of over 8,000 bytes
     explained = spark._jvm.PythonSQLUtils.explainString(invoices(spark, SF)._jdf.queryExecution(), "codegen")
     assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", explained)), default=0) < 8000
+
+
+def test_totals_of_lines_in_a_row_need_no_grouping(spark):
+    plan = text_queries.totals_concepts(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [" not in plan and "Generate " not in plan
+    texts = ["Subtotal 1.000,00 €\nDescuento 10 % 100,00 €\nBase imponible neta 900,00\nIVA 21% 168,00 €\nTotal a pagar\n984,60 €", "IVA (EXENTO) 0,00 €\nIVA: 4 % (a) (isp) 1,00\nTotal 121,00", "IVA () 1,00\nTotal % 5,00", "", "nada"]
+    docs = spark.createDataFrame([(k, list(zip(t.split("\n"), [*t.split("\n")[1:], None]))) for k, t in enumerate(texts)] + [(9, [(None, None)])], "doc_id long, lines array<struct<text:string,next:string>>")
+    apart = docs.select("doc_id", F.posexplode("lines").alias("line", "x")).select("doc_id", "line", "x.text", "x.next")
+    assert sorted(map(str, extract.totals_in(docs).collect())) == sorted(map(str, extract.totals(apart).collect()))
