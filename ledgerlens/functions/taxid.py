@@ -61,7 +61,10 @@ def ust_digit(eight: list[Column]) -> Column:
 
 
 def _valid_es(value: Column) -> Column:
-    bare = F.when(value.startswith("ES"), F.substr(value, F.lit(3))).otherwise(value)
+    return let(F.when(value.startswith("ES"), F.substr(value, F.lit(3))).otherwise(value), _valid_bare_es)
+
+
+def _valid_bare_es(bare: Column) -> Column:
     number = F.concat(F.translate(F.substring(bare, 1, 1), "XYZ", "012"), F.substring(bare, 2, 7))
     kind, control = F.substring(bare, 1, 1), F.substring(bare, 9, 1)
     digit = cif_digit(_digits_of_text(bare, 2, 7))
@@ -148,3 +151,15 @@ def valid_ids_in(text: Column, country: Column) -> Column:
     found = [F.when(country == code, F.regexp_extract_all(upper, F.lit(rf"\b(?:{own}|[A-Z]?\d{{7,8}}[A-Z]?)\b"), F.lit(0))) for code, own in shapes.items()]
     return F.array_distinct(F.filter(F.coalesce(*found, F.array().cast("array<string>")), lambda x: is_valid_tax_id(x, country)))
 
+
+#: What `valid_ids_in` finds in any country, but for the numbers of the US that are written with a dash.
+_ID_ANY = r"\b(?:GB|DE|[A-Z])?[0-9]{7,9}[A-Z]?\b"
+_ID_US = r"\b(?!" + "|".join(R.EIN_UNASSIGNED) + r")[0-9]{2}-?[0-9]{7}\b"
+
+
+def holds_valid_ids(text: Column) -> Column:
+    """struct(ES, UK, US, DE): whether `valid_ids_in` finds any in that country; the text is searched once for three of them."""
+    tests = {"ES": _valid_es, "UK": _valid_uk, "DE": _valid_de}
+    found = lambda ids, test: F.exists(ids, lambda x: F.coalesce(test(x), F.lit(False)))
+    holds = lambda upper, ids: F.struct(*[(found(ids, tests[code]) if code in tests else upper.rlike(_ID_US)).alias(code) for code in R.CODES])
+    return let(F.upper(text), lambda upper: let(F.regexp_extract_all(upper, F.lit(_ID_ANY), F.lit(0)), lambda ids: holds(upper, ids)))

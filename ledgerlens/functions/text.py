@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import reduce
-from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,14 +16,20 @@ _PAIRS = [(chr(c), d[0]) for c in range(0xC0, 0x250) if len(d := unicodedata.nor
 MARKED, BARE = ("".join(x) for x in zip(*_PAIRS, strict=True))
 
 
+#: What `strip_accents` changes; all of MARKED lies in this range.
+MARKED_SIGN = r"[\u00c0-\u024f\p{Mn}]"
+#: Runs of white space but single blanks, which stay as they are.
+_RUNS = r"(?U) *[\s&&[^ ]]\s*| {2,}\s*"
+
+
 def strip_accents(text: Column) -> Column:
     """Letters without their marks; combining marks that stand alone go too."""
-    return let(text, lambda x: F.when(F.length(x) == F.octet_length(x), x).otherwise(F.regexp_replace(F.translate(x, MARKED, BARE), r"\p{Mn}", "")))
+    return let(text, lambda x: F.when((F.length(x) == F.octet_length(x)) | ~x.rlike(MARKED_SIGN), x).otherwise(F.regexp_replace(F.translate(x, MARKED, BARE), r"\p{Mn}", "")))
 
 
 def norm(text: Column) -> Column:
     """Bare lower-case letters, runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(strip_accents(text)), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(strip_accents(text)), _RUNS, " "))
 
 
 def norm_label(text: Column) -> Column:
@@ -39,56 +44,37 @@ def compact(text: Column) -> Column:
 
 def clean_name(text: Column) -> Column:
     """What stands before a dash between blanks, without ornaments."""
-    return F.btrim(F.get(F.split(F.trim(text), r"\s+[—–]\s+"), F.lit(0)), F.lit(" :|·ꞏ,"))
-
-
-class Cell(NamedTuple):
-    """A cell as the name test sees it: its bare text and the runs of letters and digits in it."""
-
-    plain: Column
-    tokens: Column
-
-
-def _begins(cell: Cell, vocabulary: tuple[str, ...]) -> Column:
-    return reduce(Column.__or__, [cell.plain.startswith(w) for w in vocabulary])
-
+    bare = F.trim(text)
+    return F.btrim(F.when(bare.rlike("[—–]"), F.get(F.split(bare, r"\s+[—–]\s+"), F.lit(0))).otherwise(bare), F.lit(" :|·ꞏ,"))
 
-def _has_word(cell: Cell, vocabulary: tuple[str, ...]) -> Column:
-    return F.arrays_overlap(cell.tokens, F.array(*[F.lit(w) for w in vocabulary]))
 
+def _one_of(words: tuple[str, ...]) -> str:
+    return "|".join(re.escape(word) for word in words)
 
-def _digits(token: Column) -> Column:
-    return F.translate(token, "0123456789", "") == ""
 
-
-def _is_address(cell: Cell) -> Column:
-    """It begins with a kind of street, or has a post code (five digits by themselves), a house number behind a comma, or a
-    word that stands for one."""
-    post_code = F.exists(cell.tokens, lambda t: (F.length(t) == 5) & _digits(t))
-    house = F.exists(F.slice(F.split(cell.plain, ","), 2, 1 << 20), lambda part: _digits(F.substring(F.ltrim(part), 1, 1)) & (F.ltrim(part) != ""))
-    return _begins(cell, R.STREET_WORDS) | post_code | house | _has_word(cell, ("km",)) | cell.plain.contains("s/n")
-
-
-def _is_contact(cell: Cell) -> Column:
-    return reduce(Column.__or__, [cell.plain.contains(sign) for sign in R.CONTACT_SIGNS]) | _has_word(cell, R.CONTACT_WORDS)
-
-
-def _is_reference(cell: Cell) -> Column:
-    """A law is named, or a token is a digest: sixteen signs or more, all of them hexadecimal."""
-    return _has_word(cell, R.LAW_WORDS) | F.exists(cell.tokens, lambda t: (F.length(t) >= 16) & (F.translate(t, "0123456789abcdef", "") == ""))
+#: A word by itself, of letters, digits and underscores.
+_ALONE = r"(?<![a-z0-9_])(?:{})(?![a-z0-9_])"
+#: The first sign is a letter, and two more follow.
+_LETTERS = "^[a-z](?:[^a-z]*+[a-z]){2}"
+#: Blanks between eight words.
+_EIGHT_WORDS = r"^\S*+(?:\s++\S++){6}\s"
+#: What no company name has. An address begins with a kind of street, or has a post code (five digits by themselves), a house
+#: number behind a comma, or a word that stands for one; a contact has its signs and words; a reference names a law or
+#: holds a digest (sixteen signs or more by themselves, all of them hexadecimal).
+_NO_NAME = "|".join(
+    (
+        f"^(?:{_one_of((*R.NOT_A_NAME, *R.STREET_WORDS))})",
+        ", *[0-9]|s/n",
+        _one_of(R.CONTACT_SIGNS),
+        _ALONE.format("|".join(("[0-9]{5}", "[0-9a-f]{16,}", _one_of(("km", *R.CONTACT_WORDS, *R.LAW_WORDS))))),
+    )
+)
 
 
 def looks_like_name(text: Column, amount_pattern: str) -> Column:
     """Whether a cell may be a company name: its first sign is a letter, it has three letters or more and at most seven words,
     no word of the form opens it, and it is neither address, contact, reference nor amount."""
-
-    def judge(read: Column) -> Column:
-        plain, cell = read["plain"], Cell(read["plain"], read["tokens"])
-        letters = F.length(plain) - F.length(F.translate(plain, "abcdefghijklmnopqrstuvwxyz", ""))
-        sound = F.substring(plain, 1, 1).between("a", "z") & (letters >= 3) & (F.size(F.split(F.trim(text), r"\s+")) <= 7)
-        return sound & ~_begins(cell, R.NOT_A_NAME) & ~_is_address(cell) & ~_is_contact(cell) & ~_is_reference(cell) & ~text.rlike(amount_pattern)
-
-    return let(let(norm(text), lambda plain: F.struct(plain.alias("plain"), F.split(plain, "[^a-z0-9_]+").alias("tokens"))), judge)
+    return let(norm(text), lambda plain: plain.rlike(_LETTERS) & ~plain.rlike(_NO_NAME) & ~F.trim(text).rlike(_EIGHT_WORDS) & ~text.rlike(amount_pattern))
 
 
 def format_amount(value: Column, country: Column) -> Column:

@@ -9,50 +9,58 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import refdata as R
 from ledgerlens.functions.binding import let
-from ledgerlens.functions.taxid import valid_ids_in
+from ledgerlens.functions.taxid import holds_valid_ids
 from ledgerlens.functions.text import norm
 from ledgerlens.operators.rules import ERROR, WARNING, finding, listed, with_counts
 
 HEAD_CHARS = 900
 
 
-def document_type(text: Column) -> Column:
+#: All cues of a head, classes in order, so that the first class wins where two begin at one place.
+_CUE = "(?<![a-z@.])(" + "|".join(re.escape(cue) for cues in R.HEADER_CUES.values() for cue in cues) + ")(?![a-z@])"
+
+
+def document_type(text: Column, plain: Column | None = None) -> Column:
     """struct(kind, confidence): the class whose cue stands first, as a whole word, in the head of the text; classes
-    go before one another in the order of the reference data where they tie."""
-    head = F.regexp_replace(norm(F.substring(F.coalesce(text, F.lit("")), 1, HEAD_CHARS)), "recibo (?:domiciliado|bancario)", "")
+    go before one another in the order of the reference data where they tie. `plain` is norm(text), where it is known."""
+    raw = F.coalesce(text, F.lit(""))
+    begin = norm(F.substring(raw, 1, HEAD_CHARS))
+    begin = begin if plain is None else F.when(F.length(raw) <= HEAD_CHARS, plain).otherwise(begin)
 
     def earliest(plain: Column) -> Column:
-        places = []
-        for rank, (kind, cues) in enumerate(R.HEADER_CUES.items()):
-            pattern = "(?<![a-z@.])(?:" + "|".join(re.escape(c) for c in cues) + ")(?![a-z@])"
-            # what stands before the first match tells its place
-            at = F.length(F.get(F.split(plain, pattern, 2), F.lit(0)))
-            places.append(F.when(plain.rlike(pattern), F.struct(at.alias("at"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))))
-        return F.array_min(F.array_compact(F.array(*places)))["kind"]
+        head = F.when(F.contains(plain, F.lit("recibo ")), F.regexp_replace(plain, "recibo (?:domiciliado|bancario)", "")).otherwise(plain)
+        return let(F.regexp_extract(head, _CUE, 1), lambda cue: F.coalesce(*[F.when(cue.isin(*cues), F.lit(kind)) for kind, cues in R.HEADER_CUES.items()]))
 
-    kind = let(head, earliest)
-    return F.struct(F.coalesce(kind, F.lit("factura")).alias("kind"), F.when(kind.isNull(), 0.3).otherwise(0.9).alias("confidence"))
+    return let(let(begin, earliest), lambda kind: F.struct(F.coalesce(kind, F.lit("factura")).alias("kind"), F.when(kind.isNull(), 0.3).otherwise(0.9).alias("confidence")))
 
 
-def country_scores(text: Column, plain: Column | None = None) -> dict[str, Column]:
+def country_scores(text: Column, plain: Column | None = None, ids: Column | None = None) -> dict[str, Column]:
     raw = F.coalesce(text, F.lit(""))
     plain = norm(raw) if plain is None else plain
+    ids = holds_valid_ids(raw) if ids is None else ids
     has = lambda sign: F.when(F.contains(raw, F.lit(sign)), 1).otherwise(0)
     signs = {"ES": has("€"), "UK": has("£") * 3, "US": has("$") * 3, "DE": has("€")}
     points = lambda words: lambda text: sum((F.when(F.contains(text, F.lit(w)), 2).otherwise(0) for w in words), F.lit(0))
     words = {code: let(plain, points(known)) for code, known in R.COUNTRY_WORDS.items()}
-    return {code: F.when(F.size(valid_ids_in(raw, F.lit(code))) > 0, 3).otherwise(0) + signs[code] + words[code] for code in R.CODES}
+    return {code: F.when(ids[code], 3).otherwise(0) + signs[code] + words[code] for code in R.CODES}
 
 
-def detect_country(text: Column) -> Column:
-    """The country with most points; the first in the order of the reference data on a tie, ES without any."""
+def detect_country(text: Column, plain: Column | None = None) -> Column:
+    """The country with most points; the first in the order of the reference data on a tie, ES without any. `plain` is norm(text), where it
+    is known."""
     ranked = lambda scores: F.array_max(F.array(*[F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(code).alias("code")) for rank, (code, score) in enumerate(scores.items())]))["code"]
-    return let(let(F.coalesce(text, F.lit("")), lambda raw: F.struct(raw.alias("raw"), norm(raw).alias("plain"))), lambda x: ranked(country_scores(x["raw"], x["plain"])))
+    read = lambda raw: F.struct(raw.alias("raw"), (norm(raw) if plain is None else plain).alias("plain"), holds_valid_ids(raw).alias("ids"))
+    return let(let(F.coalesce(text, F.lit("")), read), lambda x: ranked(country_scores(x["raw"], x["plain"], x["ids"])))
 
 
 def mentions(lines: Column) -> Column:
     """struct(exencion, precios_con_iva, simplificada, rectificativa, rectifica_a) from an array of text lines."""
-    pairs = F.transform(lines, lambda x: F.struct(x.alias("text"), norm(x).alias("plain")))
+    return mentions_in(F.transform(lines, lambda x: F.struct(x.alias("text"), norm(x).alias("plain"))))
+
+
+def mentions_in(lines: Column, plain: Column | None = None) -> Column:
+    """mentions() of lines (text, plain). `plain` is a text that holds all their plain ones, where it is known: without a word of
+    interest in it no line is read."""
 
     def read(rows: Column) -> Column:
         says = lambda pattern: F.exists(rows, lambda x: x["plain"].rlike(pattern))
@@ -67,7 +75,11 @@ def mentions(lines: Column) -> Column:
             F.when(last.isNotNull(), F.concat_ws(" de ", F.regexp_extract(last, reference, 1), F.nullif(F.regexp_extract(last, reference, 2), F.lit("")))).alias("rectifica_a"),
         )
 
-    return let(pairs, read)
+    if plain is None:
+        return let(lines, read)
+    text, no = F.lit(None).cast("string"), F.lit(False)
+    nothing = F.struct(text.alias("exencion"), no.alias("precios_con_iva"), no.alias("simplificada"), no.alias("rectificativa"), text.alias("rectifica_a"))
+    return F.when(plain.rlike("|".join((R.EXEMPTION, R.TAX_INCLUDED, R.SIMPLIFIED, R.RECTIFYING))), read(lines)).otherwise(nothing)
 
 
 def illegible() -> Column:

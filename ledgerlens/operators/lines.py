@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.binding import let
 from ledgerlens.functions.taxid import is_valid_tax_id
-from ledgerlens.functions.text import norm
+from ledgerlens.functions.text import MARKED_SIGN, norm, strip_accents
 from ledgerlens.operators.layout import CHAR_WIDTH, COLUMN_GAP, LINE_HEIGHT, stitched
 
 MOST_WALKED = 64
-_WORDS = "array<struct<text:string,x0:double,x1:double>>"
+_SPLIT_FIGURE = r"\d [\d.,]"
+#: White space other than blanks and line ends.
+_ODD_BLANK = r"(?U)[^\S\n ]"
 
 
 def places(size: Column) -> Column:
@@ -29,6 +31,11 @@ def first_of(array: Column) -> Column:
     return F.get(array, F.lit(0))
 
 
+def first_such(array: Column, test, kind: str) -> Column:
+    """The first element (of type `kind`) that passes a test, null without one; those after it are not tested."""
+    return F.aggregate(array, F.lit(None).cast(kind), lambda found, x: F.when(found.isNotNull(), found).when(test(x), x))
+
+
 def join_digits(text: Column) -> Column:
     """Figures that a reader split are closed where only one reading is possible: the year of a date, the figure before a
     percent sign or a decimal sign, and a Spanish tax identifier whose halves make a valid one."""
@@ -39,7 +46,7 @@ def join_digits(text: Column) -> Column:
         halves = F.filter(F.regexp_extract_all(x, F.lit(r"\b[A-Z]?\d{4,7} \d{1,4}[A-Z]?\b"), F.lit(0)), lambda h: is_valid_tax_id(h, F.lit("ES")))
         return F.aggregate(halves, x, lambda acc, h: F.replace(acc, h, F.replace(h, F.lit(" "), F.lit(""))))
 
-    return F.when(text.rlike(r"\d [\d.,]"), let(closed, ids)).otherwise(text)
+    return F.when(text.rlike(_SPLIT_FIGURE), let(closed, ids)).otherwise(text)
 
 
 def cells_of(words: Column, gap: float = COLUMN_GAP) -> Column:
@@ -53,6 +60,14 @@ def cells_of(words: Column, gap: float = COLUMN_GAP) -> Column:
     return let(starts, lambda s: F.transform(s, lambda start, k: cell(start, F.coalesce(F.get(s, k + 1), F.size(words)))))
 
 
+#: As many blanks in a row as leave a column gap in plain text.
+_WIDE = " " * (int(COLUMN_GAP // CHAR_WIDTH) + 1)
+
+
+def _word(text: Column, x0: Column, x1: Column, plain: Column) -> Column:
+    return F.struct(text.alias("text"), x0.alias("x0"), x1.alias("x1"), plain.alias("plain"))
+
+
 def _line(page: Column, y: Column, turned: Column, words: Column) -> Column:
     def normalised(raw: Column) -> Column:
         plain = norm(raw["text"])
@@ -60,7 +75,7 @@ def _line(page: Column, y: Column, turned: Column, words: Column) -> Column:
 
     def made(x: Column) -> Column:
         # the line is normalised once; its words are the parts, but where one has no sign left
-        one = lambda w, plain: F.struct(w["text"].alias("text"), w["x0"].alias("x0"), w["x1"].alias("x1"), plain.alias("plain"))
+        one = lambda w, plain: _word(w["text"], w["x0"], w["x1"], plain)
         ws = F.when(F.size(x["parts"]) == F.size(x["words"]), F.zip_with(x["words"], x["parts"], one)).otherwise(F.transform(x["words"], lambda w: one(w, norm(w["text"]))))
         plain = F.when(x["text"] == x["raw"], x["plain"]).otherwise(norm(x["text"]))
         return let(ws, lambda held: F.struct(page.alias("page"), y.cast("double").alias("y"), turned.alias("turned"), x["text"].alias("text"), plain.alias("plain"), held.alias("words"), cells_of(held).alias("cells")))
@@ -68,29 +83,73 @@ def _line(page: Column, y: Column, turned: Column, words: Column) -> Column:
     return let(let(words, lambda w: F.struct(w.alias("words"), F.array_join(w["text"], " ").alias("text"))), normalised)
 
 
+def _placed_words(content: Column, parts: Column) -> Column:
+    """The words of a line of plain text, with boxes; `parts` is the normalised line, split."""
+
+    def walked(pieces: Column) -> Column:
+        # a walk over words costs less than one over signs, but what it gathers grows with their square
+        ends = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, piece: F.array_append(acc, F.element_at(acc, -1) + F.length(piece)))
+        return let(ends, lambda ends: boxed(F.transform(pieces, lambda piece: F.ltrim(piece)), lambda w, i: F.get(ends, i + 1) - F.length(w)))
+
+    def looked_up(pieces: Column) -> Column:
+        placed = lambda signs: F.filter(places(F.size(signs)), lambda i: (F.get(signs, i) != " ") & ((i == 0) | (F.get(signs, i - 1) == " ")))
+        return let(let(F.split(content, ""), placed), lambda starts: boxed(F.transform(pieces, lambda piece: F.ltrim(piece)), lambda w, i: F.get(starts, i)))
+
+    def boxed(texts: Column, start) -> Column:
+        box = lambda plain: lambda w, i: _word(w, start(w, i) * CHAR_WIDTH, (start(w, i) + F.length(w)) * CHAR_WIDTH, plain(w, i))
+        whole = F.size(parts) == F.size(texts)
+        return F.when(whole, F.transform(texts, box(lambda w, i: F.get(parts, i)))).otherwise(F.transform(texts, box(lambda w, i: norm(w))))
+
+    return let(F.regexp_extract_all(content, F.lit(" *[^ ]+"), F.lit(0)), lambda pieces: F.when(F.size(pieces) <= MOST_WALKED, walked(pieces)).otherwise(looked_up(pieces)))
+
+
+def _placed_cells(content: Column, text: Column, split: Column, words: Column) -> Column:
+    """cells_of() words that were placed by their signs: a cell is a run without two blanks, and none holds a split figure
+    (`split`) where the line does not."""
+    last = F.get(words, F.size(words) - 1)
+    alone = F.array(F.struct(text.alias("text"), first_of(words)["x0"].alias("x0"), last["x1"].alias("x1"), F.lit(0).alias("first")))
+    starts = F.filter(places(F.size(words)), lambda i: (i == 0) | (F.get(words, i)["x0"] - F.get(words, i - 1)["x1"] > COLUMN_GAP))
+
+    def several(starts: Column, texts: Column) -> Column:
+        def cell(start: Column, k: Column) -> Column:
+            stop = F.coalesce(F.get(starts, k + 1), F.size(words))
+            return F.struct(F.when(split, join_digits(F.get(texts, k))).otherwise(F.get(texts, k)).alias("text"), F.get(words, start)["x0"].alias("x0"), F.get(words, stop - 1)["x1"].alias("x1"), start.alias("first"))
+
+        return F.transform(starts, cell)
+
+    runs = F.regexp_extract_all(content, F.lit("[^ ]+(?: [^ ]+)*"), F.lit(0))
+    return F.when(F.contains(F.trim(content), F.lit(_WIDE)), let(starts, lambda s: let(runs, lambda texts: several(s, texts)))).otherwise(alone)
+
+
 def text_lines(text: Column) -> Column:
     """The lines of plain text that are not blank, with boxes of 5 points a character and 12 a line. No shuffle."""
 
-    def words(content: Column) -> Column:
-        placed = lambda signs: F.filter(places(F.size(signs)), lambda i: (F.get(signs, i) != " ") & ((i == 0) | (F.get(signs, i - 1) == " ")))
-        boxed = lambda starts: F.zip_with(F.regexp_extract_all(content, F.lit("[^ ]+"), F.lit(0)), starts, lambda w, at: F.struct(w.alias("text"), (at * CHAR_WIDTH).alias("x0"), ((at + F.length(w)) * CHAR_WIDTH).alias("x1")))
+    def placed(row: Column) -> Column:
+        content, plain = row["content"], row["plain"]
+        raw = F.when(F.contains(F.trim(content), F.lit("  ")), F.regexp_replace(F.trim(content), " +", " ")).otherwise(F.trim(content))
+
+        def made(raw: Column, split: Column, words: Column) -> Column:
+            def finished(text: Column) -> Column:
+                own = F.when(split & (text != raw), norm(text)).otherwise(plain)
+                return F.struct(F.lit(1).alias("page"), (row["i"] * LINE_HEIGHT).cast("double").alias("y"), F.lit(False).alias("turned"), text.alias("text"), own.alias("plain"), words.alias("words"), _placed_cells(content, text, split, words).alias("cells"))
 
-        def walk(acc: Column, piece: Column) -> Column:
-            return let(acc["at"] + F.length(piece), lambda at: F.struct(at.alias("at"), F.array_append(acc["words"], word(piece, at)).alias("words")))
+            return let(F.when(split, join_digits(raw)).otherwise(raw), finished)
 
-        def word(piece: Column, stop: Column) -> Column:
-            return let(F.ltrim(piece), lambda w: F.struct(w.alias("text"), ((stop - F.length(w)) * CHAR_WIDTH).alias("x0"), (stop * CHAR_WIDTH).alias("x1")))
+        words = let(F.split(plain, " "), lambda parts: _placed_words(content, parts))
+        return let(raw, lambda raw: let(raw.rlike(_SPLIT_FIGURE), lambda split: let(words, lambda words: made(raw, split, words))))
 
-        def dealt(pieces: Column) -> Column:
-            begin = F.struct(F.lit(0).alias("at"), F.array().cast(_WORDS).alias("words"))
-            # a walk over words costs less than one over signs, but what it gathers grows with their square
-            return F.when(F.size(pieces) <= MOST_WALKED, F.aggregate(pieces, begin, walk)["words"]).otherwise(let(F.split(content, ""), lambda signs: boxed(placed(signs))))
+    def rows(plain: Column) -> Column:
+        contents = F.split(plain, "\n")
+        # the text is normalised as a whole: a line's end is kept, all other white space becomes a blank
+        bare = F.when(plain.rlike(MARKED_SIGN), F.array_join(F.transform(contents, strip_accents), "\n")).otherwise(plain)
+        closed = lambda x: F.when(x.rlike(_ODD_BLANK), F.regexp_replace(x, r"(?U)[^\S\n]+", " ")).otherwise(F.regexp_replace(x, "  +", " "))
+        row = lambda flat: F.transform(contents, lambda content, i: F.struct(content.alias("content"), F.trim(F.get(flat, i)).alias("plain"), i.alias("i")))
+        return F.transform(F.filter(let(F.split(let(F.lower(bare), closed), "\n"), row), lambda r: F.trim(r["content"]) != ""), placed)
 
-        return let(F.regexp_extract_all(content, F.lit(" *[^ ]+"), F.lit(0)), dealt)
+    def spaced(raw: Column) -> Column:
+        return F.when(raw.rlike("[\t\v\f\r\u00a0]"), F.translate(F.replace(raw, F.lit("\r\n"), F.lit("\n")), "\t\v\f\r\u00a0", "     ")).otherwise(raw)
 
-    plain = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\t\v\f\r\u00a0", "     ")
-    rows = F.transform(F.split(plain, "\n"), lambda content, i: F.struct(content.alias("content"), i.alias("i")))
-    return F.transform(F.filter(rows, lambda r: F.trim(r["content"]) != ""), lambda r: _line(F.lit(1), r["i"] * LINE_HEIGHT, F.lit(False), let(r["content"], words)))
+    return let(let(F.coalesce(text, F.lit("")), spaced), rows)
 
 
 def word_lines(words: DataFrame) -> DataFrame:
@@ -122,7 +181,17 @@ def gram(words: Column, start: Column, width: int) -> Column:
 
 def opens_with(labels: tuple[str, ...]) -> str:
     """A pattern that each normalised line with one of the labels matches."""
-    return r"(?:^|\s)(?:" + "|".join(sorted({re.escape(label.split()[0]).replace("º", "") for label in labels})) + ")"
+    return r"(?:^|\s)(?:" + "|".join(_openings(labels)) + ")"
+
+
+def _openings(labels: tuple[str, ...]) -> list[str]:
+    return sorted({re.escape(label.split()[0]).replace("º", "") for label in labels})
+
+
+def opening_places(words: Column, labels: tuple[str, ...]) -> Column:
+    """The places of words that one of the labels may begin with."""
+    opening = "^(?:" + "|".join(_openings(labels)) + ")"
+    return F.filter(F.transform(words, lambda w, i: F.when(w["plain"].rlike(opening), i)), lambda i: i.isNotNull())
 
 
 def first_label(lines: Column, labels: tuple[str, ...], widest: int) -> Column:
@@ -133,7 +202,7 @@ def first_label(lines: Column, labels: tuple[str, ...], widest: int) -> Column:
             width = F.coalesce(*[F.when(gram(line["words"], i, width).isin(*labels), F.lit(width)) for width in range(widest, 0, -1)])
             return F.struct(li.alias("li"), i.alias("start"), width.alias("width"))
 
-        found = F.filter(F.transform(places(F.size(line["words"])), at), lambda x: x["width"].isNotNull())
+        found = F.filter(F.transform(opening_places(line["words"], labels), at), lambda x: x["width"].isNotNull())
         return F.when(line["plain"].rlike(opens_with(labels)), found).otherwise(F.array().cast("array<struct<li:int,start:int,width:int>>"))
 
     return first_of(F.flatten(F.transform(lines, of_line)))

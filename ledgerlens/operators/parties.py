@@ -11,7 +11,7 @@ from ledgerlens.functions.money import AMOUNT_CI
 from ledgerlens.functions.taxid import ids_in, valid_ids_in
 from ledgerlens.functions.text import clean_name, looks_like_name, norm
 from ledgerlens.operators.layout import COLUMN_GAP
-from ledgerlens.operators.lines import cells_flat, first_label, first_of, gram, places
+from ledgerlens.operators.lines import cells_flat, first_label, first_of, first_such, gram, places
 
 _PARTY = "struct<nombre:string,nif:string>"
 _CELL = "array<struct<li:int,n:int,text:string>>"
@@ -49,7 +49,7 @@ def recipient_label(lines: Column) -> Column:
             after = F.get(words, last + 1)
             loose = ~before.isin("del", "de", "id.", "id") & (colon | after.isNull() | (after["x0"] - F.get(words, last)["x1"] > COLUMN_GAP))
             rank = F.when(label.isin(*R.RECIPIENT_STRONG), 0).when(label.isin(*R.RECIPIENT_COLON) & colon, 1).when(label.isin(*R.RECIPIENT_LOOSE) & loose, 2)
-            return F.when(rank.isNotNull(), F.struct(rank.alias("rank"), li.alias("li"), i.alias("start"), F.lit(2 - width).alias("order"), F.lit(width).alias("width")))
+            return F.when(label.isin(*R.RECIPIENT_STRONG, *R.RECIPIENT_COLON, *R.RECIPIENT_LOOSE) & rank.isNotNull(), F.struct(rank.alias("rank"), li.alias("li"), i.alias("start"), F.lit(2 - width).alias("order"), F.lit(width).alias("width")))
 
         return F.array_compact(F.flatten(F.transform(places(F.size(words)), lambda i: F.array(at(i, 2), at(i, 1)))))
 
@@ -116,12 +116,14 @@ def by_tax_id(lines: Column, block: Column, country: Column) -> Column:
         placed = let(texts, lambda ts: F.struct(ts.alias("texts"), F.array_position(F.transform(ts, lambda t: t["id"].isNotNull()), True).alias("at")))
 
         def read(b: Column) -> Column:
-            named = F.filter(F.transform(b["texts"], lambda t, n: F.when((n + 1 != b["at"]) & _is_name(t["text"]), clean_name(t["text"]))), lambda t: t.isNotNull())
-            return F.struct(first_of(named).alias("nombre"), F.when(b["at"] > 0, F.get(b["texts"], b["at"].cast("int") - 1)["id"]).alias("nif"))
+            others = F.transform(F.filter(b["texts"], lambda t, n: n + 1 != b["at"]), lambda t: t["text"])
+            return F.struct(clean_name(first_such(others, _is_name, "string")).alias("nombre"), F.when(b["at"] > 0, F.get(b["texts"], b["at"].cast("int") - 1)["id"]).alias("nif"))
 
         recipient = let(placed, read)
-        outside = F.filter(s["cells"], lambda c: ~F.exists(block, lambda b: (b["li"] == c["li"]) & (b["n"] == c["n"])))
-        return let(F.struct(s["cells"].alias("cells"), outside.alias("outside"), recipient.alias("recipient")), issuer)
+        return let(F.struct(s["cells"].alias("cells"), recipient.alias("recipient")), issuer)
+
+    def outside(c: Column) -> Column:
+        return ~F.exists(block, lambda b: (b["li"] == c["li"]) & (b["n"] == c["n"]))
 
     def issuer(s: Column) -> Column:
         cue = r"\b(?:" + "|".join(R.ID_CUES) + r")\.?:?\s*"
@@ -129,7 +131,7 @@ def by_tax_id(lines: Column, block: Column, country: Column) -> Column:
         def candidates(c: Column) -> Column:
             return F.transform(ids_in(c["text"], country), lambda i: F.struct(c.alias("cell"), i.alias("id"), F.regexp_like(norm(c["text"]), F.concat(F.lit(cue), F.lower(i))).alias("labelled")))
 
-        found = F.flatten(F.transform(F.filter(s["outside"], lambda c: c["text"].rlike(r"\d{4}")), candidates))
+        found = F.flatten(F.transform(F.filter(s["cells"], lambda c: c["text"].rlike(r"\d{4}") & outside(c)), candidates))
         chosen = let(found, lambda f: F.coalesce(first_of(F.filter(f, lambda x: x["labelled"])), first_of(f)))
         return let(F.struct(s.alias("s"), chosen.alias("hit")), named)
 
@@ -138,10 +140,11 @@ def by_tax_id(lines: Column, block: Column, country: Column) -> Column:
         cell = hit["cell"]
         pieces = F.split(cell["text"], r"\s*[|·ꞏ]\s*")
         place = F.array_position(F.transform(pieces, lambda p: F.contains(F.upper(p), hit["id"])), True).cast("int")
-        same = first_of(F.filter(F.slice(pieces, 1, F.greatest(place - 1, F.lit(0))), _is_name))
-        above = F.filter(s["cells"], lambda c: (c["page"] == cell["page"]) & (c["li"] < cell["li"]) & (cell["y"] - c["y"] <= 130) & (c["x1"] >= cell["x0"] - 10) & (c["x0"] <= cell["x1"] + 10) & _is_name(c["text"]))
-        nearest = F.array_min(F.transform(above, lambda c: F.struct((-c["li"]).alias("up"), c["n"].alias("n"), c["text"].alias("text"))))["text"]
-        anywhere = first_of(F.filter(s["outside"], lambda c: _is_name(c["text"])))["text"]
+        same = first_such(F.slice(pieces, 1, F.greatest(place - 1, F.lit(0))), _is_name, "string")
+        above = F.filter(s["cells"], lambda c: (c["page"] == cell["page"]) & (c["li"] < cell["li"]) & (cell["y"] - c["y"] <= 130) & (c["x1"] >= cell["x0"] - 10) & (c["x0"] <= cell["x1"] + 10))
+        upwards = F.sort_array(F.transform(above, lambda c: F.struct((-c["li"]).alias("up"), c["n"].alias("n"), c["text"].alias("text"))))
+        nearest = first_such(upwards["text"], _is_name, "string")
+        anywhere = first_such(F.filter(s["cells"], outside)["text"], _is_name, "string")
         name = F.coalesce(F.when(hit.isNotNull(), F.coalesce(same, nearest)), anywhere)
         return F.struct(F.struct(clean_name(name).alias("nombre"), hit["id"].alias("nif")).cast(_PARTY).alias("emisor"), s["recipient"].cast(_PARTY).alias("receptor"))
 

@@ -23,6 +23,9 @@ def _word(pattern: str) -> str:
     return f"(?<![a-z])(?:{pattern})(?![a-z])"
 
 
+_ANYTHING = _word("|".join(pattern for _, pattern in R.CONCEPTS))
+
+
 def _reason(between: Column) -> Column:
     remarks = F.transform(F.regexp_extract_all(between, F.lit(r"\(([^)]+)\)"), F.lit(1)), lambda x: F.trim(x))
     known = F.create_map(*[F.lit(x) for pair in R.ZERO_REASONS.items() for x in pair])
@@ -38,9 +41,18 @@ def _found(kind: str, between: Column, amount: Column, beside: bool) -> Column:
     return let(between, read)
 
 
+def _whole(pattern: str) -> str:
+    return f"(?i){_word(pattern)}{_BETWEEN}\\s*({R.AMOUNT})(?![\\d%])"
+
+
+def carries_concept(plain: Column) -> Column:
+    """Whether a normalised line has a concept with its amount: concepts() without a line that follows is not empty."""
+    return F.coalesce(plain.rlike(_ANYTHING) & plain.rlike(_whole("|".join(f"(?:{pattern})" for _, pattern in R.CONCEPTS))), F.lit(False))
+
+
 def _read_kind(kind: str, pattern: str, state: Column, following: Column) -> Column:
     """The state (rest, found) after one kind: what it reads leaves the rest of the line."""
-    whole = f"(?i){_word(pattern)}{_BETWEEN}\\s*({R.AMOUNT})(?![\\d%])"
+    whole = _whole(pattern)
     bare = f"{_word(pattern)}{_BETWEEN}\\s*$"
 
     def read(rest: Column, found: Column) -> Column:
@@ -69,8 +81,7 @@ def concepts(plain: Column, following: Column) -> Column:
         after = lambda state, concept: let(state, lambda s: _read_kind(*concept, s, args["alone"]))
         return reduce(after, R.CONCEPTS, F.struct(args["plain"].alias("rest"), none.alias("found")))["found"]
 
-    anything = _word("|".join(pattern for _, pattern in R.CONCEPTS))
-    return F.when(plain.rlike(anything), let(F.struct(plain.alias("plain"), alone.alias("alone")), all_kinds)).otherwise(none)
+    return F.when(plain.rlike(_ANYTHING), let(F.struct(plain.alias("plain"), alone.alias("alone")), all_kinds)).otherwise(none)
 
 
 def totals_of(found: Column) -> Column:
