@@ -42,7 +42,7 @@ def parse_amount(text: Column) -> Column:
         value = let(F.regexp_replace(raw, r"[^0-9,.\-]", ""), _plain_number)
         return F.when(raw.startswith("(") & raw.endswith(")"), -F.abs(value)).otherwise(value)
 
-    return let(F.translate(F.trim(text), "−", "-"), of)
+    return let(F.replace(F.trim(text), F.lit("−"), F.lit("-")), of)
 
 
 def _plain_number(core: Column) -> Column:

@@ -153,8 +153,8 @@ def valid_ids_in(text: Column, country: Column) -> Column:
 
 
 #: What `valid_ids_in` finds in any country, but for the numbers of the US that are written with a dash.
-_ID_ANY = r"\b(?:GB|DE|[A-Z])?[0-9]{7,9}[A-Z]?\b"
-_ID_US = r"\b(?!" + "|".join(R.EIN_UNASSIGNED) + r")[0-9]{2}-?[0-9]{7}\b"
+_ID_ANY = r"(?=[A-Z]{0,2}[0-9])\b(?:GB|DE|[A-Z])?[0-9]{7,9}[A-Z]?\b"
+_ID_US = r"(?=[0-9])\b(?!" + "|".join(R.EIN_UNASSIGNED) + r")[0-9]{2}-?[0-9]{7}\b"
 
 
 def holds_valid_ids(text: Column) -> Column:

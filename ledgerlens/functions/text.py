@@ -17,7 +17,7 @@ MARKED, BARE = ("".join(x) for x in zip(*_PAIRS, strict=True))
 
 
 #: What `strip_accents` changes; all of MARKED lies in this range.
-MARKED_SIGN = r"[\u00c0-\u024f\p{Mn}]"
+MARKED_SIGN = r"(?=[^\x00-\x7f])[\u00c0-\u024f\p{Mn}]"
 #: Runs of white space but single blanks, which stay as they are.
 _RUNS = r"(?U) *[\s&&[^ ]]\s*| {2,}\s*"
 

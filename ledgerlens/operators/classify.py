@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,7 +80,8 @@ def mentions_in(lines: Column, plain: Column | None = None) -> Column:
         return let(lines, read)
     text, no = F.lit(None).cast("string"), F.lit(False)
     nothing = F.struct(text.alias("exencion"), no.alias("precios_con_iva"), no.alias("simplificada"), no.alias("rectificativa"), text.alias("rectifica_a"))
-    return F.when(plain.rlike("|".join((R.EXEMPTION, R.TAX_INCLUDED, R.SIMPLIFIED, R.RECTIFYING))), read(lines)).otherwise(nothing)
+    hinted = reduce(Column.__or__, [F.contains(plain, F.lit(stem)) for stem in R.MENTION_STEMS])
+    return F.when(hinted & plain.rlike("|".join((R.EXEMPTION, R.TAX_INCLUDED, R.SIMPLIFIED, R.RECTIFYING))), read(lines)).otherwise(nothing)
 
 
 def illegible() -> Column:

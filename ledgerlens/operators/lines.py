@@ -18,8 +18,8 @@ from ledgerlens.operators.layout import CHAR_WIDTH, COLUMN_GAP, LINE_HEIGHT, sti
 
 MOST_WALKED = 64
 _SPLIT_FIGURE = r"\d [\d.,]"
-#: White space other than blanks and line ends.
-_ODD_BLANK = r"(?U)[^\S\n ]"
+#: White space that is neither a blank nor a line's end, nor written as a blank by `text_lines`.
+_ODD_BLANK = r"[\x85\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def places(size: Column) -> Column:
@@ -83,24 +83,31 @@ def _line(page: Column, y: Column, turned: Column, words: Column) -> Column:
     return let(let(words, lambda w: F.struct(w.alias("words"), F.array_join(w["text"], " ").alias("text"))), normalised)
 
 
-def _placed_words(content: Column, parts: Column) -> Column:
-    """The words of a line of plain text, with boxes; `parts` is the normalised line, split."""
+def _placed_words(content: Column, raw: Column, parts: Column) -> Column:
+    """The words of a line of plain text, with boxes; `raw` is the line with single blanks, `parts` is the normalised line, split."""
 
-    def walked(pieces: Column) -> Column:
-        # a walk over words costs less than one over signs, but what it gathers grows with their square
-        ends = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, piece: F.array_append(acc, F.element_at(acc, -1) + F.length(piece)))
-        return let(ends, lambda ends: boxed(F.transform(pieces, lambda piece: F.ltrim(piece)), lambda w, i: F.get(ends, i + 1) - F.length(w)))
+    def spaced_once(texts: Column) -> Column:
+        margin = F.length(content) - F.length(F.ltrim(content))
+        return walked(texts, F.aggregate(texts, F.array(margin - 1), lambda acc, w: F.array_append(acc, F.element_at(acc, -1) + 1 + F.length(w))))
 
-    def looked_up(pieces: Column) -> Column:
+    def spaced(pieces: Column) -> Column:
+        return walked(F.transform(pieces, lambda piece: F.ltrim(piece)), F.aggregate(pieces, F.array(F.lit(0)), lambda acc, piece: F.array_append(acc, F.element_at(acc, -1) + F.length(piece))))
+
+    def walked(texts: Column, ends: Column) -> Column:
+        return let(ends, lambda held: boxed(texts, lambda w, i: (F.get(held, i + 1) - F.length(w), F.get(held, i + 1))))
+
+    def looked_up(texts: Column) -> Column:
         placed = lambda signs: F.filter(places(F.size(signs)), lambda i: (F.get(signs, i) != " ") & ((i == 0) | (F.get(signs, i - 1) == " ")))
-        return let(let(F.split(content, ""), placed), lambda starts: boxed(F.transform(pieces, lambda piece: F.ltrim(piece)), lambda w, i: F.get(starts, i)))
+        return let(let(F.split(content, ""), placed), lambda starts: boxed(texts, lambda w, i: (F.get(starts, i), F.get(starts, i) + F.length(w))))
 
-    def boxed(texts: Column, start) -> Column:
-        box = lambda plain: lambda w, i: _word(w, start(w, i) * CHAR_WIDTH, (start(w, i) + F.length(w)) * CHAR_WIDTH, plain(w, i))
-        whole = F.size(parts) == F.size(texts)
-        return F.when(whole, F.transform(texts, box(lambda w, i: F.get(parts, i)))).otherwise(F.transform(texts, box(lambda w, i: norm(w))))
+    def boxed(texts: Column, span) -> Column:
+        box = lambda plain: lambda w, i: _word(w, *[at * CHAR_WIDTH for at in span(w, i)], plain(w, i))
+        return let(texts, lambda texts: F.when(F.size(parts) == F.size(texts), F.transform(texts, box(lambda w, i: F.get(parts, i)))).otherwise(F.transform(texts, box(lambda w, i: norm(w)))))
 
-    return let(F.regexp_extract_all(content, F.lit(" *[^ ]+"), F.lit(0)), lambda pieces: F.when(F.size(pieces) <= MOST_WALKED, walked(pieces)).otherwise(looked_up(pieces)))
+    # a walk over words costs less than one over signs, but what it gathers grows with their square
+    few = lambda array, walk: F.when(F.size(array) <= MOST_WALKED, walk(array)).otherwise(looked_up(F.split(raw, " ")))
+    several = let(F.regexp_extract_all(content, F.lit(" *[^ ]+"), F.lit(0)), lambda pieces: few(pieces, spaced))
+    return F.when(F.contains(F.trim(content), F.lit("  ")), several).otherwise(let(F.split(raw, " "), lambda texts: few(texts, spaced_once)))
 
 
 def _placed_cells(content: Column, text: Column, split: Column, words: Column) -> Column:
@@ -135,8 +142,8 @@ def text_lines(text: Column) -> Column:
 
             return let(F.when(split, join_digits(raw)).otherwise(raw), finished)
 
-        words = let(F.split(plain, " "), lambda parts: _placed_words(content, parts))
-        return let(raw, lambda raw: let(raw.rlike(_SPLIT_FIGURE), lambda split: let(words, lambda words: made(raw, split, words))))
+        words = lambda raw: let(F.split(plain, " "), lambda parts: _placed_words(content, raw, parts))
+        return let(raw, lambda raw: let(raw.rlike(_SPLIT_FIGURE), lambda split: let(words(raw), lambda words: made(raw, split, words))))
 
     def rows(plain: Column) -> Column:
         contents = F.split(plain, "\n")
@@ -181,7 +188,7 @@ def gram(words: Column, start: Column, width: int) -> Column:
 
 def opens_with(labels: tuple[str, ...]) -> str:
     """A pattern that each normalised line with one of the labels matches."""
-    return r"(?:^|\s)(?:" + "|".join(_openings(labels)) + ")"
+    return r"(?<!\S)(?:" + "|".join(_openings(labels)) + ")"
 
 
 def _openings(labels: tuple[str, ...]) -> list[str]:

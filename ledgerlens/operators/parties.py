@@ -11,7 +11,7 @@ from ledgerlens.functions.money import AMOUNT_CI
 from ledgerlens.functions.taxid import ids_in, valid_ids_in
 from ledgerlens.functions.text import clean_name, looks_like_name, norm
 from ledgerlens.operators.layout import COLUMN_GAP
-from ledgerlens.operators.lines import cells_flat, first_label, first_of, first_such, gram, places
+from ledgerlens.operators.lines import cells_flat, first_label, first_of, first_such, gram, opening_places, places
 
 _PARTY = "struct<nombre:string,nif:string>"
 _CELL = "array<struct<li:int,n:int,text:string>>"
@@ -28,7 +28,7 @@ def heading_of(word: Column) -> Column:
 
 
 def is_table_header(line: Column) -> Column:
-    holds = lambda column: line["plain"].rlike(r"(?:^|\s)(?:" + "|".join(R.TABLE_HEADERS[column]) + ")")
+    holds = lambda column: line["plain"].rlike(r"(?<!\S)(?:" + "|".join(R.TABLE_HEADERS[column]) + ")")
     return holds("descripcion") & holds("importe")
 
 
@@ -49,12 +49,13 @@ def recipient_label(lines: Column) -> Column:
             after = F.get(words, last + 1)
             loose = ~before.isin("del", "de", "id.", "id") & (colon | after.isNull() | (after["x0"] - F.get(words, last)["x1"] > COLUMN_GAP))
             rank = F.when(label.isin(*R.RECIPIENT_STRONG), 0).when(label.isin(*R.RECIPIENT_COLON) & colon, 1).when(label.isin(*R.RECIPIENT_LOOSE) & loose, 2)
-            return F.when(label.isin(*R.RECIPIENT_STRONG, *R.RECIPIENT_COLON, *R.RECIPIENT_LOOSE) & rank.isNotNull(), F.struct(rank.alias("rank"), li.alias("li"), i.alias("start"), F.lit(2 - width).alias("order"), F.lit(width).alias("width")))
+            return F.when(label.isin(*labels) & rank.isNotNull(), F.struct(rank.alias("rank"), li.alias("li"), i.alias("start"), F.lit(2 - width).alias("order"), F.lit(width).alias("width")))
 
-        return F.array_compact(F.flatten(F.transform(places(F.size(words)), lambda i: F.array(at(i, 2), at(i, 1)))))
+        return F.array_compact(F.flatten(F.transform(opening_places(words, labels), lambda i: F.array(at(i, 2), at(i, 1)))))
 
-    known = "|".join((*R.RECIPIENT_STRONG, *R.RECIPIENT_COLON, *R.RECIPIENT_LOOSE))
-    return F.array_min(F.flatten(F.transform(lines, lambda line, li: F.when(line["plain"].rlike(rf"\b(?:{known})\b"), of_line(line, li)).otherwise(F.array().cast("array<struct<rank:int,li:int,start:int,order:int,width:int>>")))))
+    labels = (*R.RECIPIENT_STRONG, *R.RECIPIENT_COLON, *R.RECIPIENT_LOOSE)
+    known = "|".join(labels)
+    return F.array_min(F.flatten(F.transform(lines, lambda line, li: F.when(line["plain"].rlike(rf"(?=[a-z])\b(?:{known})\b"), of_line(line, li)).otherwise(F.array().cast("array<struct<rank:int,li:int,start:int,order:int,width:int>>")))))
 
 
 def recipient_block(lines: Column, label: Column) -> Column:
@@ -101,7 +102,7 @@ def recipient_block(lines: Column, label: Column) -> Column:
 
             return F.when(s["open"], let(F.struct(inside.alias("inside"), mine.alias("mine")), after)).otherwise(s)
 
-        below = F.filter(places(F.size(lines)), lambda k: (k > b["li"]) & (F.get(lines, k)["page"] == b["page"]) & (F.get(lines, k)["y"] - b["y"] <= 110))
+        below = F.filter(F.slice(places(F.size(lines)), b["li"] + 2, F.size(lines)), lambda k: (F.get(lines, k)["page"] == b["page"]) & (F.get(lines, k)["y"] - b["y"] <= 110))
         return F.aggregate(below, begin, step)["cells"]
 
     return F.coalesce(F.when(label.isNotNull(), let(F.struct(label.alias("label")), build)), F.array().cast(_CELL))
@@ -138,9 +139,9 @@ def by_tax_id(lines: Column, block: Column, country: Column) -> Column:
     def named(t: Column) -> Column:
         s, hit = t["s"], t["hit"]
         cell = hit["cell"]
-        pieces = F.split(cell["text"], r"\s*[|·ꞏ]\s*")
-        place = F.array_position(F.transform(pieces, lambda p: F.contains(F.upper(p), hit["id"])), True).cast("int")
-        same = first_such(F.slice(pieces, 1, F.greatest(place - 1, F.lit(0))), _is_name, "string")
+        parted = F.when(cell["text"].rlike("[|·ꞏ]"), F.split(cell["text"], r"\s*[|·ꞏ]\s*")).otherwise(F.array(cell["text"]))
+        place = lambda pieces: F.array_position(F.transform(pieces, lambda p: F.contains(F.upper(p), hit["id"])), True).cast("int")
+        same = let(parted, lambda pieces: first_such(F.slice(pieces, 1, F.greatest(place(pieces) - 1, F.lit(0))), _is_name, "string"))
         above = F.filter(s["cells"], lambda c: (c["page"] == cell["page"]) & (c["li"] < cell["li"]) & (cell["y"] - c["y"] <= 130) & (c["x1"] >= cell["x0"] - 10) & (c["x0"] <= cell["x1"] + 10))
         upwards = F.sort_array(F.transform(above, lambda c: F.struct((-c["li"]).alias("up"), c["n"].alias("n"), c["text"].alias("text"))))
         nearest = first_such(upwards["text"], _is_name, "string")

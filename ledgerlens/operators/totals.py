@@ -20,7 +20,7 @@ _USED = "\u0001"  # stands for what an earlier concept has read, so that no late
 
 
 def _word(pattern: str) -> str:
-    return f"(?<![a-z])(?:{pattern})(?![a-z])"
+    return f"(?=[a-z])(?<![a-z])(?:{pattern})(?![a-z])"
 
 
 _ANYTHING = _word("|".join(pattern for _, pattern in R.CONCEPTS))
